@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -50,12 +50,16 @@ def block_count(total_bytes: int) -> int:
     return max(1, math.ceil(total_bytes / size))
 
 
-def with_block(docs: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, text and the block of each row; rows that share an id and a text share a block."""
+def with_block(docs: DataFrame, blocks: int, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, the block of each row and the carried columns under other names (_carried_0 and so on).
+
+    Rows that share an id and a text share a block.
+    """
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text"))), F.lit(blocks)).cast("int").alias("block"),
+        *[F.col(c).alias(f"_carried_{i}") for i, c in enumerate(carry)],
     )
 
 

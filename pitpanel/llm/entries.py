@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination, items_digest
 from .sharding import shard_documents
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
+from .weak_rules import quality_verdicts
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +34,85 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", items_digest(F.col("items")).alias("items_sha256"), "contaminated"
+    )
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op5_token_counts": op5_token_counts}
+    return {
+        "op1_sharding": op1_sharding,
+        "op5_token_counts": op5_token_counts,
+        "op6_decontamination": op6_decontamination,
+        "op8_substring_dedup": op8_substring_dedup,
+        "op9_quality_rules": op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": _OP6, "op8_substring_dedup": _OP8}
+
+
+_OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+l AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM l)),
+dw AS (
+  SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+        FROM d, (SELECT DISTINCT n FROM l) WHERE len(w) >= n)),
+h AS (SELECT dw.rid, dw.n, dw.i, bw.item_id FROM dw JOIN bw USING (n, g)),
+hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT rid, n, i FROM h)) GROUP BY rid),
+it AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""
+
+_OP8 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT rid, doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS h
+  FROM (SELECT rid, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i
+        FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+m AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h),
+x AS (
+  SELECT DISTINCT rid, unnest(generate_series(i, i + 12)) AS p FROM g JOIN m USING (h) WHERE m.first < g.doc_id),
+r AS (SELECT rid, list(p) AS gone FROM x GROUP BY rid),
+k AS (
+  SELECT doc_id, len(w) AS n, CASE WHEN gone IS NULL THEN w ELSE
+         list_transform(list_filter(generate_series(1, len(w)), lambda p: NOT list_contains(gone, p)), lambda p: w[p]) END AS kept
+  FROM d LEFT JOIN r USING (rid))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM k
+"""
