@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination, items_digest
+from .near_dedup import near_groups
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -50,6 +51,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -57,11 +62,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": _OP6, "op8_substring_dedup": _OP8}
+    return {"op6_decontamination": _OP6, "op8_substring_dedup": _OP8, "op10_near_dedup": _OP10}
 
 
 _OP6 = r"""
@@ -116,3 +122,23 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_
        sha256(array_to_string(kept, ' ')) AS kept_sha256
 FROM k
 """
+
+_OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, g FROM (
+    SELECT rid, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 2)
+    UNION ALL SELECT rid, w[1] FROM d WHERE len(w) = 1)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.other GROUP BY r.rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
