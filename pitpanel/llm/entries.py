@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .crf_quality import quality_scores
 from .decontaminate import contamination, items_digest
 from .near_dedup import near_groups
+from .packing import pack_documents
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -29,6 +31,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +68,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op6_decontamination": op6_decontamination,
         "op8_substring_dedup": op8_substring_dedup,

@@ -244,3 +244,16 @@ def _star_edges(live: DataFrame, percent: int) -> DataFrame:
         .select(F.col("node").alias("a"), "b", F.col("label").alias("label_a"), "label_b")
         .distinct()
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of docs that stand for their group, with the columns of docs.
+
+    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    """
+    groups = checkpoint(near_groups(docs, percent, width))
+    stays = groups.filter(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_stays")).distinct()
+    known = docs.join(stays, F.col("doc_id").cast("long") == F.col("_stays"), "left_semi")
+    if stays.count() < groups.filter(F.col("kept") & F.col("doc_id").isNotNull()).count():
+        known = known.dropDuplicates(["doc_id"])
+    return known.union(docs.filter(F.col("doc_id").isNull()))
