@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .crf_quality import quality_scores
 from .decontaminate import contamination, items_digest
+from .html_content import extract
 from .near_dedup import near_groups
 from .packing import pack_documents
 from .sharding import shard_documents
@@ -35,6 +36,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_html_extraction": op3_html_extraction,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op6_decontamination": op6_decontamination,

@@ -73,7 +73,9 @@ def pack_documents(
         "doc_id",
         "key",
         "words",
-        F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("words") / largest) - 1))).cast("long").alias("piece"),
+        F.explode(
+            F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("words") / largest) - 1).cast("long"))
+        ).alias("piece"),
     ).select(
         "doc_id",
         "key",
