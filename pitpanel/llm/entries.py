@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .backoff_lm import score_documents
 from .common import table
 from .crf_quality import quality_scores
 from .decontaminate import contamination, items_digest
@@ -57,6 +58,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.withColumn("log_score", F.round("log_score", 4))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op6_decontamination": op6_decontamination,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_near_dedup": op10_near_dedup,
@@ -85,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": _OP6, "op8_substring_dedup": _OP8, "op10_near_dedup": _OP10}
+    return {"op7_lm_scoring": _OP7, "op6_decontamination": _OP6, "op8_substring_dedup": _OP8, "op10_near_dedup": _OP10}
 
 
 _OP6 = r"""
@@ -160,3 +167,26 @@ c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.oth
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
 """
+
+_OP7 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+t AS (
+  SELECT rid, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before
+  FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0)),
+u AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+b AS (SELECT before, word, count(*) AS c FROM t WHERE before IS NOT NULL GROUP BY ALL),
+s AS (
+  SELECT t.rid, CASE WHEN t.before IS NOT NULL AND b.c < 2 THEN 1 ELSE 0 END AS passed,
+         CASE WHEN t.before IS NULL THEN ln(u.c / (SELECT count(*) FROM t))
+              WHEN b.c >= 2 THEN ln(b.c / p.c)
+              ELSE ln(0.4) + ln(u.c / (SELECT count(*) FROM t)) END AS score
+  FROM t JOIN u ON u.word = t.word LEFT JOIN b ON b.before = t.before AND b.word = t.word LEFT JOIN u p ON p.word = t.before),
+a AS (SELECT rid, sum(passed) AS passed, sum(score) AS score FROM s GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(passed, 0) AS BIGINT) AS n_backoffs,
+       round(coalesce(score, 0.0), 4) AS log_score
+FROM d LEFT JOIN a USING (rid)
+"""
