@@ -74,8 +74,8 @@ def owner_profit(stmts: DataFrame, external: DataFrame) -> DataFrame:
     The factor is the upper median of owners' / net profit over years that have both, if it lies in (0.3, 1.05), else 1; symbols
     marked is_financial take 1.
     """
-    ext = external.select("symbol", F.col("year").alias("_year"), F.col("net_profit_owner").alias("_ext"))
-    joined = stmts.join(ext, (stmts["symbol"] == ext["symbol"]) & (F.year("period_end") == F.col("_year")), "left").drop(ext["symbol"])
+    ext = external.select(F.col("symbol").alias("_symbol"), F.col("year").alias("_year"), F.col("net_profit_owner").alias("_ext"))
+    joined = stmts.join(ext, (F.col("symbol") == F.col("_symbol")) & (F.year("period_end") == F.col("_year")), "left")
     pairs = joined.filter("_ext is not null and net_profit is not null and net_profit <> 0")
     pairs = pairs.groupBy("symbol").agg(F.sort_array(F.collect_list(F.col("_ext") / F.col("net_profit"))).alias("_r"))
     median = F.col("_r")[F.floor(F.size("_r") / 2).cast("int")]
@@ -83,7 +83,7 @@ def owner_profit(stmts: DataFrame, external: DataFrame) -> DataFrame:
     financial = F.coalesce(F.col("is_financial"), F.lit(False)) if "is_financial" in stmts.columns else F.lit(False)
     scale = F.when(financial, F.lit(1.0)).otherwise(F.coalesce("_factor", F.lit(1.0)))
     out = joined.join(factor, "symbol", "left")
-    return out.withColumn("net_profit_owner", F.coalesce("_ext", F.col("net_profit") * scale)).drop("_year", "_ext", "_factor")
+    return out.withColumn("net_profit_owner", F.coalesce("_ext", F.col("net_profit") * scale)).drop("_symbol", "_year", "_ext", "_factor")
 
 
 def is_financial(df: DataFrame, terms: Sequence[str] = ("bank", "financ", "insurance", "nbfc")) -> DataFrame:

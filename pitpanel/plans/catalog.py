@@ -259,13 +259,13 @@ def _roll(fn: str, c: str, n: int, least: int | None = None) -> str:
 
 _indicator("d1_sma", lambda: ind.sma(C("close"), 20), _SMA("close", 20))
 _indicator("d4_roc", lambda: ind.roc(C("close"), 21), _ROC(21))
-_indicator("d6_true_range", ind.true_range, f"CASE WHEN lag(close) {W}) IS NOT NULL THEN greatest(high - low, abs(high - lag(close) {W})), abs(low - lag(close) {W}))) END")
+_indicator("d6_true_range", ind.true_range, f"CASE WHEN lag(close) {W}) IS NOT NULL THEN greatest(high - low, abs(high - lag(close) {W})), abs(low - lag(close) {W}))) END", 9)
 _indicator("d12_rolling_high", lambda: ind.rolling_high(C("close"), 52), _roll("max", "close", 52))
 _indicator("d13_rolling_low", lambda: ind.rolling_low(C("close"), 52), _roll("min", "close", 52))
 _indicator("d14_dist_from_high", lambda: ind.dist_from_high(C("close"), 252), f"close / ({_roll('max', 'close', 252)}) - 1")
 _indicator("d15_volume_avg", lambda: ind.volume_avg(C("volume"), 20), _roll("avg", "volume", 20))
 _indicator("d16_adtv", lambda: ind.adtv(C("close"), C("volume"), 21), _roll("avg", "(close * volume)", 21))
-_indicator("d17_adtv_cr", lambda: ind.adtv_cr(C("turnover")), f"({_roll('avg', 'turnover', 20, 5)}) / 1e7")
+_indicator("d17_adtv_cr", lambda: ind.adtv_cr(C("turnover")), f"({_roll('avg', 'turnover', 20, 5)}) / 1e7", 10)
 
 
 @query(f""", j AS (SELECT b.*, x.close AS bc FROM bars b JOIN bench x USING (date))
