@@ -43,6 +43,30 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def even_out(sizes: np.ndarray, placed: np.ndarray, shards: int, rounds: int = 400) -> np.ndarray:
+    """Swaps a unit of the largest shard with a smaller one, or none, of the smallest shard while that evens their sizes."""
+    placed, totals = placed.copy(), np.bincount(placed, weights=sizes, minlength=shards)
+    for _ in range(rounds):
+        high, low = int(totals.argmax()), int(totals.argmin())
+        gap = totals[high] - totals[low]
+        ours, theirs = np.flatnonzero(placed == high), np.flatnonzero(placed == low)
+        theirs = np.append(theirs[np.argsort(sizes[theirs], kind="stable")], -1)  # the last stands for none
+        other = np.append(sizes[theirs[:-1]], 0.0)
+        order = np.argsort(other, kind="stable")
+        wanted = np.searchsorted(other[order], sizes[ours] - gap / 2).clip(0, len(order) - 1)
+        choices = np.stack([order[wanted], order[np.maximum(wanted - 1, 0)]])
+        moved = sizes[ours] - other[choices]
+        best = np.unravel_index(np.abs(moved - gap / 2).argmin(), moved.shape) if len(ours) else None
+        if best is None or not 0 < moved[best] < gap:
+            break
+        placed[ours[best[1]]] = low
+        if theirs[choices[best]] >= 0:
+            placed[theirs[choices[best]]] = high
+        totals[high] -= moved[best]
+        totals[low] += moved[best]
+    return placed
+
+
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, tokens, shard and slot (gapless from 0 in its shard) of every row.
 
@@ -81,7 +105,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     units = marked.groupBy("unit", "part").agg(*sums).collect()  # at most 4 * CELLS + 96 * HOT_PARTS rows
     units.sort(key=lambda r: (r["part"], r["unit"]))
     vectors = np.array([[r[d] / of_all[d] for d in _DIMENSIONS] for r in units]).reshape(len(units), 3)
-    placed = [(r["unit"], r["part"], int(s)) for r, s in zip(units, place(vectors, shards), strict=True)]
+    chosen = even_out(np.array([r["size"] for r in units], dtype=float), place(vectors, shards), shards)
+    placed = [(r["unit"], r["part"], int(s)) for r, s in zip(units, chosen, strict=True)]
     placement = spark.createDataFrame(placed, "unit long, part int, shard int")
     buckets = max(1, math.ceil((total["rows"] or 0) / SLOT_ROWS))
     sharded = marked.join(F.broadcast(placement), ["unit", "part"]).withColumn(
