@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,13 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:  # one machine, as in tests
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise in the folder that spark.checkpoint.dir names; one is made only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """The rows as a table in the folder that spark.checkpoint.dir names, read again; one is made only where it is unset.
+
+    Unlike DataFrame.checkpoint a table carries no constraints of the plan before it, which grow with every round of a loop.
+    The tables stay until that folder is cleared, as one does between applications.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/pitpanel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def n_bytes(text: Column) -> Column:

@@ -4,15 +4,14 @@ Documents with equal shingle sets form a class, so copies are one row from then
 one-permutation hashing; empty bins are filled by optimal densification. In each bucket of a band, members are
 linked with one centre only, so there are as many candidate edges as bucket members, not pairs; every edge is
 confirmed on the full sets. Where a bucket is not of one component afterwards, its centre leaves it, having met all
-others, and the rest gets new centres in the next round, until no bucket is left. So within a bucket no link between two
-components is lost, while buckets of near copies are done after one or two stars.
+others, and a second star has another centre. What buckets hold after that is compared whole, in blocks within tasks, so
+within a bucket no link between two components is lost, while most buckets are done after one or two stars.
 Components come from minimum labels with pointer jumping, in joins over checkpointed tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -24,6 +23,8 @@ from .common import checkpoint, chunks, inside, mix, text_bytes, window_hashes,
 SHINGLE = 2
 #: Bands and rows of a band: a pair at similarity 0.8 misses every bucket with a probability of about (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
+#: Star rounds before the members that buckets still hold are compared in blocks of about this many rows.
+STAR_ROUNDS, BLOCK_ROWS = 2, 1024
 _U64 = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -178,13 +179,14 @@ def near_groups(
     # One doc_id may come with several texts: its classes belong together, and each class takes its own set.
     twice = checkpoint(with_words.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
     if twice.limit(1).count():
-        sets = sets.join(classes.select("node", "n"), "node").filter(F.size("set") == F.col("n")).dropDuplicates(["node"])
+        sets = sets.join(classes.select("node", "n"), "node").filter(F.size("set") == F.col("n"))
+        sets = sets.select("node", "set").dropDuplicates(["node"])
         same = with_words.join(twice, "doc_id").join(classes.select("low", "high", "node"), ["low", "high"])
         same = same.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
         known = labels.union(same.select("a", "a")).distinct()
         labels = relabelled(known, same) if same.limit(1).count() else labels
     sets = checkpoint(sets)
-    for number in count():
+    for number in range(STAR_ROUNDS):
         live = _live(members, labels, number)
         if not live.limit(1).count():
             break
@@ -199,6 +201,9 @@ def near_groups(
             labels = relabelled(labels, found)
         # centres have met all others of their bucket
         members = live.filter("not centre").select("band", "hash", "node", "n")
+    found = checkpoint(_rest(_live(members, labels, STAR_ROUNDS), sets, percent))
+    if found.limit(1).count():
+        labels = relabelled(labels, found)
     done = classes.join(labels, "node").select("low", "high", "label")
     # a document of a repeated id takes the component of the id
     return (
@@ -214,22 +219,57 @@ def near_groups(
 
 
 def _live(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
-    """Members of buckets that aren't of one component yet, with their label and whether they are a centre of this round.
-
-    The first in the round's random order is a centre; from the third round on, so are about 2, 4, 8 and so on others of a bucket.
-    """
-    order = F.xxhash64("node", F.lit(number))
-    labelled = checkpoint(members.join(labels, "node").withColumn("order", order))
+    """Members of buckets that aren't of one component yet: their label, whether they are the centre of this round (the
+    first in its random order), and the number of members of their bucket."""
+    labelled = checkpoint(members.join(labels, "node").withColumn("order", F.xxhash64("node", F.lit(number))))
     open_ = checkpoint(
         labelled.groupBy("band", "hash")
         .agg(F.count("*").alias("size"), F.min("order").alias("first"), F.min("label").alias("x"), F.max("label").alias("y"))
         .filter("x < y")
         .select("band", "hash", "size", "first")
     )
-    centres = min(64, 2 ** max(0, number - 1))
-    every = F.greatest(F.lit(1), F.floor(F.col("size") / centres))
-    is_centre = (F.col("order") == F.col("first")) | ((F.pmod("order", every) == 0) if centres > 1 else F.lit(False))
-    return checkpoint(labelled.join(open_, ["band", "hash"]).select("band", "hash", "node", "n", "label", is_centre.alias("centre")))
+    centre = F.col("order") == F.col("first")
+    return checkpoint(
+        labelled.join(open_, ["band", "hash"]).select("band", "hash", "node", "n", "label", "size", centre.alias("centre"))
+    )
+
+
+def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between labels from all pairs of members that a bucket still holds.
+
+    A bucket is cut into blocks; a task compares two blocks at a time by products of their incidence matrices and gives
+    out the linked labels only, so no pairs are written and no task gets more than two blocks.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(-1)), blocks).cast("int")
+    placed = live.join(sets, "node").select("band", "hash", "label", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keyed = placed.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "set")
+    return keyed.groupBy("band", "hash", "i", "j").applyInPandas(_linker(percent), "a long, b long").distinct()
+
+
+def _linker(percent: int) -> Callable:
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        labels, sets = frame["label"].to_numpy(np.int64), frame["set"].to_list()
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = count > 1  # of use to some pair
+        number = np.cumsum(shared) - 1
+        use = shared[column]
+        row, column = row[use], number[column[use]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int(shared.sum()), 4096):
+            part = (column >= start) & (column < start + 4096)
+            matrix = np.zeros((len(sets), 4096), np.float32)
+            matrix[row[part], column[part] - start] = 1
+            both += matrix @ matrix.T
+        same = both.astype(np.int64)
+        linked = same * 100 >= (sizes[:, None] + sizes[None, :] - same) * percent
+        linked &= labels[:, None] < labels[None, :]
+        x, y = np.nonzero(linked)
+        return pd.DataFrame({"a": labels[x], "b": labels[y]}).drop_duplicates()
+
+    return links
 
 
 def _star_edges(live: DataFrame, percent: int) -> DataFrame:
