@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.readers import upsert
 
-BAR_SCHEMA = T.StructType.fromDDL("symbol string, date date, open double, high double, low double, close double, volume double, ingested_at timestamp")
+BAR_SCHEMA = "symbol string, date date, open double, high double, low double, close double, volume double, ingested_at timestamp"
 
 
-def stream_bars(spark: SparkSession, source: str, target: str, checkpoint: str, schema: T.StructType = BAR_SCHEMA) -> StreamingQuery:
+def stream_bars(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = BAR_SCHEMA) -> StreamingQuery:
     """Upserts daily rows from parquet files into a table partitioned by year; the row ingested last wins.
 
     A batch rewrites only the years that it touches, staged beside the table first, so a replay gives the same table.
