@@ -265,7 +265,7 @@ _indicator("d13_rolling_low", lambda: ind.rolling_low(C("close"), 52), _roll("mi
 _indicator("d14_dist_from_high", lambda: ind.dist_from_high(C("close"), 252), f"close / ({_roll('max', 'close', 252)}) - 1")
 _indicator("d15_volume_avg", lambda: ind.volume_avg(C("volume"), 20), _roll("avg", "volume", 20))
 _indicator("d16_adtv", lambda: ind.adtv(C("close"), C("volume"), 21), _roll("avg", "(close * volume)", 21))
-_indicator("d17_adtv_cr", lambda: ind.adtv_cr(C("turnover")), f"({_roll('avg', 'turnover', 20, 5)}) / 1e7", 10)
+_indicator("d17_adtv_cr", lambda: ind.adtv_cr(C("turnover")), f"({_roll('avg', 'turnover', 20, 5)}) / 1e7", 12)
 
 
 @query(f""", j AS (SELECT b.*, x.close AS bc FROM bars b JOIN bench x USING (date))
