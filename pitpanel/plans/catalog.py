@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions.columns import canon_symbol, modulo, ratio
-from ..operators import actions, audit, book, fundamentals, outcomes, panel, performance, pit, selection
+from ..operators import fundamentals, panel, pit
 from ..sources import readers
 from . import fixtures as fx
-from .strategy import StrategySpec, selections
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
