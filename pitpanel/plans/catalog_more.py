@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
+from ..functions.columns import clean_date, clean_number, period_end
 from ..operators import actions, audit, book, fundamentals, outcomes, panel, performance, pit, selection
+from ..sources import readers
 from . import fixtures as fx
 from .catalog import _LAG, _ROC, _SMA, W, C, _lag, _roll, query, r, rounded
 from .strategy import StrategySpec, selections
@@ -754,3 +756,54 @@ def l16_survivorship_coverage(s, d):
 def l17_uncertain_count(s, d):
     sec = fx.sectors(s, d)
     return audit.uncertain_count(sec, sec.filter("symbol % 5 = 0").withColumn("ca_uncertain", C("symbol") % 10 == 0))
+
+
+# ---- A: sources over texts that Spark derives from the tables ---------------------------------------------------------------
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE round(s_acctbal, 2) END AS value FROM supplier")
+def a7_clean_number(s, d):
+    t = fx.table(s, d, "supplier")
+    text = F.when(C("s_suppkey") % 7 == 0, "N/A").otherwise(F.concat(F.lit("₹ "), F.format_number("s_acctbal", 2), F.lit(" %")))
+    return t.select(C("s_suppkey").alias("id"), clean_number(text).alias("value"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) END AS period_end,
+  CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""")
+def a8_period_end(s, d):
+    o = fx.table(s, d, "orders")
+    label = F.when(C("o_orderkey") % 5 == 0, "TTM").when(C("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MMM yyyy")).otherwise(F.date_format("o_orderdate", "MMM-yyyy"))
+    day = F.when(C("o_orderkey") % 3 == 0, "-").when(C("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd-MMM-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select(C("o_orderkey").alias("id"), period_end(label).alias("period_end"), clean_date(day).alias("day"))
+
+
+@query("""SELECT CAST(ts AS DATE) AS fetch_date, 'U' || user_id AS symbol, CASE WHEN event_type IN ('click', 'view') THEN 'ASM-LT' ELSE 'GSM' END AS list_type, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS stage FROM events""")
+def a11_flatten_surveillance(s, d):
+    e = fx.table(s, d, "events")
+    item = F.struct(F.concat(F.lit("u"), C("user_id").cast("string"), F.lit(".NS")).alias("symbol"), F.get_json_object("props", "$.k").alias("asmSurvIndicator"))
+    graded = F.struct(item["symbol"].alias("symbol"), item["asmSurvIndicator"].alias("gsmStage"))
+    watched = C("event_type").isin("click", "view")
+    asm = F.when(watched, F.to_json(F.struct(F.struct(F.array(item).alias("data")).alias("longterm"))))
+    raw = e.select(F.to_date("ts").alias("fetch_date"), asm.alias("asm"), F.when(~watched, F.to_json(F.array(graded))).alias("gsm"))
+    return readers.flatten_surveillance(raw)
+
+
+@query("SELECT symbol, 'buy' AS action, CASE WHEN symbol % 3 > 0 THEN px END AS price, NULL AS stop FROM (SELECT symbol, arg_max(adj_close, date) AS px FROM bars GROUP BY symbol)")
+def a13_order_rows(s, d):
+    last = pit.latest_close(fx.bars(s, d))
+    price = F.when(C("symbol") % 3 > 0, C("last_close")).otherwise(F.lit(float("nan")))
+    return readers.order_rows(last.select("symbol", F.lit("buy").alias("action"), price.alias("price"))).select("symbol", "action", "price", "stop")
+
+
+@query("SELECT upper(s_name) AS symbol, s_name AS name, r_name AS sector FROM supplier JOIN sectors ON symbol = s_suppkey JOIN region ON r_name = sector WHERE s_suppkey % 4 > 0")
+def a14_normalize_universe(s, d):
+    t = fx.table(s, d, "supplier").join(fx.sectors(s, d), C("s_suppkey") == C("symbol"))
+    raw = t.select(
+        F.concat(F.lit(" "), "s_name", F.lit(".NS")).alias("NSE Symbol"), C("s_name").alias("Company Name"), C("sector").alias("Industry"), F.when(C("s_suppkey") % 4 == 0, "BE").otherwise("EQ").alias("Series")
+    )
+    return readers.normalize_universe(raw).select("symbol", "name", "sector")
+
+
+@query("SELECT metric, round(value, 6) AS value, round(expected, 6) AS expected, round(value - expected, 6) AS diff, CASE WHEN abs(value - expected) <= 0.12 THEN 'ok' ELSE 'off' END AS status FROM ("
+       "SELECT variant AS metric, arg_max(nav, date) / arg_min(nav, date) - 1 AS value, (arg_max(nav, date) / arg_min(nav, date) - 1) * 1.05 AS expected FROM nav GROUP BY variant)")
+def l14_tolerance_check(s, d):
+    got = performance.returns_summary(fx.nav(s, d)).select(C("variant").alias("metric"), C("total_return").alias("value"))
+    return rounded(audit.tolerance_check(got, got.withColumn("value", C("value") * 1.05)), 6)
