@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, inside, mix, text_bytes, window_hashes, word_codes, word_hashes
+from .common import checkpoint, chunks, mix, text_bytes, window_hashes, word_codes, word_hashes
 
 SHINGLE = 2
 #: Bands and rows of a band: a pair at similarity 0.8 misses every bucket with a probability of about (1 - 0.8**5)**32 = 3e-6.
@@ -165,8 +165,11 @@ def near_groups(
         ).select("low", "high", F.col("first.doc_id").alias("node"), F.col("first.n").alias("n"), "bands")
     )
     members = checkpoint(
-        classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).groupBy("band", "hash")
-        .agg(F.count("*").alias("size")).filter("size > 1").select("band", "hash")
+        classes.select(F.posexplode("bands").alias("band", "hash"))
+        .groupBy("band", "hash")
+        .agg(F.count("*").alias("size"))
+        .filter("size > 1")
+        .select("band", "hash")
     )
     members = checkpoint(
         classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).join(members, ["band", "hash"])

@@ -50,12 +50,8 @@ class _Block:
             np.concatenate(x) if x else np.zeros(0, kind)
             for x, kind in ((lows, _U64), (highs, _U64), (docs, np.int64))
         )
-        # The slice is the first key, so the distinct windows of a slice lie side by side.
-        slice_of = (self.low >> _U64(33)) % _U64(slices)
-        order = np.lexsort((self.high, self.low, slice_of))
+        order, new = _grouped(self.low, self.high)
         low, high = self.low[order], self.high[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
@@ -64,7 +60,9 @@ class _Block:
         last = np.maximum.reduceat(doc[order], first) if len(first) else np.zeros(0, np.int64)
         self.several = last > self.first_doc  # in two documents of this block already
         self.doc = doc
-        self.bounds = np.searchsorted(slice_of[order][first], np.arange(slices + 1))
+        # Slices are ranges of hashes, so the distinct windows of a slice lie side by side.
+        edges = np.array([-(-(k << 64) // slices) for k in range(slices)], dtype=_U64)
+        self.bounds = np.append(np.searchsorted(self.first_low, edges), len(first))
 
     def hashes(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Two lanes of hashes of the windows of texts a to b, and the numbers of words."""
@@ -83,6 +81,16 @@ class _Block:
                 yield k, row, *np.unique(cell.astype(np.uint32), return_inverse=True)
 
 
+def _grouped(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal pairs side by side, and where a new pair begins in it."""
+    order = np.argsort(low)
+    same = low[order][1:] == low[order][:-1]
+    if (same & (high[order][1:] != high[order][:-1])).any():  # one lane alone doesn't tell them apart
+        order = np.lexsort((high, low))
+        same = (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
+    return order, np.append(np.ones(min(1, len(order)), bool), ~same)
+
+
 def pack(cells: np.ndarray, flags: np.ndarray) -> bytes:
     """Ascending cells with a flag each, as differences; bytes of equal weight lie side by side, for the compressor."""
     steps = (np.diff(cells, prepend=np.uint32(0)).astype(np.uint32) << np.uint32(1)) | flags.astype(np.uint32)
@@ -163,9 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: Sequence[str] =
         hashes = [np.frombuffer(h, _U64).reshape(2, -1) for h in frame["hashes"]]
         low, high = np.concatenate(hashes, axis=1)
         doc = np.concatenate([np.frombuffer(d, np.int64) for d in frame["docs"]])
-        order = np.lexsort((high, low))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        order, new = _grouped(low, high)
         least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
         earlier = np.empty(len(order), bool)
         earlier[order] = least[np.cumsum(new) - 1] < doc[order]
@@ -181,7 +187,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: Sequence[str] =
         own = _Block(frame, window, slices)
         earlier = np.zeros(len(own.first_low), bool)
         sketched = answers[answers["row"] >= 0]
-        found = {int(k): d for k, d in zip(*answers.loc[answers["row"] < 0, ["slice", "data"]].to_numpy().T, strict=True)} if len(answers) else {}
+        exacted = answers[answers["row"] < 0]
+        found = {int(k): d for k, d in zip(exacted["slice"], exacted["data"], strict=True)}
         for k, pick in _repeated(own, sketched, width):
             earlier[pick] = _bits(found[k], len(pick))
         goes = earlier[own.group] | (own.doc > own.first_doc[own.group])
@@ -219,8 +226,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: Sequence[str] =
         .cogroup(cells.groupBy("block"))
         .applyInPandas(candidates, "slice int, block int, hashes binary, docs binary")
     )
-    exacted = sent.groupBy("slice").applyInPandas(exact, "block int, slice int, data binary")
-    answers = cells.unionByName(exacted.withColumn("row", F.lit(-1)))
+    judged = sent.groupBy("slice").applyInPandas(exact, "block int, slice int, data binary")
+    answers = cells.unionByName(judged.withColumn("row", F.lit(-1)))
     return (
         dealt.groupBy("block")
         .cogroup(answers.groupBy("block"))
