@@ -348,6 +348,21 @@ def test_html_extraction(spark):
         assert out[r["page_id"]]["text"] == want and out[r["page_id"]]["n_chars"] == len(want)
 
 
+def test_hidden_is_read_from_attributes_only():
+    story = "The river rose in the night, and by morning the lower road was gone. "
+    shown = ['class="overflow-hidden"', 'class=hidden-xs', 'id="hidden-gems"', 'title="The hidden river"', "data-a='display:none'", 'style="overflow:hidden"']
+    gone = ["hidden", 'class="a" hidden=""', 'aria-hidden="true"', 'style="color:red; display : none"', "STYLE='display:none'"]
+    model = html_content.train(html_content.SEED_WEIGHT * html_content.seed_pages())
+    for attributes in [*shown, *gone]:
+        assert html_content.parse(f"<p {attributes}>{story}</p>")[0][1].hidden == (attributes in gone), attributes
+        page = f'<html><body><nav><a href="/">Home</a></nav><article><p>{story}</p><p {attributes}>Second. {story}</p></article></body></html>'
+        assert ("Second." in html_content.main_text(page, model)) == (attributes in shown), attributes
+        page = f'<html><body><div {attributes}><article><h1>Flood</h1><p>{story * 2}</p></article></div><footer>Foot</footer></body></html>'
+        assert (story.strip() in html_content.main_text(page, model)) or attributes in gone, attributes
+    page = f'<html><body><article><h1>Flood</h1><p>{story * 3}<a href="/a/hidden/b">The bridge.</a></p></article></body></html>'
+    assert html_content.main_text(page, model) == "Flood\n\n" + story * 3 + "The bridge."
+
+
 def test_empty_tables(spark, docs, benchmark):
     import public_tokenizers
 
