@@ -363,6 +363,17 @@ def test_hidden_is_read_from_attributes_only():
     assert html_content.main_text(page, model) == "Flood\n\n" + story * 3 + "The bridge."
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){{ // don{}t\n}}</script>", "<style>/* a<b don{}t */</style>", "<title>i<n don{}t</title>"])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_raw_elements_end_at_their_end_tag(raw, quote):
+    story = "The river rose in the night, and by morning the lower road was gone. "
+    model = html_content.train(html_content.SEED_WEIGHT * html_content.seed_pages())
+    own = raw.format(quote)
+    for tail in ("", " It's late."):
+        page = f"<html><head>{own}</head><body><article><h1>Flood</h1>{own}<p>{story * 3}</p><p>{story}Last.{tail}</p></article></body></html>"
+        assert html_content.main_text(page, model) == f"Flood\n\n{(story * 3).strip()}\n\n{story}Last.{tail}"
+
+
 def test_empty_tables(spark, docs, benchmark):
     import public_tokenizers
 
