@@ -102,16 +102,29 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 
 def _set_maker(width: int) -> Callable:
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, out = [text_bytes(t) for t in batch], []
+            texts, lows, out = [text_bytes(t) for t in batch], [], []
             for a, b in chunks(texts):
-                out += [v.view(np.int64) for v in shingle_sets(texts[a:b], width)]
-            yield pd.Series(out)
+                for values in shingle_sets(texts[a:b], width):
+                    lows.append(_digest(values)[0] if len(values) else 0)
+                    out.append(values.view(np.int64))
+            yield pd.DataFrame({"low": lows, "set": out})
 
     return sets
 
 
+def _low_maker(width: int) -> Callable:
+    def lows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts, out = [text_bytes(t) for t in batch], []
+            for a, b in chunks(texts):
+                out += [_digest(values)[0] if len(values) else 0 for values in shingle_sets(texts[a:b], width)]
+            yield pd.Series(out, dtype=np.int64)
+
+    return lows
+
+
 def _confirmed(a: Column, b: Column, percent: int) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both * 100 >= (F.size(a) + F.size(b) - both) * percent
@@ -152,17 +165,47 @@ def near_groups(
     set is empty and its document is linked with nothing. Rows with a null doc_id are linked with nothing, get a null
     component_id and are kept; rows that repeat a doc_id belong together. An empty table stays empty; other columns are ignored.
     """
+    profiled, classes, labels = _near_labels(docs, percent, width, bands, rows)
+    with_words = profiled.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    # One doc_id may come with several texts: the components of its classes belong together.
+    twice = checkpoint(with_words.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
+    if twice.limit(1).count():
+        own = with_words.join(twice, "doc_id").select("doc_id", "low", "high").distinct()
+        own = own.join(classes.select("low", "high", "node"), ["low", "high"]).join(labels, "node")
+        own = checkpoint(own.select("doc_id", "label").distinct())
+        heads = own.groupBy("doc_id").agg(F.min("label").alias("b"))
+        same = checkpoint(own.join(heads, "doc_id").filter("label <> b").select(F.col("label").alias("a"), "b").distinct())
+        if same.limit(1).count():
+            labels = relabelled(labels, same)
+    done = classes.join(labels, "node").select("low", "high", F.col("label.id").alias("label"))
+    return (
+        profiled.join(done, ["low", "high"], "left")
+        .withColumn("component_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")))
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            "component_id",
+            F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        )
+    )
+
+
+def _near_labels(docs: DataFrame, percent: int, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles of all rows, classes of equal sets, and the label of each class: the smallest node among the near ones.
+
+    A class's node is its smallest doc_id with its digest, as one doc_id may come with several texts. Links between the
+    classes of one doc_id aren't in the labels.
+    """
     profile = F.pandas_udf(_profiler(width, bands, rows), "n long, low long, high long, bands array<long>")
     text = F.col("text").cast("string")
     profiled = checkpoint(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), profile(text).alias("p")).select("doc_id", "p.*")
     )
     with_words = profiled.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # a class of equal sets is named by its smallest doc_id
     classes = checkpoint(
         with_words.groupBy("low", "high").agg(
-            F.min_by(F.struct("doc_id", "n"), F.col("doc_id")).alias("first"), F.any_value("bands").alias("bands")
-        ).select("low", "high", F.col("first.doc_id").alias("node"), F.col("first.n").alias("n"), "bands")
+            F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")
+        ).select("low", "high", F.struct("id", "low").alias("node"), "n", "bands")
     )
     members = checkpoint(
         classes.select(F.posexplode("bands").alias("band", "hash"))
@@ -174,20 +217,15 @@ def near_groups(
     members = checkpoint(
         classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).join(members, ["band", "hash"])
     )
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets_udf = F.pandas_udf(_set_maker(width), "array<long>")
+    wanted = members.select(F.col("node.id").alias("doc_id")).distinct()
+    sets_udf = F.pandas_udf(_set_maker(width), "low long, set array<long>")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(wanted, "doc_id")
-    sets = texts.select(F.col("doc_id").alias("node"), sets_udf("text").alias("set"))
+    sets = texts.select("doc_id", sets_udf("text").alias("p"))
+    sets = sets.select(F.struct(F.col("doc_id").alias("id"), F.col("p.low").alias("low")).alias("node"), F.col("p.set").alias("set"))
+    # rows may repeat both doc_id and text
+    if with_words.groupBy("doc_id", "low").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count():
+        sets = sets.dropDuplicates(["node"])
     labels = classes.select("node", F.col("node").alias("label"))
-    # One doc_id may come with several texts: its classes belong together, and each class takes its own set.
-    twice = checkpoint(with_words.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
-    if twice.limit(1).count():
-        sets = sets.join(classes.select("node", "n"), "node").filter(F.size("set") == F.col("n"))
-        sets = sets.select("node", "set").dropDuplicates(["node"])
-        same = with_words.join(twice, "doc_id").join(classes.select("low", "high", "node"), ["low", "high"])
-        same = same.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        known = labels.union(same.select("a", "a")).distinct()
-        labels = relabelled(known, same) if same.limit(1).count() else labels
     sets = checkpoint(sets)
     for number in range(STAR_ROUNDS):
         live = _live(members, labels, number)
@@ -207,18 +245,7 @@ def near_groups(
     found = checkpoint(_rest(_live(members, labels, STAR_ROUNDS), sets, percent))
     if found.limit(1).count():
         labels = relabelled(labels, found)
-    done = classes.join(labels, "node").select("low", "high", "label")
-    # a document of a repeated id takes the component of the id
-    return (
-        profiled.join(done, ["low", "high"], "left")
-        .withColumn("component_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")))
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            "component_id",
-            F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        )
-    )
+    return profiled, classes, labels
 
 
 def _live(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
@@ -246,13 +273,16 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(-1)), blocks).cast("int")
     placed = live.join(sets, "node").select("band", "hash", "label", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    keyed = placed.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "set")
-    return keyed.groupBy("band", "hash", "i", "j").applyInPandas(_linker(percent), "a long, b long").distinct()
+    keyed = placed.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label.id", "label.low", "set")
+    linked = keyed.groupBy("band", "hash", "i", "j").applyInPandas(_linker(percent), "a long, a_low long, b long, b_low long").distinct()
+    name = lambda id_, low: F.struct(F.col(id_).alias("id"), F.col(low).alias("low"))
+    return linked.select(name("a", "a_low").alias("a"), name("b", "b_low").alias("b"))
 
 
 def _linker(percent: int) -> Callable:
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        labels, sets = frame["label"].to_numpy(np.int64), frame["set"].to_list()
+        names, labels = np.unique(frame[["id", "low"]].to_numpy(np.int64), axis=0, return_inverse=True)
+        sets = frame["set"].to_list()
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), sizes)
@@ -270,7 +300,8 @@ def _linker(percent: int) -> Callable:
         linked = same * 100 >= (sizes[:, None] + sizes[None, :] - same) * percent
         linked &= labels[:, None] < labels[None, :]
         x, y = np.nonzero(linked)
-        return pd.DataFrame({"a": labels[x], "b": labels[y]}).drop_duplicates()
+        a, b = np.unique(np.stack([labels[x], labels[y]]), axis=1) if len(x) else (x, y)
+        return pd.DataFrame({"a": names[a, 0], "a_low": names[a, 1], "b": names[b, 0], "b_low": names[b, 1]})
 
     return links
 
@@ -290,13 +321,22 @@ def _star_edges(live: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of docs that stand for their group, with the columns of docs.
+    """The rows of docs that stand for their group of near texts, with the columns of docs.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    Of rows that repeat both doc_id and text one stays; different texts of one doc_id aren't copies of each other and
+    stand for groups of their own. Rows with a null doc_id all stay.
     """
-    groups = checkpoint(near_groups(docs, percent, width))
-    stays = groups.filter(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_stays")).distinct()
-    known = docs.join(stays, F.col("doc_id").cast("long") == F.col("_stays"), "left_semi")
-    if stays.count() < groups.filter(F.col("kept") & F.col("doc_id").isNotNull()).count():
-        known = known.dropDuplicates(["doc_id"])
-    return known.union(docs.filter(F.col("doc_id").isNull()))
+    profiled, classes, labels = _near_labels(docs, percent, width, BANDS, ROWS)
+    heads = classes.join(labels, "node").filter("node = label").select(F.col("node.id").alias("_id"), F.col("node.low").alias("_low"))
+    empty = profiled.filter("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("low").alias("_low"))
+    stays = checkpoint(heads.union(empty).distinct())
+    own = F.col("doc_id").cast("long")
+    known = docs.join(stays.select("_id").distinct(), own == F.col("_id"), "left_semi")
+    several = profiled.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    several = checkpoint(several.select(F.col("doc_id").alias("_id")))
+    if several.limit(1).count():
+        low = F.pandas_udf(_low_maker(width), "long")(F.col("text").cast("string"))
+        again = known.join(several, own == F.col("_id"), "left_semi").withColumns({"_id": own, "_low": low})
+        again = again.join(stays, ["_id", "_low"], "left_semi").dropDuplicates(["_id", "_low"]).select(*docs.columns)
+        known = known.join(several, own == F.col("_id"), "left_anti").union(again)
+    return known.union(docs.filter(own.isNull()))

@@ -404,6 +404,20 @@ def test_one_id_with_several_texts(spark):
     assert len(out) == 4 and {r["component_id"] for r in out} == {0}
 
 
+@pytest.mark.parametrize("stars", [0, 2])
+def test_near_links_through_both_texts_of_one_id(spark, monkeypatch, stars):
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", stars)
+    texts = [[f"{lane}{k}" for k in range(60)] for lane in "abc"]
+    a, b, c = (" ".join(t) for t in texts)
+    near_a, near_b, near_c = (" ".join([*t[:-1], "edit"]) for t in texts)
+    rows = [(1, a), (1, b), (1, a), (1, ""), (2, near_a), (2, c), (3, near_b), (4, near_c), (5, "apart " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = collect(near_dedup.near_groups(df), "doc_id", "component_id", "kept")
+    assert out == sorted(((i, 5 if i == 5 else 1, i in (1, 5)) for i, _ in rows), key=str)
+    one = collect(near_dedup.one_of_each(df), "doc_id", "text")
+    assert one == sorted([(1, a), (1, b), (1, ""), (2, c), (5, "apart " * 20)], key=str)
+
+
 def test_hashes_tell_windows_apart():
     from pitpanel.llm.common import inside, window_hashes, word_codes, word_hashes
 
