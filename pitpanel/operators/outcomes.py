@@ -135,15 +135,17 @@ def trade_outcomes(exits: DataFrame, cost_mult: float = 1.0, buy_rate: float = B
 
 
 def nav_series(
-    trades: DataFrame, bars: DataFrame, capital: float, keys: Sequence[str] = (), buy_rate: float = BUY_RATE, sell_rate: float = SELL_RATE
+    trades: DataFrame, bars: DataFrame, capital: float, keys: Sequence[str] = (), buy_rate: float = BUY_RATE, sell_rate: float = SELL_RATE,
+    trade: Sequence[str] = (),
 ) -> DataFrame:
     """date, ret, exposure, nav: the sum of weight times a day's return over open trades, less costs on entry and exit days.
 
     A trade earns from its entry price on its first day to its exit price on its last, and close to close between.
+    keys tell books apart, trade tells apart the trades of one symbol and entry date within a book.
     """
     b = bars.select(F.col("symbol").alias("_symbol"), "date", "close")
     held = trades.join(b, (F.col("symbol") == F.col("_symbol")) & F.col("date").between(F.col("entry_date"), F.col("exit_date")))
-    run = Window.partitionBy(*keys, "symbol", "entry_date").orderBy("date")
+    run = Window.partitionBy(*keys, *trade, "symbol", "entry_date").orderBy("date")
     start = F.coalesce(F.lag("close").over(run), F.col("entry"))
     stop = F.when(F.col("date") == F.col("exit_date"), F.col("exit")).otherwise(F.col("close"))
     cost = F.when(F.col("date") == F.col("entry_date"), F.lit(buy_rate)).otherwise(0.0) + F.when(

@@ -10,7 +10,7 @@ from ..functions.columns import clean_date, clean_number, period_end
 from ..operators import actions, audit, book, fundamentals, outcomes, panel, performance, pit, selection
 from ..sources import readers
 from . import fixtures as fx
-from .catalog import _LAG, _ROC, _SMA, W, C, _lag, _roll, query, r, rounded
+from .catalog import ORACLES, QUERIES, _LAG, _ROC, _SMA, W, C, _lag, _roll, query, r, rounded
 from .strategy import StrategySpec, selections
 
 # ---- F: corporate actions ---------------------------------------------------------------------------------------------------
@@ -455,17 +455,24 @@ def _trades(s, d):
     return out.withColumn("risk", C("entry") - C("stop"))
 
 
+def _all_trades(s, d):
+    """A trade for every position; the queries on _trades keep one of a symbol and day, as their SQL does."""
+    sp = fx.positions(s, d).select("position_id", "symbol", "entry_date", F.date_add("entry_date", 120).alias("exit_date"), F.lit("end").alias("exit_reason"), "stop", "target")
+    out = outcomes.first_touch(sp, fx.bars(s, d), max_hold=60, keys=["position_id"])
+    return out.withColumn("risk", C("entry") - C("stop"))
+
+
 @query(_TOUCH + " SELECT position_id, exit_date, round(exit, 6) AS exit, exit_reason FROM trades")
-def i2_i4_first_touch(s, d):
-    return _trades(s, d).select("position_id", "exit_date", r("exit"), "exit_reason")
+def i2_i4_first_touch(s, d, trades=_trades):
+    return trades(s, d).select("position_id", "exit_date", r("exit"), "exit_reason")
 
 
 _NET = "(exit * (1 - 0.0010362 * {m})) / (entry * (1 + 0.0011862 * {m})) - 1"
 
 
 @query(_TOUCH + f" SELECT position_id, round({_NET.format(m=1)}, 9) AS return_pct, CASE WHEN risk > 0 THEN round((exit - entry) / risk, 6) END AS r_multiple, CAST(exit_date - entry_date AS INTEGER) AS holding_days FROM trades")
-def i6_trade_outcomes(s, d):
-    return outcomes.trade_outcomes(_trades(s, d)).select("position_id", r("return_pct", 9), r("r_multiple"), "holding_days")
+def i6_trade_outcomes(s, d, trades=_trades):
+    return outcomes.trade_outcomes(trades(s, d)).select("position_id", r("return_pct", 9), r("r_multiple"), "holding_days")
 
 
 @query("SELECT symbol, max(date) AS last_date, arg_max(close, date) AS last_close FROM bars GROUP BY symbol HAVING max(date) < (SELECT max(date) FROM bars)")
@@ -477,17 +484,17 @@ def i5_delisting_dates(s, d):
 q AS (SELECT date, 0.0001 * (CASE WHEN date = exit_date THEN exit ELSE close END / coalesce(pc, entry) - 1 - CASE WHEN date = entry_date THEN 0.0011862 ELSE 0 END - CASE WHEN date = exit_date THEN 0.0010362 ELSE 0 END) AS x FROM h),
 dy AS (SELECT date, sum(x) AS ret, 0.0001 * count(*) AS exposure FROM q GROUP BY date)
 SELECT date, round(ret, 9) AS ret, round(exposure, 9) AS exposure, round(1000000 * exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)), 3) AS nav FROM dy""")
-def i7_nav_series(s, d):
-    t = _trades(s, d).withColumn("weight", F.lit(0.0001))
-    out = outcomes.nav_series(t, fx.bars(s, d), 1e6)
+def i7_nav_series(s, d, trades=_trades):
+    t = trades(s, d).withColumn("weight", F.lit(0.0001))
+    out = outcomes.nav_series(t, fx.bars(s, d), 1e6, trade=["position_id"])
     return out.select("date", r("ret", 9), r("exposure", 9), r("nav", 3))
 
 
 @query(_TOUCH + """, h AS (SELECT b.date, count(*) * 0.0001 AS e FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date BETWEEN t.entry_date AND t.exit_date GROUP BY b.date)
 SELECT round(avg(e), 9) AS exposure, round((SELECT count(*) * 0.0002 FROM trades) / 2 / (CAST(max(date) - min(date) AS DOUBLE) / 365.25), 9) AS turnover FROM h""")
-def i8_exposure_turnover(s, d):
-    t = _trades(s, d).withColumn("weight", F.lit(0.0001))
-    nav = outcomes.nav_series(t, fx.bars(s, d), 1e6)
+def i8_exposure_turnover(s, d, trades=_trades):
+    t = trades(s, d).withColumn("weight", F.lit(0.0001))
+    nav = outcomes.nav_series(t, fx.bars(s, d), 1e6, trade=["position_id"])
     return rounded(outcomes.exposure(nav).join(outcomes.turnover(t, nav)))
 
 
@@ -535,8 +542,8 @@ def i11_walk_forward(s, d):
 
 @query(_TOUCH + f""" SELECT m AS cost_mult, count(*) AS n, round(avg({_NET.format(m='m')}), 9) AS mean_return, round(avg(CASE WHEN {_NET.format(m='m')} > 0 THEN 1.0 ELSE 0.0 END), 9) AS win_rate
 FROM trades, (SELECT unnest([0.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS m) GROUP BY m""")
-def i12_cost_sensitivity(s, d):
-    return rounded(outcomes.cost_sensitivity(_trades(s, d)))
+def i12_cost_sensitivity(s, d, trades=_trades):
+    return rounded(outcomes.cost_sensitivity(trades(s, d)))
 
 
 @query("SELECT date, round(max(nav) FILTER (variant = '1-URGENT'), 4) AS nav_a, round(max(nav) FILTER (variant = '5-LOW'), 4) AS nav_b FROM nav WHERE variant IN ('1-URGENT', '5-LOW') GROUP BY date")
@@ -576,12 +583,22 @@ _STATS = _TOUCH + f""", o AS (SELECT exit_reason AS variant, {_NET.format(m=1)}
 
 @query(_STATS + """ SELECT variant, count(*) AS n, round(avg(CASE WHEN q > 0 THEN 1.0 ELSE 0.0 END), 9) AS win_rate, round(coalesce(avg(q) FILTER (q > 0), 0), 9) AS avg_win, round(coalesce(avg(q) FILTER (q <= 0), 0), 9) AS avg_loss,
   round(coalesce(CASE WHEN sum(q) FILTER (q <= 0) < 0 THEN sum(q) FILTER (q > 0) / -sum(q) FILTER (q <= 0) END, 0), 6) AS profit_factor, round(avg(h), 6) AS avg_holding_days FROM o GROUP BY variant""")
-def j8_trade_stats(s, d):
-    t = outcomes.trade_outcomes(_trades(s, d)).withColumn("variant", C("exit_reason"))
+def j8_trade_stats(s, d, trades=_trades):
+    t = outcomes.trade_outcomes(trades(s, d)).withColumn("variant", C("exit_reason"))
     out = performance.trade_stats(t)
     return out.select("variant", "n", r("win_rate", 9), r("avg_win", 9), r("avg_loss", 9), r("profit_factor"), r("avg_holding_days"))
 
 
+# The same queries over every position, with keys that hold position_id.
+_ONE = " QUALIFY row_number() OVER (PARTITION BY symbol, entry_date ORDER BY position_id) = 1"
+for _fn in (i2_i4_first_touch, i6_trade_outcomes, i7_nav_series, i8_exposure_turnover, i12_cost_sensitivity, j8_trade_stats):
+    _sql = ORACLES[_fn.__name__].replace(_ONE, "")
+    for _t in ("sp", "t"):
+        _sql = _sql.replace(f"PARTITION BY {_t}.symbol, {_t}.entry_date", f"PARTITION BY {_t}.position_id")
+    QUERIES[f"{_fn.__name__}_all"] = lambda s, d, fn=_fn: fn(s, d, _all_trades)
+    ORACLES[f"{_fn.__name__}_all"] = _sql
+
+
 @query(f""", b AS (SELECT {_CAGR} AS c FROM (SELECT date, close AS nav FROM bench))
 SELECT variant, CASE WHEN variant <> '5-LOW' THEN round(c, 6) END AS benchmark_cagr, CASE WHEN variant <> '5-LOW' THEN round({_CAGR} - c, 6) END AS active_return, CASE WHEN variant = '5-LOW' THEN 'no meaningful exposure' END AS note
 FROM nav, b GROUP BY variant, c""")

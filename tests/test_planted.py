@@ -212,6 +212,21 @@ def test_first_touch_rules(spark):
     assert (trail["exit_reason"], trail["exit"]) == ("stop", 80.0)
 
 
+def test_positions_of_one_symbol_and_day_are_trades_of_their_own(spark, sf):
+    import __spark_entry__ as entry
+    from pitpanel.plans import fixtures
+
+    d = days(3)
+    sp = spark.createDataFrame([(i, "X", d[0], d[2], "end", stop, 99.0) for i, stop in ((1, 9.5), (2, 1.0))], "position_id long, symbol string, entry_date date, exit_date date, exit_reason string, stop double, target double")
+    df = bars(spark, [10, 9, 8], "X")
+    t = outcomes.first_touch(sp, df, keys=["position_id"])
+    assert {r["position_id"]: (r["exit_date"], r["exit_reason"]) for r in t.collect()} == {1: (d[1], "stop"), 2: (d[2], "end")}
+    nav = outcomes.nav_series(t.withColumn("weight", F.lit(0.5)), df, 1.0, buy_rate=0, sell_rate=0, trade=["position_id"]).orderBy("date").collect()
+    assert [(r["ret"], r["exposure"]) for r in nav] == [pytest.approx(x) for x in ((0, 1), (-0.1, 1), (-1 / 18, 0.5))]
+    out = entry.queries()["i2_i4_first_touch_all"](spark, sf)
+    assert out.count() == fixtures.positions(spark, sf).count()
+
+
 def test_delisted_trades_end_at_the_last_close(spark):
     live, dead = bars(spark, [10] * 10, "L"), bars(spark, [10, 9, 8], "X")
     sp = spans(spark, [("X", days(1)[0], days(10)[-1], "end", 0.0, 99.0)])
