@@ -158,6 +158,13 @@ def b11_metric_panel(s, d):
     return rounded(panel.metric_panel(e, "NP", ids), 4)
 
 
+@query("SELECT date, 'C' || id AS symbol, round(avg(value), 4) AS value FROM eav WHERE metric = 'NP' GROUP BY ALL")
+def b11_metric_panel_all(s, d):
+    e = fx.eav(s, d)
+    ids = e.select("id").distinct().withColumn("symbol", F.concat(F.lit("C"), "id"))
+    return rounded(panel.metric_panel(e, "NP", ids), 4)
+
+
 @query("SELECT symbol, date, close FROM bars WHERE date < DATE '2000-01-01' UNION ALL SELECT symbol, date, low FROM bars WHERE date > (SELECT max(date) FROM bars WHERE date < DATE '2000-01-01')")
 def b12_splice_latest(s, d):
     b = fx.bars(s, d)

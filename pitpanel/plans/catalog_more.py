@@ -392,6 +392,11 @@ def h15_entry_context(s, d):
     return selection.with_entry_context(sig, fx.bars(s, d)).select("symbol", r("extension"))
 
 
+@query(f", c AS (SELECT symbol, date, (close / ({_SMA('close', 50)}) - 1) * 100 AS extension FROM bars) SELECT symbol, round(arg_max(row(extension), date)[1], 6) AS extension FROM c GROUP BY symbol")
+def h15_entry_context_all(s, d):
+    return selection.with_entry_context(fx.sectors(s, d).select("symbol"), fx.bars(s, d)).select("symbol", r("extension"))
+
+
 @query("SELECT symbol, max(date) AS last_date, CAST(DATE '2002-01-01' - max(date) AS INTEGER) AS age, count(close) AS n_bars, DATE '2002-01-01' - max(date) > 30 AS stale, count(close) < 60 AS short_history FROM bars GROUP BY symbol")
 def h16_freshness(s, d):
     return selection.freshness(fx.bars(s, d), "2002-01-01", 30)

@@ -227,6 +227,16 @@ def test_positions_of_one_symbol_and_day_are_trades_of_their_own(spark, sf):
     assert out.count() == fixtures.positions(spark, sf).count()
 
 
+def test_whole_tables_reach_entry_context_and_metric_panel(spark, sf):
+    import __spark_entry__ as entry
+    from pitpanel.plans import fixtures
+
+    q = entry.queries()
+    assert q["h15_entry_context_all"](spark, sf).count() == fixtures.sectors(spark, sf).count()
+    ids = fixtures.eav(spark, sf).filter("metric = 'NP'").select("id").distinct().count()
+    assert q["b11_metric_panel_all"](spark, sf).select("symbol").distinct().count() == ids
+
+
 def test_delisted_trades_end_at_the_last_close(spark):
     live, dead = bars(spark, [10] * 10, "L"), bars(spark, [10, 9, 8], "X")
     sp = spans(spark, [("X", days(1)[0], days(10)[-1], "end", 0.0, 99.0)])
