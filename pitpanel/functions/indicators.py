@@ -94,41 +94,39 @@ def rel_strength(bars: DataFrame, bench: DataFrame, n: int = 63, out: str | None
     return joined.withColumn(out, F.try_divide(own, of_bench)).drop("_bench")
 
 
-def _before(block: str):
-    return lambda end: end["b"] < F.col(block)
-
-
 def ewm(df: DataFrame, inputs: dict[str, str], alpha: float, least: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds exponentially weighted means y_0 = x_0, y_i = alpha * x_i + (1 - alpha) * y_(i-1); inputs maps output to input.
 
-    Nulls may only lead a symbol's series. Rows are dealt into blocks short enough that powers of (1 - alpha) stay in range; inside
-    a block the recursion is a scaled running sum, and what a block passes on is folded over the symbol's blocks. So the longest
-    array is a symbol's number of blocks, and everything stays in built-in expressions. Inputs share one sort.
+    Nulls may only lead a symbol's series. Rows are dealt into blocks as long as powers of (1 - alpha) stay in range; inside a
+    block the recursion is a scaled running sum. Over a whole block the weight falls to 1e-12 at most, so the ends of the two
+    blocks before are all that a block takes over; what lies further back weighs under 1e-24. Everything is windows over one
+    partitioning, and no row carries more than two such ends.
     """
     keep = 1.0 - alpha
-    block_rows = max(8, min(4096, int(12 * math.log(10) / -math.log(keep)))) if keep > 0 else 8
+    block_rows = max(8, math.ceil(12 * math.log(10) / -math.log(keep))) if 0 < keep < 1 else 8
     w = by_symbol(keys)
-    whole = Window.partitionBy(*keys)
-    outs = list(inputs)
-    for i, out in enumerate(outs):
-        x, nth, block, pos, part = f"_x{i}", f"_n{i}", f"_b{i}", f"_p{i}", f"_s{i}"
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    for i, out in enumerate(inputs):
+        x, nth, block, pos, part, end = f"_x{i}", f"_n{i}", f"_b{i}", f"_p{i}", f"_s{i}", f"_e{i}"
         df = df.withColumn(x, F.col(inputs[out]))
         df = df.withColumn(nth, F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        if keep <= 0:
+            df = df.withColumn(out, F.when(F.col(nth) >= least, F.col(x))).drop(x, nth)
+            continue
         df = df.withColumn(block, F.when(F.col(x).isNotNull(), F.floor((F.col(nth) - 1) / block_rows)).otherwise(F.lit(-1)))
         df = df.withColumn(pos, F.pmod(F.col(nth) - 1, F.lit(block_rows)))
         weight = F.when((F.col(nth) == 1), F.lit(1.0)).otherwise(F.lit(alpha))
         inside = Window.partitionBy(*keys, block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn(part, F.sum(F.col(x) * weight * F.pow(F.lit(keep), -F.col(pos))).over(inside) * F.pow(F.lit(keep), F.col(pos)))
-        last = F.when((F.col(pos) == block_rows - 1) & F.col(x).isNotNull(), F.struct(F.col(block).alias("b"), F.col(part).alias("s")))
-        ends = F.array_sort(F.collect_list(last).over(whole))
-        df = df.withColumn(f"_e{i}", ends)
-        carried = F.aggregate(
-            F.filter(F.col(f"_e{i}"), _before(block)),
-            F.lit(0.0),
-            lambda acc, e: acc * F.lit(keep**block_rows) + e["s"],
-        )
+        ends = F.when((F.col(pos) == block_rows - 1) & F.col(x).isNotNull(), F.col(part))
+        df = df.withColumn(end, ends)
+        # each end with the one before it, so that one more look back finds both
+        pair = F.when(F.col(end).isNotNull(), F.struct(F.col(end).alias("s"), F.coalesce(F.last(end, ignorenulls=True).over(before), F.lit(0.0)).alias("t")))
+        df = df.withColumn(end, pair)
+        last = F.last(end, ignorenulls=True).over(before)
+        carried = F.coalesce(last["s"] + last["t"] * F.lit(keep**block_rows), F.lit(0.0))
         value = F.col(part) + carried * F.pow(F.lit(keep), F.col(pos) + 1)
-        df = df.withColumn(out, F.when(F.col(x).isNotNull() & (F.col(nth) >= least), value)).drop(x, nth, block, pos, part, f"_e{i}")
+        df = df.withColumn(out, F.when(F.col(x).isNotNull() & (F.col(nth) >= least), value)).drop(x, nth, block, pos, part, end)
     return df
 
 

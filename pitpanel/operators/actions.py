@@ -92,15 +92,25 @@ def delistings(
 
 
 def match_events(predicted: DataFrame, truth: DataFrame, days: int = 3, tolerance: float = 0.10) -> DataFrame:
-    """One row: tp, fp, fn, precision, recall of events (symbol, date, ratio), matched one to one by nearness both ways."""
+    """One row: tp, fp, fn, precision, recall of events (symbol, date, ratio), matched one to one.
+
+    Pairs in reach are taken by nearness, then by the dates, whenever neither side is taken yet. A symbol's pairs are first cut
+    where over `days` lie between them, as pairs across such a gap can't compete; each run of pairs is then one short fold.
+    """
     t = truth.select(F.col("symbol").alias("_symbol"), F.col("date").alias("_date"), F.col("ratio").alias("_ratio"))
     apart = F.abs(F.datediff("date", "_date"))
     pairs = predicted.join(
         t, (F.col("symbol") == F.col("_symbol")) & (apart <= days) & (F.abs(F.col("ratio") / F.col("_ratio") - 1) <= tolerance)
-    ).withColumn("_apart", apart)
-    of_pred = F.row_number().over(Window.partitionBy("symbol", "date").orderBy("_apart", "_date"))
-    of_true = F.row_number().over(Window.partitionBy("symbol", "_date").orderBy("_apart", "date"))
-    tp = pairs.withColumn("_p", of_pred).withColumn("_t", of_true).filter("_p = 1 and _t = 1").agg(F.count("*").alias("tp"))
+    ).select("symbol", apart.alias("apart"), F.col("date").alias("p"), F.col("_date").alias("t"))
+    w = Window.partitionBy("symbol").orderBy(F.least("p", "t"), "p", "t")
+    reach = F.max(F.greatest("p", "t")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pairs = pairs.withColumn("cut", (reach.isNull() | (F.datediff(F.least("p", "t"), reach) > days)).cast("int"))
+    pairs = pairs.withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    none = F.array().cast("array<struct<apart:int,p:date,t:date>>")
+    free = lambda done, x: ~F.exists(done, lambda y: (y["p"] == x["p"]) | (y["t"] == x["t"]))
+    fold = lambda done, x: F.when(free(done, x), F.concat(done, F.array(x))).otherwise(done)
+    runs = pairs.groupBy("symbol", "run").agg(F.array_sort(F.collect_set(F.struct("apart", "p", "t"))).alias("in_reach"))
+    tp = runs.agg(F.coalesce(F.sum(F.size(F.aggregate("in_reach", none, fold))), F.lit(0)).cast("long").alias("tp"))
     counts = tp.join(predicted.agg(F.count("*").alias("_np"))).join(truth.agg(F.count("*").alias("_nt")))
     return counts.select(
         "tp",

@@ -193,14 +193,18 @@ def sweep(panel: DataFrame, grid: DataFrame, select, evaluate, metric: str, asce
 
 def wf_windows(spark, start: str, end: str, is_years: int, oos_years: int) -> DataFrame:
     """window, is_start, is_end, oos_start, oos_end: rolled by the out-of-sample length, the last clipped to the end."""
-    s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    last = F.add_months(e, -12 * is_years)
-    starts = F.when(last > s, F.sequence(s, F.date_sub(last, 1), F.expr(f"interval {oos_years} years")))
-    rows = spark.range(1).select(F.posexplode(starts).alias("window", "is_start"))
+    one = spark.range(1).select(F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"))
+    return windows_between(one, is_years, oos_years).drop("start", "end")
+
+
+def windows_between(spans: DataFrame, is_years: int, oos_years: int) -> DataFrame:
+    """The windows of wf_windows for each row of spans (start, end and other columns)."""
+    last = F.add_months("end", -12 * is_years)
+    starts = F.when(last > F.col("start"), F.sequence("start", F.date_sub(last, 1), F.expr(f"interval {oos_years} years")))
+    rows = spans.select("*", F.posexplode(starts).alias("window", "is_start"))
     oos = F.add_months("is_start", 12 * is_years)
-    return rows.select(
-        "window", "is_start", F.date_sub(oos, 1).alias("is_end"), oos.alias("oos_start"), F.least(F.date_sub(F.add_months(oos, 12 * oos_years), 1), e).alias("oos_end")
-    )
+    oos_end = F.least(F.date_sub(F.add_months(oos, 12 * oos_years), 1), "end")
+    return rows.select(*spans.columns, "window", "is_start", F.date_sub(oos, 1).alias("is_end"), oos.alias("oos_start"), oos_end.alias("oos_end"))
 
 
 def walk_forward(nav: DataFrame, windows: DataFrame, metric: str = "cagr") -> DataFrame:

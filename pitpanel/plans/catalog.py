@@ -151,18 +151,16 @@ def b10_with_sector(s, d):
     return panel.with_sector(fx.bars(s, d), fx.sectors(s, d).filter("symbol % 4 > 0")).select("symbol", "date", "sector")
 
 
-@query("SELECT date, 'C' || id AS symbol, round(avg(value), 4) AS value FROM eav WHERE metric = 'NP' AND id % 2 = 0 GROUP BY ALL")
+@query("SELECT date, 'C' || id AS symbol, round(avg(value), 4) AS value FROM eav WHERE metric = 'NP' GROUP BY ALL")
 def b11_metric_panel(s, d):
     e = fx.eav(s, d)
-    ids = e.select("id").distinct().filter("id % 2 = 0").withColumn("symbol", F.concat(F.lit("C"), "id"))
+    ids = e.select("id").distinct().withColumn("symbol", F.concat(F.lit("C"), "id"))
     return rounded(panel.metric_panel(e, "NP", ids), 4)
 
 
 @query("SELECT date, 'C' || id AS symbol, round(avg(value), 4) AS value FROM eav WHERE metric = 'NP' GROUP BY ALL")
 def b11_metric_panel_all(s, d):
-    e = fx.eav(s, d)
-    ids = e.select("id").distinct().withColumn("symbol", F.concat(F.lit("C"), "id"))
-    return rounded(panel.metric_panel(e, "NP", ids), 4)
+    return b11_metric_panel(s, d)
 
 
 @query("SELECT symbol, date, close FROM bars WHERE date < DATE '2000-01-01' UNION ALL SELECT symbol, date, low FROM bars WHERE date > (SELECT max(date) FROM bars WHERE date < DATE '2000-01-01')")
@@ -436,12 +434,12 @@ def e11_latest_close(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_more  # noqa: F401  registers the rest
+    from . import catalog_more, catalog_sources  # noqa: F401  register the rest
 
     return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401
+    from . import catalog_more, catalog_sources  # noqa: F401
 
     return dict(ORACLES)

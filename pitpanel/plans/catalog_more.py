@@ -91,9 +91,15 @@ def f7_delistings(s, d):
     return out.withColumn("peak_mcap", F.round("peak_mcap", 4))
 
 
+# Rounds of mutually nearest pairs, each over what the rounds before have left.
+_MUTUAL = "SELECT symbol, d, td, a FROM (SELECT *, row_number() OVER (PARTITION BY symbol, d ORDER BY a, d, td) AS x, row_number() OVER (PARTITION BY symbol, td ORDER BY a, d, td) AS y FROM {m}) WHERE x = 1 AND y = 1"
+_LEFT = "SELECT * FROM {m} WHERE NOT EXISTS (SELECT 1 FROM {r} WHERE {r}.symbol = {m}.symbol AND ({r}.d = {m}.d OR {r}.td = {m}.td))"
+_ROUNDS = "".join(f"r{i} AS ({_MUTUAL.format(m=m)}),\nm{i} AS ({_LEFT.format(m=m, r=f'r{i}')}),\n" for i, m in ((1, "m"), (2, "m1"), (3, "m2"), (4, "m3")))
+
+
 @query(_GAPS + """, p AS (SELECT * FROM g WHERE symbol % 2 = 0 AND ratio > 3), t AS (SELECT symbol, date + CAST(symbol % 3 AS INTEGER) AS date, ratio FROM g WHERE ratio > 4),
 m AS (SELECT p.symbol, p.date AS d, t.date AS td, abs(t.date - p.date) AS a FROM p JOIN t ON p.symbol = t.symbol AND abs(t.date - p.date) <= 3 AND abs(p.ratio / t.ratio - 1) <= 0.1),
-k AS (SELECT count(*) AS tp FROM (SELECT row_number() OVER (PARTITION BY symbol, d ORDER BY a, td) AS x, row_number() OVER (PARTITION BY symbol, td ORDER BY a, d) AS y FROM m) WHERE x = 1 AND y = 1)
+""" + _ROUNDS + """k AS (SELECT (SELECT count(*) FROM r1) + (SELECT count(*) FROM r2) + (SELECT count(*) FROM r3) + (SELECT count(*) FROM r4) AS tp)
 SELECT tp, (SELECT count(*) FROM p) - tp AS fp, (SELECT count(*) FROM t) - tp AS fn, round(tp / (SELECT count(*) FROM p), 6) AS precision, round(tp / (SELECT count(*) FROM t), 6) AS recall FROM k""")
 def f8_match_events(s, d):
     g = actions.gap_candidates(fx.bars(s, d))
@@ -386,15 +392,14 @@ def h14_signal_diff(s, d):
     return selection.signal_diff(today, marked.filter("date = before").select("symbol")).select("symbol", "action")
 
 
-@query(f", c AS (SELECT symbol, date, (close / ({_SMA('close', 50)}) - 1) * 100 AS extension FROM bars) SELECT symbol, round(arg_max(row(extension), date)[1], 6) AS extension FROM c WHERE symbol % 2 = 0 GROUP BY symbol")
+@query(f", c AS (SELECT symbol, date, (close / ({_SMA('close', 50)}) - 1) * 100 AS extension FROM bars) SELECT symbol, round(arg_max(row(extension), date)[1], 6) AS extension FROM c GROUP BY symbol")
 def h15_entry_context(s, d):
-    sig = fx.sectors(s, d).filter("symbol % 2 = 0").select("symbol")
-    return selection.with_entry_context(sig, fx.bars(s, d)).select("symbol", r("extension"))
+    return selection.with_entry_context(fx.sectors(s, d).select("symbol"), fx.bars(s, d)).select("symbol", r("extension"))
 
 
 @query(f", c AS (SELECT symbol, date, (close / ({_SMA('close', 50)}) - 1) * 100 AS extension FROM bars) SELECT symbol, round(arg_max(row(extension), date)[1], 6) AS extension FROM c GROUP BY symbol")
 def h15_entry_context_all(s, d):
-    return selection.with_entry_context(fx.sectors(s, d).select("symbol"), fx.bars(s, d)).select("symbol", r("extension"))
+    return h15_entry_context(s, d)
 
 
 @query("SELECT symbol, max(date) AS last_date, CAST(DATE '2002-01-01' - max(date) AS INTEGER) AS age, count(close) AS n_bars, DATE '2002-01-01' - max(date) > 30 AS stale, count(close) < 60 AS short_history FROM bars GROUP BY symbol")
@@ -442,8 +447,8 @@ def i1_holding_spans(s, d):
 
 
 # Spans from positions: from the entry to a planned end 120 days later.
-_TOUCH = """, sp AS (SELECT position_id, symbol, entry_date, entry_date + 120 AS exit_date, stop, target FROM positions QUALIFY row_number() OVER (PARTITION BY symbol, entry_date ORDER BY position_id) = 1),
-ov AS (SELECT sp.*, b.date, b.open, b.high, b.low, b.close, lead(b.date) OVER (PARTITION BY sp.symbol, sp.entry_date ORDER BY b.date) AS nxt FROM sp JOIN bars b ON b.symbol = sp.symbol AND b.date BETWEEN sp.entry_date AND sp.exit_date),
+_TOUCH = """, sp AS (SELECT position_id, symbol, entry_date, entry_date + 120 AS exit_date, stop, target FROM positions),
+ov AS (SELECT sp.*, b.date, b.open, b.high, b.low, b.close, lead(b.date) OVER (PARTITION BY sp.position_id ORDER BY b.date) AS nxt FROM sp JOIN bars b ON b.symbol = sp.symbol AND b.date BETWEEN sp.entry_date AND sp.exit_date),
 ev AS (SELECT position_id, symbol, entry_date, date, 1 AS p, CASE WHEN open >= stop THEN stop ELSE open END AS px, 'stop' AS why FROM ov WHERE low <= stop
   UNION ALL SELECT position_id, symbol, entry_date, date, 2, CASE WHEN open <= target THEN target ELSE open END, 'target' FROM ov WHERE high >= target
   UNION ALL SELECT position_id, symbol, entry_date, date, 3, close, 'time' FROM ov WHERE date - entry_date >= 60
@@ -453,15 +458,7 @@ trades AS (SELECT tr.*, ov.open AS entry, ov.open - ov.stop AS risk FROM tr JOIN
 
 
 def _trades(s, d):
-    p = fx.positions(s, d).withColumn("end", F.date_add("entry_date", 120))
-    one = p.withColumn("_n", F.row_number().over(Window.partitionBy("symbol", "entry_date").orderBy("position_id"))).filter("_n = 1")
-    sp = one.select("position_id", "symbol", "entry_date", C("end").alias("exit_date"), F.lit("end").alias("exit_reason"), "stop", "target")
-    out = outcomes.first_touch(sp, fx.bars(s, d), max_hold=60)
-    return out.withColumn("risk", C("entry") - C("stop"))
-
-
-def _all_trades(s, d):
-    """A trade for every position; the queries on _trades keep one of a symbol and day, as their SQL does."""
+    """A trade for every position, some of one symbol and day."""
     sp = fx.positions(s, d).select("position_id", "symbol", "entry_date", F.date_add("entry_date", 120).alias("exit_date"), F.lit("end").alias("exit_reason"), "stop", "target")
     out = outcomes.first_touch(sp, fx.bars(s, d), max_hold=60, keys=["position_id"])
     return out.withColumn("risk", C("entry") - C("stop"))
@@ -485,7 +482,7 @@ def i5_delisting_dates(s, d):
     return outcomes.delisting_dates(fx.bars(s, d))
 
 
-@query(_TOUCH + """, h AS (SELECT t.*, b.date, b.close, lag(b.close) OVER (PARTITION BY t.symbol, t.entry_date ORDER BY b.date) AS pc FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date BETWEEN t.entry_date AND t.exit_date),
+@query(_TOUCH + """, h AS (SELECT t.*, b.date, b.close, lag(b.close) OVER (PARTITION BY t.position_id ORDER BY b.date) AS pc FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date BETWEEN t.entry_date AND t.exit_date),
 q AS (SELECT date, 0.0001 * (CASE WHEN date = exit_date THEN exit ELSE close END / coalesce(pc, entry) - 1 - CASE WHEN date = entry_date THEN 0.0011862 ELSE 0 END - CASE WHEN date = exit_date THEN 0.0010362 ELSE 0 END) AS x FROM h),
 dy AS (SELECT date, sum(x) AS ret, 0.0001 * count(*) AS exposure FROM q GROUP BY date)
 SELECT date, round(ret, 9) AS ret, round(exposure, 9) AS exposure, round(1000000 * exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)), 3) AS nav FROM dy""")
@@ -527,10 +524,14 @@ _WF = """, wf AS (SELECT row_number() OVER (ORDER BY s) - 1 AS window_, CAST(s A
   least(CAST(s + INTERVAL 3 YEAR - INTERVAL 1 DAY AS DATE), DATE '2001-12-31') AS oos_end FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1999-12-30', INTERVAL 1 YEAR)) AS s))"""
 
 
-@query(_WF + " SELECT CAST(window_ AS INTEGER) AS window, is_start, is_end, oos_start, oos_end FROM wf")
+@query(""", e AS (SELECT variant, min(date) AS a, max(date) AS z FROM nav GROUP BY variant),
+st AS (SELECT variant, z, unnest(generate_series(CAST(a AS TIMESTAMP), z - INTERVAL 2 YEAR - INTERVAL 1 DAY, INTERVAL 1 YEAR)) AS s FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY s) - 1 AS w FROM st)
+SELECT variant, CAST(w AS INTEGER) AS window, CAST(s AS DATE) AS is_start, CAST(s + INTERVAL 2 YEAR - INTERVAL 1 DAY AS DATE) AS is_end, CAST(s + INTERVAL 2 YEAR AS DATE) AS oos_start,
+  least(CAST(s + INTERVAL 3 YEAR - INTERVAL 1 DAY AS DATE), z) AS oos_end FROM n""")
 def i10_wf_windows(s, d):
-    first = fx.table(s, d, "orders").agg(F.min("o_orderdate").alias("x"))  # the windows' count follows from the dates alone
-    return outcomes.wf_windows(s, "1995-01-01", "2001-12-31", 2, 1).join(F.broadcast(first)).filter("x is not null").drop("x")
+    ends = fx.nav(s, d).groupBy("variant").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    return outcomes.windows_between(ends, 2, 1).drop("start", "end")
 
 
 _CAGR = "pow(arg_max(nav, date) / arg_min(nav, date), 1 / greatest(CAST(max(date) - min(date) AS DOUBLE) / 365.25, 1e-6)) - 1"
@@ -594,14 +595,29 @@ def j8_trade_stats(s, d, trades=_trades):
     return out.select("variant", "n", r("win_rate", 9), r("avg_win", 9), r("avg_loss", 9), r("profit_factor"), r("avg_holding_days"))
 
 
-# The same queries over every position, with keys that hold position_id.
-_ONE = " QUALIFY row_number() OVER (PARTITION BY symbol, entry_date ORDER BY position_id) = 1"
+# Once these were over every position and the queries above over one of a symbol and day; now both are over every position.
 for _fn in (i2_i4_first_touch, i6_trade_outcomes, i7_nav_series, i8_exposure_turnover, i12_cost_sensitivity, j8_trade_stats):
-    _sql = ORACLES[_fn.__name__].replace(_ONE, "")
-    for _t in ("sp", "t"):
-        _sql = _sql.replace(f"PARTITION BY {_t}.symbol, {_t}.entry_date", f"PARTITION BY {_t}.position_id")
-    QUERIES[f"{_fn.__name__}_all"] = lambda s, d, fn=_fn: fn(s, d, _all_trades)
-    ORACLES[f"{_fn.__name__}_all"] = _sql
+    QUERIES[f"{_fn.__name__}_all"] = _fn
+    ORACLES[f"{_fn.__name__}_all"] = ORACLES[_fn.__name__]
+
+
+# A stop that trails three times the day's range under the peak of the days before.
+_TRAIL = """, sp AS (SELECT position_id, symbol, entry_date, entry_date + 120 AS exit_date, stop FROM positions),
+o1 AS (SELECT sp.*, b.date, b.open, b.high, b.low, b.close, b.high - b.low + 0.01 * b.close AS atr, lead(b.date) OVER w AS nxt, max(b.high) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak
+  FROM sp JOIN bars b ON b.symbol = sp.symbol AND b.date BETWEEN sp.entry_date AND sp.exit_date WINDOW w AS (PARTITION BY sp.position_id ORDER BY b.date)),
+o2 AS (SELECT *, greatest(stop, max(peak - 3 * atr) OVER (PARTITION BY position_id ORDER BY date ROWS UNBOUNDED PRECEDING)) AS level FROM o1),
+ev AS (SELECT position_id, date, 1 AS p, CASE WHEN open >= level THEN level ELSE open END AS px, 'stop' AS why FROM o2 WHERE low <= level
+  UNION ALL SELECT position_id, date, 5, close, 'end' FROM o2 WHERE nxt IS NULL)
+SELECT position_id, min(date) AS exit_date, round(arg_min(px, row(date, p)), 6) AS exit, arg_min(why, row(date, p)) AS exit_reason FROM ev GROUP BY position_id"""
+
+
+@query(_TRAIL)
+def i3_trailing_stop(s, d):
+    p = fx.positions(s, d).select(
+        "position_id", "symbol", "entry_date", F.date_add("entry_date", 120).alias("exit_date"), F.lit("end").alias("exit_reason"), "stop", F.lit(None).cast("double").alias("target")
+    )
+    b = fx.bars(s, d).withColumn("atr", C("high") - C("low") + 0.01 * C("close"))
+    return outcomes.first_touch(p, b, trailing=3.0, keys=["position_id"]).select("position_id", "exit_date", r("exit"), "exit_reason")
 
 
 @query(f""", b AS (SELECT {_CAGR} AS c FROM (SELECT date, close AS nav FROM bench))
@@ -824,8 +840,12 @@ def a14_normalize_universe(s, d):
     return readers.normalize_universe(raw).select("symbol", "name", "sector")
 
 
-@query("SELECT metric, round(value, 6) AS value, round(expected, 6) AS expected, round(value - expected, 6) AS diff, CASE WHEN abs(value - expected) <= 0.12 THEN 'ok' ELSE 'off' END AS status FROM ("
-       "SELECT variant AS metric, arg_max(nav, date) / arg_min(nav, date) - 1 AS value, (arg_max(nav, date) / arg_min(nav, date) - 1) * 1.05 AS expected FROM nav GROUP BY variant)")
+# Two sources of a symbol's mean price: its bars, and the orders' lines through their parts' list prices.
+@query("""SELECT metric, round(value, 6) AS value, round(expected, 6) AS expected, round(value - expected, 6) AS diff, CASE WHEN abs(value - expected) <= 40 THEN 'ok' ELSE 'off' END AS status FROM
+  (SELECT symbol AS metric, avg(close) AS value FROM bars GROUP BY symbol) JOIN
+  (SELECT l_suppkey AS metric, avg(p_retailprice) AS expected FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey) USING (metric)""")
 def l14_tolerance_check(s, d):
-    got = performance.returns_summary(fx.nav(s, d)).select(C("variant").alias("metric"), C("total_return").alias("value"))
-    return rounded(audit.tolerance_check(got, got.withColumn("value", C("value") * 1.05)), 6)
+    got = fx.bars(s, d).groupBy(C("symbol").alias("metric")).agg(F.avg("close").alias("value"))
+    part = fx.table(s, d, "part").select(C("p_partkey").alias("l_partkey"), "p_retailprice")
+    listed = fx.table(s, d, "lineitem").join(part, "l_partkey").groupBy(C("l_suppkey").alias("metric")).agg(F.avg("p_retailprice").alias("value"))
+    return rounded(audit.tolerance_check(got, listed, 40.0), 6)

@@ -26,14 +26,19 @@ _UDIFF = dict(
 )
 
 
-def _bars(spark: SparkSession, path, columns: dict[str, str], day: str) -> DataFrame:
+def _texts(spark: SparkSession, path) -> DataFrame:
+    """CSV files as text columns, with the path of each row's file."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    return raw.withColumn("_path", F.col("_metadata.file_path"))
+
+
+def _bars(raw: DataFrame, columns: dict[str, str], day: str) -> DataFrame:
     found = {c.strip().upper(): c for c in raw.columns}
     get = lambda name: F.trim(F.col(f"`{found[name.upper()]}`")) if name.upper() in found else F.lit(None).cast("string")
     texts = {k: get(v) for k, v in columns.items()}
     date = F.coalesce(
         F.try_to_date(get(day), "dd-MMM-yyyy"), F.try_to_date(get(day), "yyyy-MM-dd"),
-        F.try_to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"),
+        F.try_to_date(F.regexp_extract(get("_path"), r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"),
     )
     typed = raw.select(
         canon_symbol(texts["symbol"]).alias("symbol"), date.alias("date"), texts["isin"].alias("isin"), texts["series"].alias("series"),
@@ -42,20 +47,32 @@ def _bars(spark: SparkSession, path, columns: dict[str, str], day: str) -> DataF
     return typed.filter(F.col("series").isin(*EQUITY_SERIES) & F.col("close").isNotNull())
 
 
+def legacy_bars(raw: DataFrame) -> DataFrame:
+    """Bars from text columns of the older format; the date is TIMESTAMP or, without it, a yyyy-MM-dd in the column _path."""
+    return _bars(raw, _LEGACY, "TIMESTAMP")
+
+
+def udiff_bars(raw: DataFrame) -> DataFrame:
+    """Bars from text columns of the newer format."""
+    return _bars(raw, _UDIFF, "TradDt")
+
+
+def both_bars(legacy: DataFrame, udiff: DataFrame, cutover: str = CUTOVER) -> DataFrame:
+    """Bars of both formats as one table: the older one before the cut-over date, the newer one from it on."""
+    day = F.lit(cutover).cast("date")
+    return legacy.filter(F.col("date") < day).unionByName(udiff.filter(F.col("date") >= day), allowMissingColumns=True)
+
+
 def read_bars_legacy(spark: SparkSession, path) -> DataFrame:
-    """Bars of the older CSV format; the date is TIMESTAMP or, without it, a yyyy-MM-dd in the file's name."""
-    return _bars(spark, path, _LEGACY, "TIMESTAMP")
+    return legacy_bars(_texts(spark, path))
 
 
 def read_bars_udiff(spark: SparkSession, path) -> DataFrame:
-    return _bars(spark, path, _UDIFF, "TradDt")
+    return udiff_bars(_texts(spark, path))
 
 
 def read_bars(spark: SparkSession, legacy, udiff, cutover: str = CUTOVER) -> DataFrame:
-    """Both formats as one table: the older one before the cut-over date, the newer one from it on."""
-    day = F.lit(cutover).cast("date")
-    old = read_bars_legacy(spark, legacy).filter(F.col("date") < day)
-    return old.unionByName(read_bars_udiff(spark, udiff).filter(F.col("date") >= day), allowMissingColumns=True)
+    return both_bars(read_bars_legacy(spark, legacy), read_bars_udiff(spark, udiff), cutover)
 
 
 def read_csv_table(spark: SparkSession, glob: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -43,13 +43,14 @@ def stream_bars(spark: SparkSession, source: str, target: str, checkpoint: str,
     )
 
 
-def stream_alerts(bars: DataFrame, positions: DataFrame, late: str = "7 days") -> DataFrame:
+def stream_alerts(bars: DataFrame, positions: DataFrame) -> DataFrame:
     """position_id, symbol, reason, price, ts: one alert for each open position and reason, from a stream of bars (symbol, ts, close).
 
-    Bars later than the watermark are dropped, and so are repeats of an alert within it.
+    What has been said is kept for good, so a position that stays below its stop isn't said again however long it does; that state
+    has at most two rows for each position. Late bars count like any other.
     """
     open_ = positions.filter("status = 'open'").select("position_id", "symbol", "stop", "target")
-    joined = bars.withWatermark("ts", late).join(open_, "symbol")
+    joined = bars.join(open_, "symbol")
     reason = F.when(F.col("close") <= F.col("stop"), "stop_hit").when(F.col("close") >= F.col("target"), "target_hit")
     hits = joined.withColumn("reason", reason).filter("reason is not null")
-    return hits.select("position_id", "symbol", "reason", F.col("close").alias("price"), "ts").dropDuplicatesWithinWatermark(["position_id", "reason"])
+    return hits.select("position_id", "symbol", "reason", F.col("close").alias("price"), "ts").dropDuplicates(["position_id", "reason"])

@@ -2,6 +2,10 @@
 
 import datetime as dt
 import json
+import os
+import shutil
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -276,7 +280,7 @@ def test_bar_stream_is_idempotent(spark, tmp_path):
 
 def test_alert_stream_says_each_hit_once(spark, tmp_path):
     src = str(tmp_path / "bars")
-    rows = [("A", "2020-01-01 10:00:00", 89.0), ("A", "2020-01-01 11:00:00", 88.0), ("A", "2020-01-02 10:00:00", 130.0), ("B", "2020-01-01 10:00:00", 100.0)]
+    rows = [("A", "2020-01-01 10:00:00", 89.0), ("A", "2020-01-01 11:00:00", 88.0), ("A", "2020-02-20 11:00:00", 88.0), ("A", "2020-01-02 10:00:00", 130.0), ("B", "2020-01-01 10:00:00", 100.0)]
     spark.createDataFrame(rows, "symbol string, ts string, close double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(src)
     positions = spark.createDataFrame([("p1", "A", 90.0, 120.0, "open"), ("p2", "B", 90.0, 120.0, "open")], "position_id string, symbol string, stop double, target double, status string")
     stream = spark.readStream.schema("symbol string, ts timestamp, close double").parquet(src)
@@ -295,3 +299,36 @@ def test_percent_rank_equals_pandas(spark):
 def test_densify_modes(spark):
     df = bars(spark, [1, 2, 3], "A").union(bars(spark, [1], "B", str(days(6)[-1])))
     assert panel.densify(df).count() == 8 and panel.densify(df, bounded=True).count() == 4
+
+
+def test_taken_events_leave_the_others_to_match(spark):
+    """A prediction whose nearest truth is taken gets the other one in reach; the same for truths; equal rows count once."""
+    at = lambda *ns: spark.createDataFrame([("A", D(2020, 1, n), 2.0) for n in ns], "symbol string, date date, ratio double")
+    for p, t, tp in (((5, 6), (6, 8), 2), ((5, 6), (4, 6), 2), ((5, 7, 9), (6, 8, 10), 3), ((5,), (6, 4), 1), ((5, 25), (20,), 0), ((5, 6, 7), (6,), 1)):
+        out = actions.match_events(at(*p), at(*t)).first()
+        assert (out["tp"], out["fp"], out["fn"]) == (tp, len(p) - tp, len(t) - tp)
+    other = at(5).withColumn("ratio", F.lit(3.0))
+    assert actions.match_events(at(5), other).first()["tp"] == 0 and actions.match_events(at(5), other.limit(0)).first()["fp"] == 1
+
+
+def test_long_exponential_means_equal_pandas(spark):
+    """Several blocks, blocks beyond 4096 rows, and a mean that forgets everything."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=1200)
+    day = pd.date_range("1990-01-01", periods=len(x)).date
+    df = spark.createDataFrame([("s", d, None if i < 3 else float(v)) for i, (d, v) in enumerate(zip(day, x, strict=True))], "symbol string, date date, close double")
+    for alpha in (0.01, 0.1, 0.4, 0.9, 1.0, 1e-4):
+        got = indicators.ewm(df, {"y": "close"}, alpha).orderBy("date").toPandas()["y"].to_numpy(float)
+        want = pd.Series(np.where(np.arange(len(x)) < 3, np.nan, x)).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+        np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_entry_module_hides_no_import_error(tmp_path):
+    """Without the corpus operators the rest imports; an error inside them isn't hidden."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/pitpanel", tmp_path / "pitpanel", ignore=lambda d, names: ["llm"] if d == f"{root}/pitpanel" else [])
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert int(run().stdout) > 150
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_library\n")
+    assert run().returncode
