@@ -5,15 +5,18 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass inside a task looks at.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that goes to a Python worker; Spark's default holds eight times as much in the executor and in the worker.
+BATCH_BYTES = "8m"
 _U64 = np.uint64
 _MULT = _U64(0x9E3779B97F4A7C15)
 _KEYS = ("pitpanel-lane-00", "pitpanel-lane-01")
@@ -23,23 +26,114 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def evaluated_once(function: Callable, kind: str | T.DataType, *columns: Column) -> Column:
+    """A pandas function of columns, in batches of bounded bytes.
+
+    It is declared nondeterministic so that the optimizer, when it moves filters (also those that it infers from joins), puts no
+    second copy of the Python evaluation below them.
+    """
+    bounded_batches(SparkSession.active())
+    return F.pandas_udf(function, kind).asNondeterministic()(*columns)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session by bytes, as texts differ much in length, where the user has set no bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:  # one machine, as in tests
-        named = tempfile.mkdtemp(prefix="spark-")
+    if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")  # one machine, as in tests
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
+    path = f"{_shared_folder(df.sparkSession)}/pitpanel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder that spark.checkpoint.dir names, read again; one is made only where it is unset.
 
     Unlike DataFrame.checkpoint a table carries no constraints of the plan before it, which grow with every round of a loop.
-    The tables stay until that folder is cleared, as one does between applications.
+    The table stays until that folder is cleared, as one does between applications; see Scratch for shorter lives.
     """
-    path = f"{_shared_folder(df.sparkSession)}/pitpanel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df)[1]
+
+
+class Scratch:
+    """Tables like those of `checkpoint` for the steps of one job; on leaving, those go that aren't handed to `keep`.
+
+    What an operator returns is a plan that still reads some of them, and these must be kept.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(t for _, t in self.tables))
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.tables.append(_written(df))
+        return self.tables[-1][1]
+
+    def drop(self, *gone: DataFrame) -> None:
+        context = self.spark.sparkContext
+        for path, _ in self._parted(gone):
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        self._parted(tables)
+
+    def _parted(self, tables: Iterable[DataFrame]) -> list[tuple[str, DataFrame]]:
+        """Takes these tables out of the list."""
+        ids = {id(t) for t in tables}
+        out = [x for x in self.tables if id(x[1]) in ids]
+        self.tables = [x for x in self.tables if id(x[1]) not in ids]
+        return out
+
+
+#: Bits of an id bitmap for each id, and at most: 2 ** 27 bits are a broadcast of 16 MB.
+BITS_PER_ID, MAX_BITS = 16, 1 << 27
+
+
+def split_by_ids(rows: DataFrame, key: Column, ids: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be among the ids (a frame of one long column), and rows whose key surely isn't; a null key isn't.
+
+    A bitmap of hashed ids, of bounded size, is broadcast, so that an exact join shuffles the first part only. Beyond
+    MAX_BITS / BITS_PER_ID ids more and more rows fall into the first part, which costs time and nothing else.
+    """
+    bits = max(1 << 15, min(MAX_BITS, 1 << (BITS_PER_ID * max(1, count) - 1).bit_length()))
+    bucket, held, may = (unused(x, rows.columns) for x in ("bucket", "bits", "may_be"))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    position = at(F.col(ids.columns[0]))
+    bitmap = ids.groupBy(F.bitmap_bucket_number(position).alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias(held)
+    )
+    place = F.bitmap_bit_position(at(key))
+    byte = F.conv(F.hex(F.substring(held, (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    may_be = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & key.isNotNull()
+    marked = rows.withColumn(bucket, F.bitmap_bucket_number(at(key))).join(F.broadcast(bitmap), bucket, "left").withColumn(may, may_be)
+    return marked.filter(F.col(may)).select(*rows.columns), marked.filter(~F.col(may)).select(*rows.columns)
+
+
+def unused(name: str, taken: Sequence[str]) -> str:
+    """A column name that isn't taken, in either case of letters."""
+    names = {x.lower() for x in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 def n_bytes(text: Column) -> Column:
@@ -50,30 +144,35 @@ def text_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def block_count(total_bytes: int) -> int:
-    """How many blocks (and hash slices) a corpus is cut into.
+#: Text that a block holds, whatever the size of the corpus: what a task has in memory doesn't grow.
+BLOCK_BYTES = 4_000_000
 
-    A block holds 2 MB of text for small corpora and grows with the square root of the corpus to 32 MB, so
-    that blocks and slices stay within a task's memory while the number of block-to-slice messages stays
-    well below the number of words.
-    """
-    size = min(32.0, max(2.0, 2.0 * math.sqrt(total_bytes / 100e6))) * 1e6
-    return max(1, math.ceil(total_bytes / size))
+
+def block_count(total_bytes: int) -> int:
+    return max(1, math.ceil(total_bytes / BLOCK_BYTES))
 
 
 def with_block(docs: DataFrame, blocks: int, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, text, the block of each row and the carried columns under other names (_carried_0 and so on).
+    """doc_id (0 for null) and known (whether it isn't null), text, block and the carried columns under other names (_carried_0 and so on).
 
-    Rows that share an id and a text share a block.
+    Rows that share an id and a text share a block; what follows groups by block in Python. No column of integers has nulls, which pandas would make floats of.
     """
+    bounded_batches(docs.sparkSession)
+    own = F.col("doc_id").cast("long")
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(own, F.lit(0).cast("long")).alias("doc_id"),
+        own.isNotNull().alias("known"),
         F.col("text").cast("string").alias("text"),
         F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text"))), F.lit(blocks)).cast("int").alias("block"),
         *[F.col(c).alias(f"_carried_{i}") for i, c in enumerate(carry)],
     )
 
 
+def restored(rows: DataFrame) -> DataFrame:
+    """doc_id as it was before with_block, without the column known."""
+    return rows.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
+
+
 def corpus_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(n_bytes(F.col("text"))).alias("n")).first()["n"] or 0)
 

@@ -1,65 +1,69 @@
 """Removal of word windows that an earlier document holds, with a count-min prefilter.
 
-Documents are dealt into blocks. Pass one: every block makes a partial count-min sketch of its distinct windows, cut
-into slices by window hash; the slices of all blocks are merged, and each block learns which of its cells have
-a merged count of two or more. Pass two: a block sends only the windows for which every row of the sketch says
-so (a count-min sketch never underestimates, so no repeated window is lost), and these are grouped exactly. Each
-window goes out at most once per block, however many documents of the block hold it, so a passage shared by a third of
-all documents makes no large group. Sketch cells grow with the corpus; nothing is broadcast or collected.
+Documents are dealt into blocks of fixed size. Pass one: every block makes a partial count-min sketch of its distinct windows,
+cut into slices by window hash; the slices of all blocks are merged, and each block learns which of its cells two or more
+blocks hold. Pass two: a block sends only the windows for which every row of the sketch says so (a count-min sketch never
+underestimates, so no window of two blocks is lost), and Spark groups these exactly, as rows of two hash lanes, the block's
+least doc_id and the window's place. Windows of one block alone are settled inside it. Each window goes out at most once per
+block, however many documents of the block hold it, so a passage shared by a third of all documents makes no large group.
+Nothing is broadcast or collected, and what a task holds doesn't grow with the corpus: a block, a slice, or rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, chunks, corpus_bytes, inside, mix, text_bytes, window_hashes, with_block, word_codes, word_hashes
+from .common import block_count, chunks, corpus_bytes, inside, mix, restored, window_hashes, with_block, word_codes, word_hashes
 
 WINDOW = 13
 DEPTH = 2
 #: Sketch cells of one row for each window that is expected.
 CELLS_PER_WINDOW = 4
+#: Cells of a slice, a byte each in a task's memory, and slices at most, so that messages between blocks and slices stay few.
+#: Together they hold the sketch of about 5 TB of text; beyond that it gets more crowded, passes more windows on and still loses
+#: none. On executors with more memory SLICE_CELLS is the parameter to raise.
+SLICE_CELLS, MAX_SLICES = 1 << 26, 1 << 16
 _U64 = np.uint64
 _SALTS = np.arange(1, DEPTH + 1, dtype=_U64) * _U64(0xA24BAED4963EE407)
 
 
+def sketch_shape(total_bytes: int) -> tuple[int, int]:
+    """Slices, and cells of a row in each slice. Natural text has under a word for every five bytes."""
+    cells = max(1024, CELLS_PER_WINDOW * total_bytes // 5)
+    slices = min(MAX_SLICES, -(-cells // SLICE_CELLS))
+    return slices, min(SLICE_CELLS, -(-cells // slices))
+
+
 class _Block:
     """The windows of one block: hash pairs of distinct windows with the least doc_id, and where windows start."""
 
-    def __init__(self, frame: pd.DataFrame, window: int, slices: int):
-        order = np.argsort(frame["doc_id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64), kind="stable")
-        self.frame = frame.iloc[order].reset_index(drop=True)
+    def __init__(self, rows: pa.Table, window: int, slices: int):
         self.window, self.slices = window, slices
-        ids = self.frame["doc_id"]
-        # rows without an id take no part
-        self.texts = [b"" if null else text_bytes(t) for t, null in zip(self.frame["text"], ids.isna(), strict=True)]
-        ids = ids.fillna(0).to_numpy(np.int64)
+        self.known, ids = rows["known"].to_pylist(), rows["doc_id"].to_numpy()
+        self.whole = [t or b"" for t in rows["text"].to_pylist()]
+        self.texts = [t if k else b"" for t, k in zip(self.whole, self.known, strict=True)]  # rows without an id take no part
         lows, highs, docs = [], [], []
         for a, b in chunks(self.texts):
             low, high, lengths = self.hashes(a, b)
             docs.append(np.repeat(ids[a:b], np.maximum(lengths - window + 1, 0)))
             lows.append(low)
             highs.append(high)
-        self.low, self.high, doc = (
-            np.concatenate(x) if x else np.zeros(0, kind)
-            for x, kind in ((lows, _U64), (highs, _U64), (docs, np.int64))
+        low, high, self.doc = (
+            np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((lows, _U64), (highs, _U64), (docs, np.int64))
         )
-        order, new = _grouped(self.low, self.high)
-        low, high = self.low[order], self.high[order]
+        order, new = _grouped(low, high)
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        self.first_low, self.first_high = low[first], high[first]
-        self.first_doc = np.minimum.reduceat(doc[order], first) if len(first) else np.zeros(0, np.int64)
-        last = np.maximum.reduceat(doc[order], first) if len(first) else np.zeros(0, np.int64)
-        self.several = last > self.first_doc  # in two documents of this block already
-        self.doc = doc
+        self.first_low, self.first_high = low[order[first]], high[order[first]]
+        self.first_doc = np.minimum.reduceat(self.doc[order], first) if len(first) else np.zeros(0, np.int64)
         # Slices are ranges of hashes, so the distinct windows of a slice lie side by side.
         edges = np.array([-(-(k << 64) // slices) for k in range(slices)], dtype=_U64)
         self.bounds = np.append(np.searchsorted(self.first_low, edges), len(first))
@@ -74,11 +78,23 @@ class _Block:
 
     def cells(self, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """slice, row of the sketch, distinct cells in order, and which windows of the slice each cell holds (inverse)."""
-        for k in range(self.slices):
+        for k in np.flatnonzero(np.diff(self.bounds)):
             a, b = self.bounds[k], self.bounds[k + 1]
-            for row in range(DEPTH if b > a else 0):
+            for row in range(DEPTH):
                 cell = mix(self.first_low[a:b] + _SALTS[row]) % _U64(width)
-                yield k, row, *np.unique(cell.astype(np.uint32), return_inverse=True)
+                yield int(k), row, *np.unique(cell.astype(np.uint32), return_inverse=True)
+
+    def repeated(self, answers: pa.Table, width: int) -> np.ndarray:
+        """Indices of those distinct windows that every row of the merged sketch finds in two blocks or more."""
+        said = zip(answers["slice"].to_pylist(), answers["row"].to_pylist(), answers["data"].to_pylist(), strict=True)
+        known = {(k, row): data for k, row, data in said}
+        out: list[np.ndarray] = []
+        for k, row, cells, inverse in self.cells(width):
+            bits = np.unpackbits(np.frombuffer(known[k, row], np.uint8), count=len(cells)).astype(bool)[inverse]
+            every = bits if row == 0 else every & bits  # noqa: F821
+            if row == DEPTH - 1:
+                out.append(self.bounds[k] + np.flatnonzero(every))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _grouped(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,167 +107,141 @@ def _grouped(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, np.append(np.ones(min(1, len(order)), bool), ~same)
 
 
-def pack(cells: np.ndarray, flags: np.ndarray) -> bytes:
-    """Ascending cells with a flag each, as differences; bytes of equal weight lie side by side, for the compressor."""
-    steps = (np.diff(cells, prepend=np.uint32(0)).astype(np.uint32) << np.uint32(1)) | flags.astype(np.uint32)
-    return steps.view(np.uint8).reshape(-1, 4).T.tobytes() if len(steps) else b""
+def pack(cells: np.ndarray) -> bytes:
+    """Ascending cells as Rice-coded gaps: low bits as they are, the rest in unary."""
+    gaps = np.diff(cells.astype(np.int64), prepend=0)
+    low = max(0, int(cells[-1]) // len(cells)).bit_length() - 1
+    low = max(0, low)
+    ends = np.cumsum((gaps >> low) + 1) - 1
+    unary = np.zeros(int(ends[-1]) + 1, np.uint8)
+    unary[ends] = 1
+    plain = ((gaps[:, None] >> np.arange(low)) & 1).astype(np.uint8)
+    head = np.array([len(cells), low, len(unary)], np.uint32)
+    return head.tobytes() + np.packbits(unary).tobytes() + np.packbits(plain.ravel()).tobytes()
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return np.cumsum(steps >> np.uint32(1), dtype=np.uint32), (steps & np.uint32(1)).astype(bool)
+def unpack(data: bytes) -> np.ndarray:
+    n, low, bits = (int(x) for x in np.frombuffer(data, np.uint32, 3))
+    size = -(-bits // 8)
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, 12), count=bits))
+    gaps = (np.diff(ends, prepend=-1) - 1) << low
+    if low:
+        plain = np.unpackbits(np.frombuffer(data, np.uint8, offset=12 + size), count=n * low).reshape(n, low)
+        gaps += plain.astype(np.int64) @ (1 << np.arange(low))
+    return np.cumsum(gaps)
 
 
 _BLANKS = b" \t\n\r\x0b\x0c"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def _text(data: bytes) -> str:
-    return data.decode("utf-8", "replace")
+def _joined(text: bytes, words: list[bytes], stays: np.ndarray | None) -> bytes:
+    """The words that stay, joined by one space."""
+    return b" ".join(words if stays is None else [w for w, s in zip(words, stays, strict=True) if s])
 
 
-def _bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+def _cut(text: bytes, words: list[bytes], stays: np.ndarray | None) -> bytes:
+    """The text without the words that go and the blanks after them; the text itself if none goes."""
+    return text if stays is None else b"".join(m[0] for m, s in zip(_WORD.finditer(text), stays, strict=True) if s).rstrip(_BLANKS)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), left and the columns to carry.
-
-    left is the text without the words that go and the blanks after them, or the text itself if none goes.
-
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row.
 
     A word goes if it lies in a window whose words also start in a document with a smaller doc_id; the input alone decides,
-    not what is left of it. Null texts have no words, rows with a null doc_id keep all their words and take none
-    from others, repeated rows of a doc_id take nothing from each other, and an empty table stays empty. Columns that aren't
-    carried are ignored.
+    not what is left of it. Null and empty texts have no words, rows with a null doc_id keep all their words and take none
+    from others, repeated rows of a doc_id take nothing from each other, and an empty table stays empty. Other columns
+    are ignored. A text is handled whole in one task, with about 60 bytes of memory for each word.
     """
-    total = corpus_bytes(docs)
-    blocks = slices = block_count(total)
-    # Natural text has under a word for every five bytes; the width only sets how tight the sketch is.
-    width = max(1024, CELLS_PER_WINDOW * total // (5 * slices))
-    if width >= 1 << 31:
-        raise ValueError("a slice of the sketch must have under 2 ** 31 cells")
-    dealt = with_block(docs, blocks, carry)
-    carried = [c for c in dealt.columns if c not in ("doc_id", "text", "block")]
-
-    def sketch(frame: pd.DataFrame) -> pd.DataFrame:
-        block, own = int(frame["block"].iloc[0]), _Block(frame, window, slices)
-        rows = []
-        for k, row, cells, inverse in own.cells(width):
-            a, b = own.bounds[k], own.bounds[k + 1]
-            count = np.bincount(inverse, weights=1 + own.several[a:b], minlength=len(cells))
-            rows.append((k, row, block, pack(cells, count > 1)))
-        return pd.DataFrame(rows, columns=["slice", "row", "block", "data"])
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(width, np.uint8)
-        unpacked = [unpack(d) for d in frame["data"]]
-        for cells, flags in unpacked:
-            counts[cells] = np.minimum(counts[cells] + 1 + flags, 2)
-        return pd.DataFrame(
-            {
-                "block": frame["block"],
-                "slice": frame["slice"],
-                "row": frame["row"],
-                "data": [np.packbits(counts[cells] > 1).tobytes() for cells, _ in unpacked],
-            }
-        )
+    return restored(_stripped(docs, window, (), _joined).withColumnRenamed("out", "kept"))
 
-    def candidates(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame(columns=["slice", "block", "hashes", "docs"])
-        block, own = int(frame["block"].iloc[0]), _Block(frame, window, slices)
-        rows = []
-        for k, pick in _repeated(own, answers, width):
-            hashes = np.stack([own.first_low[pick], own.first_high[pick]])
-            rows.append((k, block, hashes.tobytes(), own.first_doc[pick].tobytes()))
-        return pd.DataFrame(rows, columns=["slice", "block", "hashes", "docs"])
-
-    def exact(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(h, _U64).reshape(2, -1) for h in frame["hashes"]]
-        low, high = np.concatenate(hashes, axis=1)
-        doc = np.concatenate([np.frombuffer(d, np.int64) for d in frame["docs"]])
-        order, new = _grouped(low, high)
-        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
-        earlier = np.empty(len(order), bool)
-        earlier[order] = least[np.cumsum(new) - 1] < doc[order]
-        ends = np.cumsum([h.shape[1] for h in hashes])[:-1]
-        return pd.DataFrame(
-            {"block": frame["block"], "slice": frame["slice"], "data": [np.packbits(e).tobytes() for e in np.split(earlier, ends)]}
-        )
 
-    def strip(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["n_words", "n_removed", "kept", "left"]
-        if not len(frame):
-            return pd.DataFrame(columns=["doc_id", *columns, *carried])
-        own = _Block(frame, window, slices)
-        earlier = np.zeros(len(own.first_low), bool)
-        sketched = answers[answers["row"] >= 0]
-        exacted = answers[answers["row"] < 0]
-        found = {int(k): d for k, d in zip(exacted["slice"], exacted["data"], strict=True)}
-        for k, pick in _repeated(own, sketched, width):
-            earlier[pick] = _bits(found[k], len(pick))
-        goes = earlier[own.group] | (own.doc > own.first_doc[own.group])
-        rows, at = [], 0
-        for text, known, whole in zip(own.texts, own.frame["doc_id"].notna(), own.frame["text"], strict=True):
-            words = text.split() if known else text_bytes(whole).split()
-            hit = np.zeros(0, np.int64)
-            if known:
-                n = max(0, len(words) - window + 1)
-                hit = np.flatnonzero(goes[at : at + n])
-                at += n
-            if not len(hit):
-                rows.append((len(words), 0, _text(b" ".join(words)), whole))
-                continue
-            edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + window, -1)
-            stays = np.cumsum(edge[:-1]) == 0
-            kept = [w for w, s in zip(words, stays, strict=True) if s]
-            left = b"".join(m[0] for m, s in zip(_WORD.finditer(text), stays, strict=True) if s).rstrip(_BLANKS)
-            rows.append((len(words), len(words) - len(kept), _text(b" ".join(kept)), _text(left)))
-        out = pd.DataFrame(rows, columns=columns)
-        out.insert(0, "doc_id", own.frame["doc_id"].astype("Int64"))
-        for c in carried:
-            out[c] = own.frame[c]
-        return out
-
-    kind = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long")
-    kind = T.StructType([*kind.add("kept", "string").add("left", "string").fields, *[dealt.schema[c] for c in carried]])
-    binary = "block int, slice int, row int, data binary"
-    sketched = dealt.groupBy("block").applyInPandas(sketch, "slice int, row int, block int, data binary")
-    cells = sketched.groupBy("slice", "row").applyInPandas(merge, binary)
-    sent = (
-        dealt.groupBy("block")
-        .cogroup(cells.groupBy("block"))
-        .applyInPandas(candidates, "slice int, block int, hashes binary, docs binary")
-    )
-    judged = sent.groupBy("slice").applyInPandas(exact, "block int, slice int, data binary")
-    answers = cells.unionByName(judged.withColumn("row", F.lit(-1)))
-    return (
-        dealt.groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInPandas(strip, kind)
-    )
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with each text cut down to what stays, and n_chars, if there is one, counted anew; see remove_repeats for odd input.
 
-
-def _repeated(own: _Block, answers: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Slices with the indices of those distinct windows that every row of the merged sketch counts twice or more."""
-    known = {(int(k), int(r)): d for k, r, d in zip(answers["slice"], answers["row"], answers["data"], strict=True)}
-    every: np.ndarray | None = None
-    for k, row, cells, inverse in own.cells(width):
-        said = _bits(known[k, row], len(cells))[inverse]
-        every = said if row == 0 else every & said
-        if row == DEPTH - 1 and every.any():
-            yield k, own.bounds[k] + np.flatnonzero(every)
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with each text cut down to what stays, and n_chars, if there is one, counted anew."""
+    All rows stay, those without words or id as they are (a null text stays null), and so do all columns, whatever their names.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = remove_repeats(docs, carry=others)
+    left = _stripped(docs, window, others, _cut)
     names = {c: f"_carried_{i}" for i, c in enumerate(others)}
-    columns = {"doc_id": F.col("doc_id"), "text": F.col("left")} | {c: F.col(n) for c, n in names.items()}
+    columns = {"doc_id": F.when(F.col("known"), F.col("doc_id")).cast(docs.schema["doc_id"].dataType), "text": F.col("out")}
+    columns |= {c: F.col(n) for c, n in names.items()}
     if "n_chars" in columns:
-        columns["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+        recounted = F.length("out").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, recounted).otherwise(columns["n_chars"])
     return left.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def _stripped(docs: DataFrame, window: int, carry: Sequence[str], output: Callable[..., bytes]) -> DataFrame:
+    """doc_id and known (see with_block), n_words, n_removed, out and the carried columns under other names."""
+    total = corpus_bytes(docs)
+    slices, width = sketch_shape(total)
+    dealt = with_block(docs, block_count(total), carry).withColumn("text", F.col("text").cast("binary"))
+    carried = [c for c in dealt.columns if c.startswith("_carried_")]
+    bare = dealt.select("doc_id", "known", "text", "block", *carried).groupBy("block")
+
+    def sketch(rows: pa.Table) -> pa.Table:
+        block, own = rows["block"][0].as_py(), _Block(rows, window, slices)
+        found = [(k, row, block, pack(cells)) for k, row, cells, _ in own.cells(width)]
+        return _table(found, slice=pa.int32(), row=pa.int32(), block=pa.int32(), data=pa.binary())
+
+    def merge(rows: pa.Table) -> pa.Table:
+        blocks = np.zeros(width, np.uint8)
+        cells = [unpack(x.as_py()).astype(np.uint32) for x in rows["data"]]
+        for own in cells:
+            blocks[own] = np.minimum(blocks[own] + 1, 2)
+        bits = pa.array([np.packbits(blocks[own] > 1).tobytes() for own in cells], pa.binary())
+        return rows.select(["block", "slice", "row"]).append_column("data", bits)
+
+    def candidates(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(rows):
+            return _table([], low=pa.int64(), high=pa.int64(), doc_id=pa.int64(), place=pa.int64())
+        block, own = rows["block"][0].as_py(), _Block(rows, window, slices)
+        pick = own.repeated(answers, width)
+        lanes = {"low": own.first_low[pick].view(np.int64), "high": own.first_high[pick].view(np.int64)}
+        return pa.table(lanes | {"doc_id": own.first_doc[pick], "place": (block << 32) + pick})
+
+    def strip(rows: pa.Table, later: pa.Table) -> pa.Table:
+        own = _Block(rows, window, slices) if len(rows) else None
+        n_words, n_removed, out = [], [], []
+        if own:
+            earlier = np.zeros(len(own.first_low), bool)
+            earlier[later["nth"].to_numpy()] = True
+            goes = earlier[own.group] | (own.doc > own.first_doc[own.group])
+        at = 0
+        for whole, known, null in zip(own.whole, own.known, rows["text"].is_null().to_pylist(), strict=True) if own else ():
+            words = whole.split()
+            n = max(0, len(words) - window + 1) if known else 0
+            hit = np.flatnonzero(goes[at : at + n])
+            at += n
+            stays = None
+            if len(hit):
+                edge = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edge, hit, 1)
+                np.add.at(edge, hit + window, -1)
+                stays = np.cumsum(edge[:-1]) == 0
+            n_words.append(len(words))
+            n_removed.append(0 if stays is None else int((~stays).sum()))
+            out.append(None if null and output is _cut else output(whole, words, stays))
+        counts = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "out": pa.array(out, pa.binary())}
+        return pa.table({c: rows[c] for c in ("doc_id", "known")} | counts | {c: rows[c] for c in carried})
+
+    binary = "block int, slice int, row int, data binary"
+    sketched = bare.applyInArrow(sketch, "slice int, row int, block int, data binary")
+    cells = sketched.groupBy("slice", "row").applyInArrow(merge, binary)
+    sent = bare.cogroup(cells.groupBy("block")).applyInArrow(candidates, "low long, high long, doc_id long, place long")
+    # A window is sent once by each block that holds it, so even a very common one makes no more rows than there are blocks.
+    first = F.min("doc_id").over(Window.partitionBy("low", "high"))
+    later = sent.withColumn("first", first).filter("first < doc_id")
+    later = later.select(
+        F.shiftright("place", 32).cast("int").alias("block"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("nth")
+    )
+    kind = T.StructType().add("doc_id", "long").add("known", "boolean").add("n_words", "long").add("n_removed", "long")
+    kind = T.StructType([*kind.add("out", "binary").fields, *[dealt.schema[c] for c in carried]])
+    stripped = bare.cogroup(later.groupBy("block")).applyInArrow(strip, kind)
+    return stripped.withColumn("out", F.col("out").cast("string"))
+
+
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), columns, strict=True)})
