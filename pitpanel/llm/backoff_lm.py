@@ -3,7 +3,10 @@
 Documents are dealt into blocks; a block explodes its documents into n-grams and counts the distinct ones. The count tables are
 partitioned by hash into slices, where the counts of all blocks are summed. Each block's n-grams are joined with these tables in
 their slice, so that a block gets the corpus count of each of its n-grams, and sums log scores per document. A frequent
-n-gram goes out once per block, so no key is hot. The tables grow with the corpus and are never in one place.
+n-gram goes out once per block, so no key is hot. The tables grow with the corpus and are never in one place. Blocks and slices
+have fixed sizes; a block sends a slice one message with all that it has for it, packed, so there are never more messages than
+distinct n-grams of blocks, and a plain join of rows would move as many. Keys have 64 bits: among 10 ** 12 distinct n-grams
+about 27,000 share a key with another one and are counted together.
 """
 
 from __future__ import annotations
@@ -13,12 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, chunks, inside, n_bytes, text_bytes, window_hashes, with_block, word_codes, word_hashes
+from .common import block_count, chunks, inside, n_bytes, restored, text_bytes, window_hashes, with_block, word_codes, word_hashes
 
 _U64 = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Text whose n-grams make up one slice of the count tables.
+SLICE_BYTES = 32_000_000
+
+
 def pack(hashes: np.ndarray) -> bytes:
     """Ascending hashes as differences, bytes of equal weight side by side, for the compressor."""
     return np.diff(hashes, prepend=_U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() if len(hashes) else b""
@@ -36,9 +43,10 @@ def _counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
 
 
-def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For n from 1 to order, a hash of the n-gram that ends at each word (0 where the document has begun later), and word counts."""
+def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For n from 1 to order, a hash of the n-gram that ends at each word and whether it lies in one document; word counts."""
     out: list[list[np.ndarray]] = [[] for _ in range(order)]
+    valid: list[list[np.ndarray]] = [[] for _ in range(order)]
     counts = []
     for a, b in chunks(texts):
         words = [t.translate(_LOWER).split() for t in texts[a:b]]
@@ -46,17 +54,18 @@ def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]
         counts.append(lengths)
         hashed = word_hashes(*word_codes([w for ws in words for w in ws]))
         for n in range(1, order + 1):
-            ending = np.zeros(len(hashed), _U64)
+            ending, some = np.zeros(len(hashed), _U64), np.zeros(len(hashed), bool)
             starts = inside(lengths, n)
-            ending[starts + n - 1] = window_hashes(hashed, n)[starts] | _U64(1)
+            ending[starts + n - 1] = window_hashes(hashed, n)[starts]
+            some[starts + n - 1] = True
             out[n - 1].append(ending)
-    none = np.zeros(0, _U64)
-    return [np.concatenate(x) if x else none for x in out], np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            valid[n - 1].append(some)
+    laid = lambda parts, kind: [np.concatenate(x) if x else np.zeros(0, kind) for x in parts]
+    return laid(out, _U64), laid(valid, bool), np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
-def _distinct(ending: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(ending: np.ndarray, some: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, their counts, which one each word has (-1 for none), and where slices begin among them."""
-    some = ending != 0
     unique, inverse, count = np.unique(ending[some], return_inverse=True, return_counts=True)
     which = np.full(len(ending), -1)
     which[some] = inverse
@@ -71,24 +80,23 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff
     n-gram up to `order` that the corpus holds min_count times or more, times `backoff` for each n-gram passed over, and
     count / number of words for a word alone; log_score sums the natural logarithms. A document without words (null
     or empty text) has log_score 0. Null and repeated ids are rows like any other, and repeated rows count as often as they come. An empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored. A text is handled whole in one task, with about 100 bytes of memory for each word.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(
         F.sum(n_bytes(text)).alias("bytes"), F.sum(F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long")).alias("words")
     ).first()
     total, all_words = int(size["bytes"] or 0), max(1, int(size["words"] or 0))
-    blocks = slices = block_count(total)
+    blocks, slices = block_count(total), max(1, -(-total // SLICE_BYTES))
     dealt = with_block(docs, blocks)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         block, rows = int(frame["block"].iloc[0]), []
-        endings, _ = grams([text_bytes(t) for t in frame["text"]], order)
-        for n, ending in enumerate(endings, 1):
-            unique, counts, _, at = _distinct(ending, slices)
-            for k in range(slices):
-                if at[k + 1] > at[k]:
-                    rows.append((k, n, block, pack(unique[at[k] : at[k + 1]]), _planes(counts[at[k] : at[k + 1]])))
+        endings, valid, _ = grams([text_bytes(t) for t in frame["text"]], order)
+        for n, (ending, some) in enumerate(zip(endings, valid, strict=True), 1):
+            unique, counts, _, at = _distinct(ending, some, slices)
+            for k in np.flatnonzero(np.diff(at)):
+                rows.append((k, n, block, pack(unique[at[k] : at[k + 1]]), _planes(counts[at[k] : at[k + 1]])))
         return pd.DataFrame(rows, columns=["slice", "n", "block", "grams", "counts"])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
@@ -100,21 +108,19 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff
         return pd.DataFrame({"block": frame["block"], "slice": frame["slice"], "n": frame["n"], "counts": found})
 
     def score(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "n_words", "n_backoffs", "log_score"]
+        columns = ["doc_id", "known", "n_words", "n_backoffs", "log_score"]
         if not len(frame):
             return pd.DataFrame(columns=columns)
-        endings, lengths = grams([text_bytes(t) for t in frame["text"]], order)
+        endings, valid, lengths = grams([text_bytes(t) for t in frame["text"]], order)
         known = {(int(n), int(k)): c for n, k, c in zip(answers["n"], answers["slice"], answers["counts"], strict=True)}
         by_n = []
-        for n, ending in enumerate(endings, 1):
-            unique, _, which, at = _distinct(ending, slices)
-            found = [_counts(known[n, k]) for k in range(slices) if at[k + 1] > at[k]]
+        for n, (ending, some) in enumerate(zip(endings, valid, strict=True), 1):
+            _, _, which, at = _distinct(ending, some, slices)
+            found = [_counts(known[n, k]) for k in np.flatnonzero(np.diff(at))]
             counts = np.append(np.concatenate(found) if found else np.zeros(0, np.int64), 0)
             by_n.append(counts[which])
         logs = np.log(np.maximum(by_n[0], 1) / all_words)
         backoffs = np.full(len(logs), 0)
-        first = np.zeros(len(logs), bool)
-        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
         position = np.arange(len(logs)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         done = np.zeros(len(logs), bool)
         for n in range(order, 1, -1):
@@ -128,7 +134,8 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff
         of = np.repeat(np.arange(len(lengths)), lengths)
         return pd.DataFrame(
             {
-                "doc_id": frame["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None),
+                "doc_id": frame["doc_id"],
+                "known": frame["known"],
                 "n_words": lengths,
                 "n_backoffs": np.bincount(of, weights=backoffs, minlength=len(lengths)).astype(np.int64),
                 "log_score": np.bincount(of, weights=logs, minlength=len(lengths)).astype(float),
@@ -137,8 +144,5 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff
 
     counted = dealt.groupBy("block").applyInPandas(count, "slice int, n int, block int, grams binary, counts binary")
     joined = counted.groupBy("slice", "n").applyInPandas(join, "block int, slice int, n int, counts binary")
-    return (
-        dealt.groupBy("block")
-        .cogroup(joined.groupBy("block"))
-        .applyInPandas(score, "doc_id long, n_words long, n_backoffs long, log_score double")
-    )
+    kind = "doc_id long, known boolean, n_words long, n_backoffs long, log_score double"
+    return restored(dealt.groupBy("block").cogroup(joined.groupBy("block")).applyInPandas(score, kind))
