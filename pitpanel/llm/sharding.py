@@ -2,7 +2,7 @@
 
 Groups of equal texts are the things that are placed. They are far too many to place one by one, so all
 small groups are first hashed into a fixed number of cells; cells and large groups are the units of packing.
-A group that alone would fill a good part of a shard is cut into pieces by doc_id. The number of units has a
+Only a group that no shard could hold is cut into pieces, by doc_id. The number of units has a
 bound that doesn't depend on the corpus, so the placement itself is a short loop on the driver.
 """
 
@@ -43,27 +43,35 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def even_out(sizes: np.ndarray, placed: np.ndarray, shards: int, rounds: int = 400) -> np.ndarray:
-    """Swaps a unit of the largest shard with a smaller one, or none, of the smallest shard while that evens their sizes."""
-    placed, totals = placed.copy(), np.bincount(placed, weights=sizes, minlength=shards)
-    for _ in range(rounds):
-        high, low = int(totals.argmax()), int(totals.argmin())
-        gap = totals[high] - totals[low]
-        ours, theirs = np.flatnonzero(placed == high), np.flatnonzero(placed == low)
-        theirs = np.append(theirs[np.argsort(sizes[theirs], kind="stable")], -1)  # the last stands for none
-        other = np.append(sizes[theirs[:-1]], 0.0)
-        order = np.argsort(other, kind="stable")
-        wanted = np.searchsorted(other[order], sizes[ours] - gap / 2).clip(0, len(order) - 1)
-        choices = np.stack([order[wanted], order[np.maximum(wanted - 1, 0)]])
-        moved = sizes[ours] - other[choices]
-        best = np.unravel_index(np.abs(moved - gap / 2).argmin(), moved.shape) if len(ours) else None
-        if best is None or not 0 < moved[best] < gap:
-            break
-        placed[ours[best[1]]] = low
-        if theirs[choices[best]] >= 0:
-            placed[theirs[choices[best]]] = high
-        totals[high] -= moved[best]
-        totals[low] += moved[best]
+#: What uneven bytes, tokens and rows weigh when units are swapped; the law that the result follows is on bytes.
+WEIGHTS = (4.0, 1.0, 1.0)
+
+
+def even_out(vectors: np.ndarray, placed: np.ndarray, shards: int, rounds: int = 300) -> np.ndarray:
+    """Swaps a unit of one shard with a unit, or nothing, of another while that evens all dimensions together.
+
+    Each round takes the shards that are furthest apart in some dimension and the swap that brings both nearest to their mean,
+    by the weighted squares of all dimensions; it ends when no such swap is left in any dimension.
+    """
+    placed, scaled = placed.copy(), vectors * np.sqrt(np.array(WEIGHTS[: vectors.shape[1]]))
+    totals = np.stack([np.bincount(placed, weights=scaled[:, d], minlength=shards) for d in range(scaled.shape[1])], axis=1)
+    for _ in range(rounds if len(placed) else 0):
+        for d in np.argsort(-np.ptp(totals, axis=0), kind="stable"):
+            high, low = int(totals[:, d].argmax()), int(totals[:, d].argmin())
+            half = (totals[high] - totals[low]) / 2
+            ours, theirs = np.flatnonzero(placed == high), np.append(np.flatnonzero(placed == low), -1)
+            mine, other = scaled[ours], np.append(scaled[theirs[:-1]], np.zeros((1, scaled.shape[1])), axis=0)
+            left = sum((mine[:, k, None] - (other[None, :, k] + half[k])) ** 2 for k in range(scaled.shape[1]))
+            a, b = np.unravel_index(left.argmin(), left.shape) if left.size else (0, 0)
+            if left.size and left[a, b] < (half**2).sum() * (1 - 1e-9) - 1e-18:
+                break
+        else:
+            return placed
+        placed[ours[a]] = low
+        if theirs[b] >= 0:
+            placed[theirs[b]] = high
+        totals[high] -= mine[a] - other[b]
+        totals[low] += mine[a] - other[b]
     return placed
 
 
@@ -72,7 +80,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     Size is the text's UTF-8 bytes plus 1, tokens are words between blanks. A null text counts as empty, a null doc_id is
     a value like any other, repeated rows are placed each on its own, and an empty table gives an empty result. Other
-    columns of docs are ignored. Equal texts share a shard unless they make up over 1/32 of any total.
+    columns of docs, whatever their names, are ignored. Equal texts share a shard, unless they make up more of the bytes, tokens or rows than
+    one shard's share. A very long text is read by built-in functions alone.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -91,7 +100,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     share = F.greatest(*(F.col(d) / F.lit(float(of_all[d])) for d in _DIMENSIONS))
     groups = rows.groupBy("g").agg(*sums).withColumn("share", share)
     large = groups.filter(F.col("share") > 1.0 / CELLS).collect()  # at most 3 * CELLS rows
-    hot = [r["g"] for r in large if r["share"] > 1.0 / 32]
+    hot = [r["g"] for r in large if r["share"] > 1.0 / shards]  # at most 3 * shards
     kinds = spark.createDataFrame([(r["g"], r["g"] in set(hot)) for r in large], "g long, is_hot boolean")
     marked = rows.join(F.broadcast(kinds), "g", "left").select(
         *rows.columns,
@@ -102,10 +111,10 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         .cast("int")
         .alias("part"),
     )
-    units = marked.groupBy("unit", "part").agg(*sums).collect()  # at most 4 * CELLS + 96 * HOT_PARTS rows
+    units = marked.groupBy("unit", "part").agg(*sums).collect()  # at most 4 * CELLS + 3 * shards * HOT_PARTS rows
     units.sort(key=lambda r: (r["part"], r["unit"]))
     vectors = np.array([[r[d] / of_all[d] for d in _DIMENSIONS] for r in units]).reshape(len(units), 3)
-    chosen = even_out(np.array([r["size"] for r in units], dtype=float), place(vectors, shards), shards)
+    chosen = even_out(vectors, place(vectors, shards), shards)
     placed = [(r["unit"], r["part"], int(s)) for r, s in zip(units, chosen, strict=True)]
     placement = spark.createDataFrame(placed, "unit long, part int, shard int")
     buckets = max(1, math.ceil((total["rows"] or 0) / SLOT_ROWS))
