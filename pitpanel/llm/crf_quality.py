@@ -13,11 +13,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import evaluated_once
+
 #: Labelled documents at most that training takes: those whose hashes come first.
 TRAINING_DOCS = 6000
+#: Bytes of text at most that the driver holds for training.
+TRAINING_BYTES = 64_000_000
 #: Characters of a line over which it is cut into stretches of that many, each a step of the chain.
 STRETCH = 400
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -185,14 +189,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna()
     known = known.filter(~held_out() & F.col("quality").isin(0, 1))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").limit(2 * sample)
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["quality"]))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").dropna()
+    order = [F.xxhash64("doc_id"), F.xxhash64("text"), F.col("quality")]
+    rows = rows.orderBy(*order).limit(2 * sample)  # repeated ids may give more rows than labels, and the same ones in each run
+    held = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order))  # over a bounded number of rows
+    rows = rows.withColumn("held", held).filter(F.col("held") <= TRAINING_BYTES).collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["text"]))
     chain, share = train([r["text"] for r in rows], np.array([r["quality"] for r in rows], dtype=np.int64))
-    score = F.pandas_udf(_scorer(chain, share), "double")
     return docs.select(
         "doc_id",
         F.coalesce(held_out(), F.lit(True)).alias("held_out"),
-        score(F.col("text").cast("string")).alias("score"),
+        evaluated_once(_scorer(chain, share), "double", F.col("text").cast("string")).alias("score"),
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
