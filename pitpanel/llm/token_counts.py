@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, evaluated_once
 
 _MARK = "▁"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -160,7 +160,6 @@ def count_tokens(docs: DataFrame, model_file: str, budget: int = 4096, with_tabl
     if with_table:
         kind = kind.add("prefix_tokens", T.ArrayType(T.LongType()))
 
-    @F.pandas_udf(kind)
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = counter_for(model_file)
         for texts in batches:
@@ -171,6 +170,6 @@ def count_tokens(docs: DataFrame, model_file: str, budget: int = 4096, with_tabl
             yield pd.DataFrame(rows, columns=kind.names)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("c")).select(
+    return docs.select(F.col("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), evaluated_once(counted, kind, text).alias("c")).select(
         "doc_id", "n_bytes", "c.n_tokens", (F.col("c.n_tokens") > budget).alias("over_limit"), *[f"c.{x}" for x in kind.names[1:]]
     )
