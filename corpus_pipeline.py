@@ -2,35 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pitpanel.llm import decontaminate, near_dedup, packing, substring_dedup, weak_rules
-from pitpanel.llm.common import checkpoint, table
+from pitpanel.llm.common import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the posterior of the weak rules keep."""
+    """Documents that the base rules and the posterior of the weak rules keep.
+
+    A null, empty or short text goes, a null or repeated doc_id doesn't matter, an empty table stays empty.
+    """
     return weak_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates: five words, similarity of 0.8 or more."""
+    """One document, that of the smallest doc_id, of each group of near duplicates: five words, similarity of 0.8 or more.
+
+    Texts without words and rows with a null doc_id stay; of rows that repeat doc_id and text one stays.
+    """
     return near_dedup.one_of_each(docs, width=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of 13 words that a document with a smaller doc_id holds."""
+    """Texts without the windows of 13 words that a document with a smaller doc_id holds.
+
+    All rows stay, in the end with an empty text; null texts and rows with a null doc_id stay as they are, and repeated rows of a
+    doc_id take nothing from each other.
+    """
     return substring_dedup.without_repeats(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items don't contaminate."""
+    """Documents that benchmark items don't contaminate; texts without words, null texts and rows with a null doc_id among them."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document: its place in a sequence of permitted length."""
-    return packing.pack_documents(docs)
+    """A row for each piece of a document: its place in a sequence of permitted length.
+
+    A text without words is one piece of length 0; null and repeated doc_ids are rows like any other.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -46,9 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's table is deleted when the next one's is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = checkpoint(docs)
-    return docs
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            before, docs = docs, scratch.table(stage(spark, docs, sf_dir))
+            scratch.drop(before)
+        scratch.keep(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,13 +4,17 @@ Documents with equal shingle sets form a class, so copies are one row from then
 one-permutation hashing; empty bins are filled by optimal densification. In each bucket of a band, members are
 linked with one centre only, so there are as many candidate edges as bucket members, not pairs; every edge is
 confirmed on the full sets. Where a bucket is not of one component afterwards, its centre leaves it, having met all
-others, and a second star has another centre. What buckets hold after that is compared whole, in blocks within tasks, so
-within a bucket no link between two components is lost, while most buckets are done after one or two stars.
+others, and a second star has another centre; further ones follow while they empty large buckets. What buckets hold after
+that is compared whole, in blocks within tasks, so within a bucket no link between two components is lost. Most buckets are
+done after one or two stars; a large one whose members are mostly not near each other costs the square of its size.
+A sketch of each set, of 1,024 bits, tells most pairs apart without the sets: bits that two sketches don't share are a lower bound of the
+shingles that the sets don't share. So only sets that may be linked are shuffled.
 Components come from minimum labels with pointer jumping, in joins over checkpointed tables.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, mix, text_bytes, window_hashes, word_codes, word_hashes
+from .common import Scratch, chunks, evaluated_once, mix, split_by_ids, text_bytes, unused, window_hashes, word_codes, word_hashes
 
 SHINGLE = 2
 #: Bands and rows of a band: a pair at similarity 0.8 misses every bucket with a probability of about (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Star rounds before the members that buckets still hold are compared in blocks of about this many rows.
+#: Star rounds at least before the members that buckets still hold are compared in blocks of about this many rows.
 STAR_ROUNDS, BLOCK_ROWS = 2, 1024
 _U64 = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -57,17 +61,27 @@ def signature(values: np.ndarray, bins: int) -> np.ndarray:
     filled = np.zeros(bins, bool)
     filled[at.astype(np.int64)] = True
     empty = np.flatnonzero(~filled)
-    own, attempt = empty.astype(_U64), 0
-    source = out.copy()
+    source, first = out.copy(), 0
     while len(empty):
-        attempt += 1
-        tried = (mix(own * _U64(0x9E3779B97F4A7C15) + _U64(attempt)) % _U64(bins)).astype(np.int64)
+        tried = probes(bins, first)[:, empty]
         found = filled[tried]
-        out[empty[found]] = source[tried[found]]
-        empty, own = empty[~found], own[~found]
+        some = found.any(axis=0)
+        out[empty[some]] = source[tried[found.argmax(axis=0), np.arange(len(empty))][some]]
+        empty, first = empty[~some], first + PROBES
     return out
 
 
+#: Probes of a bin that are worked out at once.
+PROBES = 64
+
+
+@functools.cache
+def probes(bins: int, first: int) -> np.ndarray:
+    """The bins that each empty bin looks at in its probes number first + 1 to first + PROBES; they don't depend on the set."""
+    attempt = np.arange(first + 1, first + PROBES + 1, dtype=_U64)[:, None]
+    return (mix(np.arange(bins, dtype=_U64)[None, :] * _U64(0x9E3779B97F4A7C15) + attempt) % _U64(bins)).astype(np.int64)
+
+
 def bands_of(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     sig = signature(values, bands * rows).reshape(bands, rows)
     return window_hashes_rows(sig).view(np.int64)
@@ -80,6 +94,17 @@ def window_hashes_rows(sig: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+SKETCH_WORDS = 16
+
+
+def sketch_of(values: np.ndarray) -> np.ndarray:
+    """A bit set for each shingle."""
+    place = mix(values ^ _U64(0xA0761D6478BD642F)) >> _U64(54)
+    out = np.zeros(SKETCH_WORDS * 64, np.uint8)
+    out[place.astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64)
+
+
 def _profiler(width: int, bands: int, rows: int) -> Callable:
     def profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -87,10 +112,10 @@ def _profiler(width: int, bands: int, rows: int) -> Callable:
             for a, b in chunks(texts):
                 for values in shingle_sets(texts[a:b], width):
                     if len(values):
-                        out.append((len(values), *_digest(values), bands_of(values, bands, rows)))
+                        out.append((len(values), *_digest(values), bands_of(values, bands, rows), sketch_of(values)))
                     else:
-                        out.append((0, 0, 0, None))
-            yield pd.DataFrame(out, columns=["n", "low", "high", "bands"])
+                        out.append((0, 0, 0, None, None))
+            yield pd.DataFrame(out, columns=["n", "low", "high", "bands", "sketch"])
 
     return profile
 
@@ -130,11 +155,11 @@ def _confirmed(a: Column, b: Column, percent: int) -> Column:
     return both * 100 >= (F.size(a) + F.size(b) - both) * percent
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and label, the smallest node reachable, for all nodes of the edges (a, b); checkpointed."""
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and label, the smallest node reachable, for all nodes of the edges (a, b); a table of scratch."""
+    both = scratch.table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
-    labels = checkpoint(labels)
+    labels = scratch.table(labels)
     while True:
         near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select(
@@ -142,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         # the label's own label may be smaller already
         further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = checkpoint(
+        moved = scratch.table(
             step.join(further, "label", "left").select("node", F.least("label", "next").alias("label"), "old")
         )
         labels = moved.select("node", "label")
@@ -150,10 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """labels (node, label) after joining the components whose labels the edges (a, b) connect."""
-    to = components(edges).toDF("label", "new")
-    return checkpoint(labels.join(to, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+    to = components(edges, scratch).toDF("label", "new")
+    return scratch.table(labels.join(to, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
 def near_groups(
@@ -163,21 +188,24 @@ def near_groups(
 
     Documents whose sets have 100 * intersection >= percent * union are linked. Without words (null or empty texts) a
     set is empty and its document is linked with nothing. Rows with a null doc_id are linked with nothing, get a null
-    component_id and are kept; rows that repeat a doc_id belong together. An empty table stays empty; other columns are ignored.
+    component_id and are kept; rows that repeat a doc_id belong together. An empty table stays empty; other columns, whatever
+    their names, are ignored. A very long text is one set in a task's memory, of 8 bytes for each distinct shingle.
     """
-    profiled, classes, labels = _near_labels(docs, percent, width, bands, rows)
-    with_words = profiled.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # One doc_id may come with several texts: the components of its classes belong together.
-    twice = checkpoint(with_words.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
-    if twice.limit(1).count():
-        own = with_words.join(twice, "doc_id").select("doc_id", "low", "high").distinct()
-        own = own.join(classes.select("low", "high", "node"), ["low", "high"]).join(labels, "node")
-        own = checkpoint(own.select("doc_id", "label").distinct())
-        heads = own.groupBy("doc_id").agg(F.min("label").alias("b"))
-        same = checkpoint(own.join(heads, "doc_id").filter("label <> b").select(F.col("label").alias("a"), "b").distinct())
-        if same.limit(1).count():
-            labels = relabelled(labels, same)
-    done = classes.join(labels, "node").select("low", "high", F.col("label.id").alias("label"))
+    with Scratch(docs.sparkSession) as scratch:
+        profiled, classes, labels = _near_labels(docs, percent, width, bands, rows, scratch)
+        with_words = profiled.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+        # One doc_id may come with several texts: the components of its classes belong together.
+        twice = scratch.table(with_words.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
+        if twice.limit(1).count():
+            own = with_words.join(twice, "doc_id").select("doc_id", "low", "high").distinct()
+            own = own.join(classes.select("low", "high", "node"), ["low", "high"]).join(labels, "node")
+            own = scratch.table(own.select("doc_id", "label").distinct())
+            heads = own.groupBy("doc_id").agg(F.min("label").alias("b"))
+            same = scratch.table(own.join(heads, "doc_id").filter("label <> b").select(F.col("label").alias("a"), "b").distinct())
+            if same.limit(1).count():
+                labels = relabelled(labels, same, scratch)
+        done = scratch.table(classes.join(labels, "node").select("low", "high", F.col("label.id").alias("label")))
+        scratch.keep(profiled, done)
     return (
         profiled.join(done, ["low", "high"], "left")
         .withColumn("component_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")))
@@ -190,122 +218,191 @@ def near_groups(
     )
 
 
-def _near_labels(docs: DataFrame, percent: int, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near_labels(
+    docs: DataFrame, percent: int, width: int, bands: int, rows: int, scratch: Scratch
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profiles of all rows, classes of equal sets, and the label of each class: the smallest node among the near ones.
 
     A class's node is its smallest doc_id with its digest, as one doc_id may come with several texts. Links between the
     classes of one doc_id aren't in the labels.
     """
-    profile = F.pandas_udf(_profiler(width, bands, rows), "n long, low long, high long, bands array<long>")
-    text = F.col("text").cast("string")
-    profiled = checkpoint(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), profile(text).alias("p")).select("doc_id", "p.*")
-    )
-    with_words = profiled.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = checkpoint(
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    profile = evaluated_once(_profiler(width, bands, rows), "n long, low long, high long, bands array<long>, sketch array<long>", F.col("text"))
+    profiles = scratch.table(texts.select("doc_id", profile.alias("p")).select("doc_id", "p.*"))
+    profiled = profiles.select("doc_id", "n", "low", "high")
+    with_words = profiles.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = scratch.table(
         with_words.groupBy("low", "high").agg(
-            F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")
-        ).select("low", "high", F.struct("id", "low").alias("node"), "n", "bands")
+            F.min("doc_id").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "bands", "sketch")]
+        ).select("low", "high", F.struct("id", "low").alias("node"), "n", "bands", "sketch")
     )
-    members = checkpoint(
+    shared = scratch.table(
         classes.select(F.posexplode("bands").alias("band", "hash"))
         .groupBy("band", "hash")
         .agg(F.count("*").alias("size"))
         .filter("size > 1")
         .select("band", "hash")
     )
-    members = checkpoint(
-        classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).join(members, ["band", "hash"])
+    members = scratch.table(
+        classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).join(shared, ["band", "hash"])
     )
-    wanted = members.select(F.col("node.id").alias("doc_id")).distinct()
-    sets_udf = F.pandas_udf(_set_maker(width), "low long, set array<long>")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(wanted, "doc_id")
-    sets = texts.select("doc_id", sets_udf("text").alias("p"))
-    sets = sets.select(F.struct(F.col("doc_id").alias("id"), F.col("p.low").alias("low")).alias("node"), F.col("p.set").alias("set"))
+    profiled = scratch.table(profiled)
+    sketches = scratch.table(members.select("node").distinct().join(classes.select("node", "sketch"), "node"))
+    wanted = sketches.select("node.id", "node.low")
+    sets_of = evaluated_once(_set_maker(width), "low long, set array<long>", F.col("text"))
+    # Most documents share no bucket: their texts are neither shuffled nor made into sets.
+    texts, _ = split_by_ids(texts, F.col("doc_id"), wanted.select("id"), wanted.count())
+    sets = texts.select(F.col("doc_id").alias("id"), sets_of.alias("p")).select("id", "p.low", "p.set")
+    sets = sets.join(wanted, ["id", "low"], "left_semi").select(F.struct("id", "low").alias("node"), "set")
     # rows may repeat both doc_id and text
     if with_words.groupBy("doc_id", "low").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count():
         sets = sets.dropDuplicates(["node"])
     labels = classes.select("node", F.col("node").alias("label"))
-    sets = checkpoint(sets)
-    for number in range(STAR_ROUNDS):
-        live = _live(members, labels, number)
-        if not live.limit(1).count():
+    sets = scratch.table(sets)
+    number, large = 0, None
+    while True:
+        live = _live(members, labels, number, scratch)
+        # after the first rounds stars go on while they empty buckets too large for a task's block
+        before, large = large, live.filter(F.col("size") > BLOCK_ROWS).count()
+        if number >= STAR_ROUNDS and (not large or large > 0.9 * (before or 0)) or not live.limit(1).count():
             break
+        number += 1
+        edges = _star_edges(live, percent).join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+        edges = scratch.table(edges.filter(_may_be_near(percent)).select("a", "b", "label_a", "label_b"))
+        ends = edges.select("a.id").union(edges.select("b.id"))
+        needed, _ = split_by_ids(sets, F.col("node.id"), ends, 2 * edges.count())
         found = (
-            _star_edges(live, percent)
-            .join(sets.toDF("a", "set_a"), "a")
-            .join(sets.toDF("b", "set_b"), "b")
+            edges.join(needed.toDF("a", "set_a"), "a")
+            .join(needed.toDF("b", "set_b"), "b")
             .filter(_confirmed(F.col("set_a"), F.col("set_b"), percent))
         )
-        found = checkpoint(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+        found = scratch.table(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
         if found.limit(1).count():
-            labels = relabelled(labels, found)
+            labels = relabelled(labels, found, scratch)
         # centres have met all others of their bucket
         members = live.filter("not centre").select("band", "hash", "node", "n")
-    found = checkpoint(_rest(_live(members, labels, STAR_ROUNDS), sets, percent))
+    found = _named(scratch.table(_rest(_with_partners(live, sketches, percent, scratch), sets, percent)))
     if found.limit(1).count():
-        labels = relabelled(labels, found)
+        labels = relabelled(labels, found, scratch)
     return profiled, classes, labels
 
 
-def _live(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
+def _live(members: DataFrame, labels: DataFrame, number: int, scratch: Scratch) -> DataFrame:
     """Members of buckets that aren't of one component yet: their label, whether they are the centre of this round (the
     first in its random order), and the number of members of their bucket."""
-    labelled = checkpoint(members.join(labels, "node").withColumn("order", F.xxhash64("node", F.lit(number))))
-    open_ = checkpoint(
+    labelled = scratch.table(members.join(labels, "node").withColumn("order", F.xxhash64("node", F.lit(number))))
+    open_ = scratch.table(
         labelled.groupBy("band", "hash")
         .agg(F.count("*").alias("size"), F.min("order").alias("first"), F.min("label").alias("x"), F.max("label").alias("y"))
         .filter("x < y")
         .select("band", "hash", "size", "first")
     )
     centre = F.col("order") == F.col("first")
-    return checkpoint(
+    return scratch.table(
         labelled.join(open_, ["band", "hash"]).select("band", "hash", "node", "n", "label", "size", centre.alias("centre"))
     )
 
 
 def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between labels from all pairs of members that a bucket still holds.
+    """Links (a, b) between labels from all pairs of members that a bucket still holds, and how many pairs were compared.
 
-    A bucket is cut into blocks; a task compares two blocks at a time by products of their incidence matrices and gives
-    out the linked labels only, so no pairs are written and no task gets more than two blocks.
+    A bucket is cut into blocks, of BLOCK_ROWS rows up to 64 blocks and of up to 16 times as many beyond, so that a set is copied
+    64 times in a bucket of a million members. A task compares two blocks tile by tile, by products of their incidence matrices,
+    and gives out the linked labels only, so no pairs are written and no task gets more than two blocks.
     """
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    placed = _dealt(live.join(sets, "node"), "set")
+    return placed.groupBy("band", "hash", "i", "j").applyInPandas(_linker(percent), "a long, a_low long, b long, b_low long, pairs long")
+
+
+def _dealt(live: DataFrame, *payload: str) -> DataFrame:
+    """Members of buckets, once for each pair of blocks (i, j) that their own block is in."""
+    rows = F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(16 * BLOCK_ROWS), F.ceil(F.col("size") / 64)))
+    blocks = F.ceil(F.col("size") / rows).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(-1)), blocks).cast("int")
-    placed = live.join(sets, "node").select("band", "hash", "label", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    keyed = placed.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label.id", "label.low", "set")
-    linked = keyed.groupBy("band", "hash", "i", "j").applyInPandas(_linker(percent), "a long, a_low long, b long, b_low long").distinct()
+    placed = live.select("band", "hash", "node", "n", "label", *payload, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    pair = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    return placed.select("band", "hash", *pair, "own", "label.id", "label.low", F.col("node.id").alias("node_id"), F.col("node.low").alias("node_low"), "n", *payload)
+
+
+def _with_partners(live: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The members of live that, by their sketches, may be near a member of their bucket with another label."""
+    groups = _dealt(live.join(sketches, "node"), "sketch").groupBy("band", "hash", "i", "j")
+    may = groups.applyInPandas(_partners(percent), "band int, hash long, id long, low long").distinct()
+    may = scratch.table(may.select("band", "hash", F.struct("id", "low").alias("node")))
+    return live.join(may, ["band", "hash", "node"], "left_semi")
+
+
+def _partners(percent: int) -> Callable:
+    def partners(frame: pd.DataFrame) -> pd.DataFrame:
+        own, n = frame["own"].to_numpy(), frame["n"].to_numpy(np.int64)
+        _, labels = np.unique(frame[["id", "low"]].to_numpy(np.int64), axis=0, return_inverse=True)
+        sketch = np.array(frame["sketch"].to_list(), np.int64).view(_U64)
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        ours, theirs, some = np.flatnonzero(own == i), np.flatnonzero(own == j), np.zeros(len(frame), bool)
+        for s in range(0, len(ours), BLOCK_ROWS):
+            for t in range(s if i == j else 0, len(theirs), BLOCK_ROWS):
+                x, y = ours[s : s + BLOCK_ROWS], theirs[t : t + BLOCK_ROWS]
+                apart = np.zeros((len(x), len(y)), np.int32)
+                for k in range(SKETCH_WORDS):
+                    apart += np.bitwise_count(sketch[x, k][:, None] ^ sketch[y, k][None, :])
+                near = apart * (100 + percent) <= (n[x][:, None] + n[y][None, :]) * (100 - percent)
+                near &= labels[x][:, None] != labels[y][None, :]
+                some[x] |= near.any(axis=1)
+                some[y] |= near.any(axis=0)
+        out = frame.loc[some, ["band", "hash", "node_id", "node_low"]]
+        return out.set_axis(["band", "hash", "id", "low"], axis=1)
+
+    return partners
+
+
+def _named(linked: DataFrame) -> DataFrame:
     name = lambda id_, low: F.struct(F.col(id_).alias("id"), F.col(low).alias("low"))
-    return linked.select(name("a", "a_low").alias("a"), name("b", "b_low").alias("b"))
+    return linked.filter("pairs is null").select(name("a", "a_low").alias("a"), name("b", "b_low").alias("b")).distinct()
 
 
 def _linker(percent: int) -> Callable:
     def links(frame: pd.DataFrame) -> pd.DataFrame:
+        own, sets = frame["own"].to_numpy(), frame["set"].to_list()
         names, labels = np.unique(frame[["id", "low"]].to_numpy(np.int64), axis=0, return_inverse=True)
-        sets = frame["set"].to_list()
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        shared = count > 1  # of use to some pair
-        number = np.cumsum(shared) - 1
-        use = shared[column]
-        row, column = row[use], number[column[use]]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for start in range(0, int(shared.sum()), 4096):
-            part = (column >= start) & (column < start + 4096)
-            matrix = np.zeros((len(sets), 4096), np.float32)
-            matrix[row[part], column[part] - start] = 1
-            both += matrix @ matrix.T
-        same = both.astype(np.int64)
-        linked = same * 100 >= (sizes[:, None] + sizes[None, :] - same) * percent
-        linked &= labels[:, None] < labels[None, :]
-        x, y = np.nonzero(linked)
-        a, b = np.unique(np.stack([labels[x], labels[y]]), axis=1) if len(x) else (x, y)
-        return pd.DataFrame({"a": names[a, 0], "a_low": names[a, 1], "b": names[b, 0], "b_low": names[b, 1]})
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        ours, theirs = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found, compared = [np.zeros((2, 0), np.int64)], 0
+        for s in range(0, len(ours), BLOCK_ROWS):
+            for t in range(s if i == j else 0, len(theirs), BLOCK_ROWS):
+                x, y = ours[s : s + BLOCK_ROWS], theirs[t : t + BLOCK_ROWS]
+                apart = labels[x][:, None] != labels[y][None, :]
+                if not apart.any():
+                    continue
+                compared += int(apart.sum()) // (2 if i == j and s == t else 1)
+                a, b = np.nonzero(_similar([sets[k] for k in x], [sets[k] for k in y], percent) & apart)
+                found.append(np.unique(np.sort(np.stack([labels[x[a]], labels[y[b]]]), axis=0), axis=1))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        # the last row has the number of compared pairs instead of a link
+        columns = {"a": names[a, 0], "a_low": names[a, 1], "b": names[b, 0], "b_low": names[b, 1]}
+        out = {c: pd.array([*v.tolist(), None], dtype="Int64") for c, v in columns.items()}
+        return pd.DataFrame(out | {"pairs": pd.array([None] * len(a) + [compared], dtype="Int64")})
 
     return links
 
 
+def _similar(ours: list[np.ndarray], theirs: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of our sets (rows) are near which of theirs (columns)."""
+    parts = [(np.repeat(np.arange(len(x)), sizes), np.concatenate(x), sizes) for x in (ours, theirs) for sizes in [np.fromiter(map(len, x), np.int64, len(x))]]
+    (row, value, n), (column, other, m) = parts
+    shared = np.intersect1d(value, other)
+    both = np.zeros((len(n), len(m)), np.float32)
+    (row, value), (column, other) = ((r[use], np.searchsorted(shared, v[use])) for r, v in ((row, value), (column, other)) for use in [np.isin(v, shared)])
+    for start in range(0, len(shared), 4096):
+        left, right = np.zeros((len(n), 4096), np.float32), np.zeros((len(m), 4096), np.float32)
+        use = (value >= start) & (value < start + 4096)
+        left[row[use], value[use] - start] = 1
+        use = (other >= start) & (other < start + 4096)
+        right[column[use], other[use] - start] = 1
+        both += left @ right.T
+    same = both.astype(np.int64)
+    return same * 100 >= (n[:, None] + m[None, :] - same) * percent
+
+
 def _star_edges(live: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) from the members of each bucket to its centres b, as far as they aren't connected yet."""
     centres = live.filter("centre").select(
@@ -315,28 +412,43 @@ def _star_edges(live: DataFrame, percent: int) -> DataFrame:
         live.join(centres, ["band", "hash"])
         .filter("label <> label_b and (not centre or node < b)")
         .filter(f"least(n, n_b) * 100 >= greatest(n, n_b) * {percent}")
-        .select(F.col("node").alias("a"), "b", F.col("label").alias("label_a"), "label_b")
+        .select(F.col("node").alias("a"), "b", F.col("label").alias("label_a"), "label_b", "n", "n_b")
         .distinct()
     )
 
 
+def _may_be_near(percent: int) -> Column:
+    """Whether edges with sketch_a, sketch_b and the set sizes n, n_b can be links: sets that differ in d shingles are near only if d * (100 +
+    percent) <= (n + n_b) * (100 - percent), and d is at least the number of bits that the sketches differ in."""
+    bits = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, k: total + k)
+    return apart * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
+
+
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of docs that stand for their group of near texts, with the columns of docs.
+    """The rows of docs that stand for their group of near texts, with the columns of docs, whatever their names.
 
     Of rows that repeat both doc_id and text one stays; different texts of one doc_id aren't copies of each other and
-    stand for groups of their own. Rows with a null doc_id all stay.
+    stand for groups of their own. Texts without words and rows with a null doc_id all stay, but for repeated rows of a
+    doc_id; of tied copies the smallest doc_id stays; an empty table stays empty. Only rows that may go are shuffled.
     """
-    profiled, classes, labels = _near_labels(docs, percent, width, BANDS, ROWS)
-    heads = classes.join(labels, "node").filter("node = label").select(F.col("node.id").alias("_id"), F.col("node.low").alias("_low"))
-    empty = profiled.filter("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("low").alias("_low"))
-    stays = checkpoint(heads.union(empty).distinct())
+    with Scratch(docs.sparkSession) as scratch:
+        profiled, classes, labels = _near_labels(docs, percent, width, BANDS, ROWS, scratch)
+        heads = classes.join(labels, "node").filter("node = label").select("node.id", "node.low")
+        known = profiled.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "low", "n")
+        stays = scratch.table(heads.union(known.filter("n = 0").select("id", "low")).distinct())
+        several = scratch.table(known.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"))
+        gone = known.select("id", "low").join(stays, ["id", "low"], "left_anti").select("id")
+        judged = scratch.table(gone.union(several).distinct().toDF("judged_id"))
+        again = several.limit(1).count() > 0
+        scratch.keep(judged, *([stays, several] if again else []))
     own = F.col("doc_id").cast("long")
-    known = docs.join(stays.select("_id").distinct(), own == F.col("_id"), "left_semi")
-    several = profiled.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
-    several = checkpoint(several.select(F.col("doc_id").alias("_id")))
-    if several.limit(1).count():
-        low = F.pandas_udf(_low_maker(width), "long")(F.col("text").cast("string"))
-        again = known.join(several, own == F.col("_id"), "left_semi").withColumns({"_id": own, "_low": low})
-        again = again.join(stays, ["_id", "_low"], "left_semi").dropDuplicates(["_id", "_low"]).select(*docs.columns)
-        known = known.join(several, own == F.col("_id"), "left_anti").union(again)
-    return known.union(docs.filter(own.isNull()))
+    doubtful, sure = split_by_ids(docs, own, judged, judged.count())
+    # Renamed, so that no column of docs clashes with those of the tables.
+    cid, clow = (unused(x, docs.columns) for x in ("own_id", "own_low"))
+    out = sure.union(doubtful.join(judged.toDF(cid), own == F.col(cid), "left_anti"))
+    if again:
+        low = evaluated_once(_low_maker(width), "long", F.col("text").cast("string"))
+        rows = doubtful.join(several.toDF(cid), own == F.col(cid), "left_semi").withColumns({cid: own, clow: low})
+        out = out.union(rows.join(stays.toDF(cid, clow), [cid, clow], "left_semi").dropDuplicates([cid, clow]).select(*docs.columns))
+    return out
