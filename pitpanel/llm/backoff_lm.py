@@ -3,7 +3,8 @@
 Documents are dealt into blocks; a block explodes its documents into n-grams and counts the distinct ones. The count tables are
 partitioned by hash into slices, where the counts of all blocks are summed. Each block's n-grams are joined with these tables in
 their slice, so that a block gets the corpus count of each of its n-grams, and sums log scores per document. A frequent
-n-gram goes out once per block, so no key is hot. The tables grow with the corpus and are never in one place. Blocks and slices
+n-gram goes out once per block, so no key is hot. The tables grow with the corpus and are never in one place. From three words on,
+a block asks for those n-grams only whose two (n - 1)-grams it has already learnt to be frequent enough, as no other can be. Blocks and slices
 have fixed sizes; a block sends a slice one message with all that it has for it, packed, so there are never more messages than
 distinct n-grams of blocks, and a plain join of rows would move as many. Keys have 64 bits: among 10 ** 12 distinct n-grams
 about 27,000 share a key with another one and are counted together.
@@ -73,7 +74,27 @@ def _distinct(ending: np.ndarray, some: np.ndarray, slices: int) -> tuple[np.nda
     return unique, count, which, np.append(np.searchsorted(unique, np.array(edges, dtype=_U64)), len(unique))
 
 
-def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
+def _known(texts: list[bytes], order: int, slices: int, min_count: int, answers: pd.DataFrame | None) -> tuple[list[np.ndarray], tuple | None, np.ndarray]:
+    """Counts of the n-gram that ends at each word (0 where none can be frequent), for n as far as there are answers; what
+    `_distinct` says of the next n, if there is one; word counts."""
+    endings, valid, lengths = grams(texts, order)
+    said = {} if answers is None else {(int(n), int(k)): c for n, k, c in zip(answers["n"], answers["slice"], answers["counts"], strict=True)}
+    upto = max((n for n, _ in said), default=0)
+    by_n: list[np.ndarray] = []
+    for n, (ending, some) in enumerate(zip(endings, valid, strict=True), 1):
+        if n > 2:
+            frequent = by_n[-1] >= min_count
+            some = some & frequent & np.append(False, frequent[:-1])
+        distinct = _distinct(ending, some, slices)
+        if n > upto:
+            return by_n, distinct, lengths
+        _, _, which, at = distinct
+        found = [_counts(said[n, k]) for k in np.flatnonzero(np.diff(at))]
+        by_n.append(np.append(np.concatenate(found) if found else np.zeros(0, np.int64), 0)[which])
+    return by_n, None, lengths
+
+
+def score_documents(docs: DataFrame, order: int = 3, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_words, n_backoffs and log_score of every row.
 
     Words are lower-cased (A-Z) and parted by blanks. A word's score is count(n-gram) / count(its first n - 1 words) for the longest
@@ -87,18 +108,25 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff
         F.sum(n_bytes(text)).alias("bytes"), F.sum(F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long")).alias("words")
     ).first()
     total, all_words = int(size["bytes"] or 0), max(1, int(size["words"] or 0))
-    blocks, slices = block_count(total), max(1, -(-total // SLICE_BYTES))
-    dealt = with_block(docs, blocks)
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        block, rows = int(frame["block"].iloc[0]), []
-        endings, valid, _ = grams([text_bytes(t) for t in frame["text"]], order)
-        for n, (ending, some) in enumerate(zip(endings, valid, strict=True), 1):
-            unique, counts, _, at = _distinct(ending, some, slices)
-            for k in np.flatnonzero(np.diff(at)):
-                rows.append((k, n, block, pack(unique[at[k] : at[k + 1]]), _planes(counts[at[k] : at[k + 1]])))
+    slices = max(1, -(-total // SLICE_BYTES))
+    dealt = with_block(docs, block_count(total))
+
+    def asked(n: int, distinct: tuple, block: int) -> pd.DataFrame:
+        unique, counts, _, at = distinct
+        rows = [(k, n, block, pack(unique[at[k] : at[k + 1]]), _planes(counts[at[k] : at[k + 1]])) for k in np.flatnonzero(np.diff(at))]
         return pd.DataFrame(rows, columns=["slice", "n", "block", "grams", "counts"])
 
+    def first(frame: pd.DataFrame) -> pd.DataFrame:
+        endings, valid, _ = grams([text_bytes(t) for t in frame["text"]], min(2, order))
+        parts = zip(endings, valid, strict=True)
+        return pd.concat([asked(n, _distinct(*part, slices), int(frame["block"].iloc[0])) for n, part in enumerate(parts, 1)])
+
+    def following(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame(columns=["slice", "n", "block", "grams", "counts"])
+        by_n, distinct, _ = _known([text_bytes(t) for t in frame["text"]], order, slices, min_count, answers)
+        return asked(len(by_n) + 1, distinct or (np.zeros(0, _U64), np.zeros(0, np.int64), None, np.zeros(1, np.int64)), int(frame["block"].iloc[0]))
+
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(g) for g in frame["grams"]]
         _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
@@ -111,18 +139,12 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff
         columns = ["doc_id", "known", "n_words", "n_backoffs", "log_score"]
         if not len(frame):
             return pd.DataFrame(columns=columns)
-        endings, valid, lengths = grams([text_bytes(t) for t in frame["text"]], order)
-        known = {(int(n), int(k)): c for n, k, c in zip(answers["n"], answers["slice"], answers["counts"], strict=True)}
-        by_n = []
-        for n, (ending, some) in enumerate(zip(endings, valid, strict=True), 1):
-            _, _, which, at = _distinct(ending, some, slices)
-            found = [_counts(known[n, k]) for k in np.flatnonzero(np.diff(at))]
-            counts = np.append(np.concatenate(found) if found else np.zeros(0, np.int64), 0)
-            by_n.append(counts[which])
+        by_n, _, lengths = _known([text_bytes(t) for t in frame["text"]], order, slices, min_count, answers)
+        none = np.zeros(int(lengths.sum()), np.int64)
+        by_n += [none] * (order - len(by_n))  # no block asked for any n-gram of these lengths
         logs = np.log(np.maximum(by_n[0], 1) / all_words)
-        backoffs = np.full(len(logs), 0)
+        backoffs, done = none.copy(), np.zeros(len(logs), bool)
         position = np.arange(len(logs)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        done = np.zeros(len(logs), bool)
         for n in range(order, 1, -1):
             possible = position >= n - 1
             before = np.append(0, by_n[n - 2][:-1])
@@ -142,7 +164,10 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff
             }
         )
 
-    counted = dealt.groupBy("block").applyInPandas(count, "slice int, n int, block int, grams binary, counts binary")
-    joined = counted.groupBy("slice", "n").applyInPandas(join, "block int, slice int, n int, counts binary")
+    blocks, message, answer = dealt.groupBy("block"), "slice int, n int, block int, grams binary, counts binary", "block int, slice int, n int, counts binary"
+    answers = blocks.applyInPandas(first, message).groupBy("slice", "n").applyInPandas(join, answer)
+    for _ in range(3, order + 1):
+        more = blocks.cogroup(answers.groupBy("block")).applyInPandas(following, message)
+        answers = answers.union(more.groupBy("slice", "n").applyInPandas(join, answer))
     kind = "doc_id long, known boolean, n_words long, n_backoffs long, log_score double"
-    return restored(dealt.groupBy("block").cogroup(joined.groupBy("block")).applyInPandas(score, kind))
+    return restored(blocks.cogroup(answers.groupBy("block")).applyInPandas(score, kind))

@@ -177,17 +177,18 @@ WITH d AS (
                             '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 t AS (
-  SELECT rid, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before
+  SELECT rid, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w2
   FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0)),
 u AS (SELECT word, count(*) AS c FROM t GROUP BY word),
-b AS (SELECT before, word, count(*) AS c FROM t WHERE before IS NOT NULL GROUP BY ALL),
+b AS (SELECT w1, word, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY ALL),
+g AS (SELECT w2, w1, word, count(*) AS c FROM t WHERE w2 IS NOT NULL GROUP BY ALL),
 s AS (
-  SELECT t.rid, CASE WHEN t.before IS NOT NULL AND b.c < 2 THEN 1 ELSE 0 END AS passed,
-         CASE WHEN t.before IS NULL THEN ln(u.c / (SELECT count(*) FROM t))
-              WHEN b.c >= 2 THEN ln(b.c / p.c)
-              ELSE ln(0.4) + ln(u.c / (SELECT count(*) FROM t)) END AS score
-  FROM t JOIN u ON u.word = t.word LEFT JOIN b ON b.before = t.before AND b.word = t.word LEFT JOIN u p ON p.word = t.before),
-a AS (SELECT rid, sum(passed) AS passed, sum(score) AS score FROM s GROUP BY rid)
+  SELECT t.rid, CASE WHEN g.c >= 2 THEN 0 WHEN b.c >= 2 THEN CAST(t.w2 IS NOT NULL AS INTEGER)
+                     ELSE CAST(t.w2 IS NOT NULL AS INTEGER) + CAST(t.w1 IS NOT NULL AS INTEGER) END AS passed,
+         CASE WHEN g.c >= 2 THEN ln(g.c / bb.c) WHEN b.c >= 2 THEN ln(b.c / uu.c) ELSE ln(u.c / (SELECT count(*) FROM t)) END AS seen
+  FROM t JOIN u ON u.word = t.word LEFT JOIN u uu ON uu.word = t.w1 LEFT JOIN b ON b.w1 = t.w1 AND b.word = t.word
+  LEFT JOIN b bb ON bb.w1 = t.w2 AND bb.word = t.w1 LEFT JOIN g ON g.w2 = t.w2 AND g.w1 = t.w1 AND g.word = t.word),
+a AS (SELECT rid, sum(passed) AS passed, sum(seen + passed * ln(0.4)) AS score FROM s GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(passed, 0) AS BIGINT) AS n_backoffs,
        round(coalesce(score, 0.0), 4) AS log_score
 FROM d LEFT JOIN a USING (rid)

@@ -213,7 +213,7 @@ def test_tables_of_a_large_benchmark_stay_small():
 
 def test_lm_scores(docs, rows):
     toks = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)] for _, t, *_ in rows]
-    for order in (2, 3):
+    for order in (1, 2, 3, 4):
         counts = [Counter(tuple(t[k : k + n]) for t in toks for k in range(len(t) - n + 1)) for n in range(1, order + 1)]
         total = sum(map(len, toks))
         want = []
