@@ -108,6 +108,11 @@ class Scratch:
 BITS_PER_ID, MAX_BITS = 16, 1 << 27
 
 
+def tight(count: int) -> bool:
+    """Whether a bitmap of so many ids lets few others pass."""
+    return count * BITS_PER_ID <= MAX_BITS
+
+
 def split_by_ids(rows: DataFrame, key: Column, ids: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """rows whose key may be among the ids (a frame of one long column), and rows whose key surely isn't; a null key isn't.
 

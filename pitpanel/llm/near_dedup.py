@@ -7,8 +7,8 @@ confirmed on the full sets. Where a bucket is not of one component afterwards, i
 others, and a second star has another centre; further ones follow while they empty large buckets. What buckets hold after
 that is compared whole, in blocks within tasks, so within a bucket no link between two components is lost. Most buckets are
 done after one or two stars; a large one whose members are mostly not near each other costs the square of its size.
-A sketch of each set, of 1,024 bits, tells most pairs apart without the sets: bits that two sketches don't share are a lower bound of the
-shingles that the sets don't share. So only sets that may be linked are shuffled.
+A sketch of each set, of 1,024 bits, rules out many edges without the sets: bits that two sketches don't share are a lower bound of the
+shingles that the sets don't share. So only sets of likely edges are shuffled.
 Components come from minimum labels with pointer jumping, in joins over checkpointed tables.
 """
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, evaluated_once, mix, split_by_ids, text_bytes, unused, window_hashes, word_codes, word_hashes
+from .common import Scratch, chunks, evaluated_once, mix, split_by_ids, text_bytes, tight, unused, window_hashes, word_codes, word_hashes
 
 SHINGLE = 2
 #: Bands and rows of a band: a pair at similarity 0.8 misses every bucket with a probability of about (1 - 0.8**5)**32 = 3e-6.
@@ -236,24 +236,24 @@ def _near_labels(
             F.min("doc_id").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "bands", "sketch")]
         ).select("low", "high", F.struct("id", "low").alias("node"), "n", "bands", "sketch")
     )
-    shared = scratch.table(
-        classes.select(F.posexplode("bands").alias("band", "hash"))
-        .groupBy("band", "hash")
-        .agg(F.count("*").alias("size"))
-        .filter("size > 1")
-        .select("band", "hash")
-    )
-    members = scratch.table(
-        classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).join(shared, ["band", "hash"])
-    )
+    banded = classes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
+    shared = scratch.table(banded.groupBy("band", "hash").agg(F.count("*").alias("size")).filter("size > 1").select("band", "hash"))
+    # Most buckets have one member, so few rows are left to be shuffled.
+    bucket = F.xxhash64("band", "hash")
+    likely, _ = split_by_ids(banded, bucket, shared.select(bucket.alias("bucket")), shared.count())
+    members = scratch.table(likely.join(shared, ["band", "hash"]))
     profiled = scratch.table(profiled)
     sketches = scratch.table(members.select("node").distinct().join(classes.select("node", "sketch"), "node"))
     wanted = sketches.select("node.id", "node.low")
     sets_of = evaluated_once(_set_maker(width), "low long, set array<long>", F.col("text"))
-    # Most documents share no bucket: their texts are neither shuffled nor made into sets.
-    texts, _ = split_by_ids(texts, F.col("doc_id"), wanted.select("id"), wanted.count())
-    sets = texts.select(F.col("doc_id").alias("id"), sets_of.alias("p")).select("id", "p.low", "p.set")
-    sets = sets.join(wanted, ["id", "low"], "left_semi").select(F.struct("id", "low").alias("node"), "set")
+    # Most documents share no bucket: their texts are neither shuffled nor made into sets. A few sets too many do no harm, but
+    # where the ids are too many for a tight bitmap the exact join drops the rest.
+    count = wanted.count()
+    texts, _ = split_by_ids(texts, F.col("doc_id"), wanted.select("id"), count)
+    sets = texts.select(F.col("doc_id").alias("id"), sets_of.alias("p")).select("id", "p.low", "p.set").filter("size(set) > 0")
+    if not tight(count):
+        sets = sets.join(wanted, ["id", "low"], "left_semi")
+    sets = sets.select(F.struct("id", "low").alias("node"), "set")
     # rows may repeat both doc_id and text
     if with_words.groupBy("doc_id", "low").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count():
         sets = sets.dropDuplicates(["node"])
@@ -281,7 +281,7 @@ def _near_labels(
             labels = relabelled(labels, found, scratch)
         # centres have met all others of their bucket
         members = live.filter("not centre").select("band", "hash", "node", "n")
-    found = _named(scratch.table(_rest(_with_partners(live, sketches, percent, scratch), sets, percent)))
+    found = _named(scratch.table(_rest(live, sets, percent)))
     if found.limit(1).count():
         labels = relabelled(labels, found, scratch)
     return profiled, classes, labels
@@ -310,49 +310,12 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     64 times in a bucket of a million members. A task compares two blocks tile by tile, by products of their incidence matrices,
     and gives out the linked labels only, so no pairs are written and no task gets more than two blocks.
     """
-    placed = _dealt(live.join(sets, "node"), "set")
-    return placed.groupBy("band", "hash", "i", "j").applyInPandas(_linker(percent), "a long, a_low long, b long, b_low long, pairs long")
-
-
-def _dealt(live: DataFrame, *payload: str) -> DataFrame:
-    """Members of buckets, once for each pair of blocks (i, j) that their own block is in."""
     rows = F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(16 * BLOCK_ROWS), F.ceil(F.col("size") / 64)))
     blocks = F.ceil(F.col("size") / rows).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(-1)), blocks).cast("int")
-    placed = live.select("band", "hash", "node", "n", "label", *payload, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    pair = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    return placed.select("band", "hash", *pair, "own", "label.id", "label.low", F.col("node.id").alias("node_id"), F.col("node.low").alias("node_low"), "n", *payload)
-
-
-def _with_partners(live: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The members of live that, by their sketches, may be near a member of their bucket with another label."""
-    groups = _dealt(live.join(sketches, "node"), "sketch").groupBy("band", "hash", "i", "j")
-    may = groups.applyInPandas(_partners(percent), "band int, hash long, id long, low long").distinct()
-    may = scratch.table(may.select("band", "hash", F.struct("id", "low").alias("node")))
-    return live.join(may, ["band", "hash", "node"], "left_semi")
-
-
-def _partners(percent: int) -> Callable:
-    def partners(frame: pd.DataFrame) -> pd.DataFrame:
-        own, n = frame["own"].to_numpy(), frame["n"].to_numpy(np.int64)
-        _, labels = np.unique(frame[["id", "low"]].to_numpy(np.int64), axis=0, return_inverse=True)
-        sketch = np.array(frame["sketch"].to_list(), np.int64).view(_U64)
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        ours, theirs, some = np.flatnonzero(own == i), np.flatnonzero(own == j), np.zeros(len(frame), bool)
-        for s in range(0, len(ours), BLOCK_ROWS):
-            for t in range(s if i == j else 0, len(theirs), BLOCK_ROWS):
-                x, y = ours[s : s + BLOCK_ROWS], theirs[t : t + BLOCK_ROWS]
-                apart = np.zeros((len(x), len(y)), np.int32)
-                for k in range(SKETCH_WORDS):
-                    apart += np.bitwise_count(sketch[x, k][:, None] ^ sketch[y, k][None, :])
-                near = apart * (100 + percent) <= (n[x][:, None] + n[y][None, :]) * (100 - percent)
-                near &= labels[x][:, None] != labels[y][None, :]
-                some[x] |= near.any(axis=1)
-                some[y] |= near.any(axis=0)
-        out = frame.loc[some, ["band", "hash", "node_id", "node_low"]]
-        return out.set_axis(["band", "hash", "id", "low"], axis=1)
-
-    return partners
+    placed = live.join(sets, "node").select("band", "hash", "label", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keyed = placed.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label.id", "label.low", "set")
+    return keyed.groupBy("band", "hash", "i", "j").applyInPandas(_linker(percent), "a long, a_low long, b long, b_low long, pairs long")
 
 
 def _named(linked: DataFrame) -> DataFrame:
