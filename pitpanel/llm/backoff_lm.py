@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, chunks, inside, n_bytes, restored, text_bytes, window_hashes, with_block, word_codes, word_hashes
+from .common import chunks, inside, n_bytes, restored, text_bytes, window_hashes, with_block, word_codes, word_hashes
 
 _U64 = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-#: Text whose n-grams make up one slice of the count tables.
-SLICE_BYTES = 32_000_000
+#: Text of a block, of which each distinct n-gram goes out once, and text whose n-grams make up one slice of the count tables.
+LM_BLOCK_BYTES, SLICE_BYTES = 10_000_000, 32_000_000
 
 
 def pack(hashes: np.ndarray) -> bytes:
@@ -113,7 +113,7 @@ def score_documents(docs: DataFrame, order: int = 3, min_count: int = 2, backoff
     ).first()
     total, all_words = int(size["bytes"] or 0), max(1, int(size["words"] or 0))
     slices = max(1, -(-total // SLICE_BYTES))
-    dealt = with_block(docs, block_count(total))
+    dealt = with_block(docs, max(1, -(-total // LM_BLOCK_BYTES)))
 
     def asked(n: int, distinct: tuple, block: int) -> pd.DataFrame:
         unique, counts, _, at = distinct
