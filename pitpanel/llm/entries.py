@@ -13,6 +13,7 @@ from .common import table
 from .crf_quality import quality_scores
 from .decontaminate import contamination, items_digest
 from .html_content import extract
+from .mask_search import ranked_search
 from .near_dedup import near_groups
 from .packing import pack_documents
 from .sharding import shard_documents
@@ -83,6 +84,10 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -96,11 +101,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_near_dedup": op10_near_dedup,
         "op11_simhash_dedup": op11_simhash_dedup,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lm_scoring": _OP7, "op6_decontamination": _OP6, "op8_substring_dedup": _OP8, "op10_near_dedup": _OP10}
+    return {
+        "op7_lm_scoring": _OP7,
+        "op6_decontamination": _OP6,
+        "op8_substring_dedup": _OP8,
+        "op10_near_dedup": _OP10,
+        "op13_lexical_search": _OP13,
+    }
 
 
 _OP6 = r"""
@@ -199,3 +211,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(passed, 0) AS BI
        round(coalesce(score, 0.0), 4) AS log_score
 FROM d LEFT JOIN a USING (rid)
 """
+
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS length FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+t AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+k AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+c AS (
+  SELECT item_id, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * docs) // length)))) AS BIGINT) AS score
+  FROM q JOIN k USING (term) JOIN t USING (term) JOIN d USING (rid), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
