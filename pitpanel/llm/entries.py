@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .backoff_lm import score_documents
 from .ball_simhash import simhash_groups
+from .collocations import mine_collocations
 from .common import table
 from .crf_quality import quality_scores
 from .decontaminate import contamination, items_digest
@@ -84,6 +85,10 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_near_dedup": op10_near_dedup,
         "op11_simhash_dedup": op11_simhash_dedup,
+        "op12_collocations": op12_collocations,
         "op13_lexical_search": op13_lexical_search,
     }
 
@@ -111,6 +117,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": _OP6,
         "op8_substring_dedup": _OP8,
         "op10_near_dedup": _OP10,
+        "op12_collocations": _OP12,
         "op13_lexical_search": _OP13,
     }
 
@@ -234,3 +241,35 @@ c AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+_OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+        FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a FROM f WHERE m >= 2 AND f >= 100),
+k AS (
+  SELECT lang, m, phrase, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS x,
+         array_to_string(string_split(phrase, ' ')[k + 1 : m], ' ') AS y
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+s AS (
+  SELECT k.lang, k.m, k.phrase, k.a, k.k, l.f AS l, r.f AS r, n,
+         CAST((CAST(1000 AS HUGEINT) * k.a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.m = k.k AND l.phrase = k.x
+  JOIN f r ON r.lang = k.lang AND r.m = k.m - k.k AND r.phrase = k.y JOIN n ON n.lang = k.lang),
+u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT * FROM u WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = u.lang AND c.m > u.m AND 100 * c.a >= 100 * u.a
+      AND contains(' ' || c.phrase || ' ', ' ' || u.phrase || ' '))),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
+"""
