@@ -299,8 +299,9 @@ class _Mine:
 
     def _likely(self, found: DataFrame, shorter: DataFrame, band: DataFrame, size: int) -> DataFrame:
         """Candidates whose last cut, of known counts, allows a score that may be kept."""
-        per_lang = band.select("lang", "n", "last").distinct()
-        rows = found.join(F.broadcast(per_lang), "lang").withColumn("left", _first(size - 1)).withColumn("right", F.substring_index("phrase", " ", -1))
+        first = band.select("lang", F.col("phrase").alias("first"), "n", "last")  # the bitmap let more through
+        rows = found.withColumn("first", _first(1)).join(first, ["lang", "first"])
+        rows = rows.withColumn("left", _first(size - 1)).withColumn("right", F.substring_index("phrase", " ", -1))
         rows = rows.join(shorter.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l")), ["lang", "left"])
         rows = rows.join(self.words.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r")), ["lang", "right"])
         return rows.filter(_score(F.col("a"), F.col("n"), F.col("l"), F.col("r")) >= F.col("last")).select("lang", "phrase", "a", "n")
