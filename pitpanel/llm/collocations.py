@@ -286,7 +286,8 @@ class _Mine:
             return
         counts = [table(self._likely(found, grown[size - 1], band, size)) for size, found in grown.items() if size > 1]
         likely = dict(enumerate(counts, 2))
-        asked = [rows.select("lang", "phrase") for size, rows in likely.items() if size < self.longest]
+        asked = [self.words.select("lang", "phrase").limit(0)]
+        asked += [rows.select("lang", "phrase") for size, rows in likely.items() if size < self.longest]
         asked += [rows.select("lang", F.substring_index("phrase", " ", -k).alias("phrase")) for size, rows in likely.items() for k in range(2, size)]
         asked = table(reduce(DataFrame.union, asked).distinct())
         sizes = range(2, min(self.longest, max(likely) + 1))
