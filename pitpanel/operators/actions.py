@@ -53,16 +53,26 @@ def share_proxies(eav: DataFrame, hist: DataFrame) -> DataFrame:
 
 
 def confirm_actions(candidates: DataFrame, steps: DataFrame, days: int = 380, tolerance: float = 0.08) -> DataFrame:
-    """symbol, ex_date, ratio, step_date: gaps with a share step of about their ratio within `days`; the nearest step counts."""
+    """symbol, ex_date, ratio, step_date: gaps with a share step of about their ratio within `days`; the nearest step counts.
+
+    Of two steps as near the earlier one counts. A symbol's steps have few sizes, those of splits and bonus issues: a gap takes the sizes that are
+    about its ratio, and along a sort by symbol, size and date meets the last step before it and the first one after it, not all
+    that lie within the days.
+    """
     c = candidates.select("symbol", F.col("date").alias("ex_date"), snap_ratio(F.col("ratio"), tolerance).alias("ratio")).dropna()
-    s = steps.select(F.col("symbol").alias("_symbol"), F.col("date").alias("step_date"), "step")
+    s = steps.select("symbol", "step", F.col("date").alias("step_date")).dropna().distinct()
+    sizes = s.select("symbol", "step").distinct()
+    asked = c.join(sizes, "symbol").filter(F.abs(F.col("step") / F.col("ratio") - 1) <= tolerance)
+    both = asked.withColumn("_at", F.col("ex_date")).unionByName(s.withColumn("_at", F.col("step_date")), allowMissingColumns=True)
+    key = Window.partitionBy("symbol", "step")
+    found = both.withColumns({  # steps come first on their own day in either order
+        "_before": F.last("step_date", ignorenulls=True).over(key.orderBy("_at", F.col("step_date").isNull()).rowsBetween(Window.unboundedPreceding, 0)),
+        "_after": F.last("step_date", ignorenulls=True).over(key.orderBy(F.desc("_at"), F.col("step_date").isNull()).rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    found = found.filter("ex_date is not null").select("symbol", "ex_date", "ratio", F.explode(F.array("_before", "_after")).alias("step_date"))
     apart = F.abs(F.datediff("step_date", "ex_date"))
-    near = c.join(
-        s, (F.col("symbol") == F.col("_symbol")) & (apart <= days) & (F.abs(F.col("step") / F.col("ratio") - 1) <= tolerance)
-    )
-    return near.groupBy("symbol", "ex_date").agg(
-        F.min_by("ratio", F.struct(apart, "step_date")).alias("ratio"), F.min_by("step_date", F.struct(apart, "step_date")).alias("step_date")
-    )
+    nearest = F.struct(apart, "step_date")
+    return found.filter(apart <= days).groupBy("symbol", "ex_date").agg(F.min_by("ratio", nearest).alias("ratio"), F.min_by("step_date", nearest).alias("step_date"))
 
 
 def adjustment_factors(events: DataFrame, first_dates: DataFrame) -> DataFrame:
@@ -94,23 +104,14 @@ def delistings(
 def match_events(predicted: DataFrame, truth: DataFrame, days: int = 3, tolerance: float = 0.10) -> DataFrame:
     """One row: tp, fp, fn, precision, recall of events (symbol, date, ratio), matched one to one.
 
-    Pairs in reach are taken by nearness, then by the dates, whenever neither side is taken yet. A symbol's pairs are first cut
-    where over `days` lie between them, as pairs across such a gap can't compete; each run of pairs is then one short fold.
+    Pairs in reach are taken by nearness, then by the dates, whenever neither side is taken yet. Pairs as far apart as each other
+    make chains in which each can only compete with the one before and the one after it, so in order of dates every other one of
+    a chain is taken: a sweep for each distance that holds no more than the pair before, however dense the events.
     """
-    t = truth.select(F.col("symbol").alias("_symbol"), F.col("date").alias("_date"), F.col("ratio").alias("_ratio"))
-    apart = F.abs(F.datediff("date", "_date"))
-    pairs = predicted.join(
-        t, (F.col("symbol") == F.col("_symbol")) & (apart <= days) & (F.abs(F.col("ratio") / F.col("_ratio") - 1) <= tolerance)
-    ).select("symbol", apart.alias("apart"), F.col("date").alias("p"), F.col("_date").alias("t"))
-    w = Window.partitionBy("symbol").orderBy(F.least("p", "t"), "p", "t")
-    reach = F.max(F.greatest("p", "t")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    pairs = pairs.withColumn("cut", (reach.isNull() | (F.datediff(F.least("p", "t"), reach) > days)).cast("int"))
-    pairs = pairs.withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    none = F.array().cast("array<struct<apart:int,p:date,t:date>>")
-    free = lambda done, x: ~F.exists(done, lambda y: (y["p"] == x["p"]) | (y["t"] == x["t"]))
-    fold = lambda done, x: F.when(free(done, x), F.concat(done, F.array(x))).otherwise(done)
-    runs = pairs.groupBy("symbol", "run").agg(F.array_sort(F.collect_set(F.struct("apart", "p", "t"))).alias("in_reach"))
-    tp = runs.agg(F.coalesce(F.sum(F.size(F.aggregate("in_reach", none, fold))), F.lit(0)).cast("long").alias("tp"))
+    taken = _pairs(predicted, truth, days, tolerance)
+    for distance in range(1, days + 1):
+        taken = _swept(taken, distance)
+    tp = taken.agg(F.count_if(F.col("taken")).alias("tp"))
     counts = tp.join(predicted.agg(F.count("*").alias("_np"))).join(truth.agg(F.count("*").alias("_nt")))
     return counts.select(
         "tp",
@@ -121,6 +122,28 @@ def match_events(predicted: DataFrame, truth: DataFrame, days: int = 3, toleranc
     )
 
 
+def _pairs(predicted: DataFrame, truth: DataFrame, days: int, tolerance: float) -> DataFrame:
+    """symbol, p and t (dates as numbers), and taken of the pairs in reach; those on the same day are taken. Each event looks up the days around its own."""
+    p = predicted.select("symbol", F.unix_date("date").alias("p"), "ratio", F.explode(F.array(*[F.lit(k) for k in range(-days, days + 1)])).alias("_off"))
+    t = truth.select("symbol", F.unix_date("date").alias("t"), F.col("ratio").alias("_ratio"))
+    near = p.withColumn("t", F.col("p") + F.col("_off")).join(t, ["symbol", "t"]).filter(F.abs(F.col("ratio") / F.col("_ratio") - 1) <= tolerance)
+    return near.select("symbol", "p", "t", (F.col("p") == F.col("t")).alias("taken")).distinct()
+
+
+def _swept(pairs: DataFrame, distance: int) -> DataFrame:
+    """pairs with those of one distance taken, as far as neither side is taken yet, every other one of each chain."""
+    side = lambda c: F.max("taken").over(Window.partitionBy("symbol", c))
+    held = pairs.withColumn("_p", side("p")).withColumn("_t", side("t"))
+    free = (F.abs(F.col("p") - F.col("t")) == distance) & ~F.col("_p") & ~F.col("_t")
+    chain = Window.partitionBy("symbol", "_free", F.pmod("p", F.lit(2 * distance))).orderBy("p", "t")
+    linked = (F.lag("p").over(chain) == F.col("p")) | (F.lag("t").over(chain) == F.col("t"))
+    marked = held.withColumn("_free", free).withColumn("_starts", (~F.coalesce(linked, F.lit(False))).cast("int"))
+    marked = marked.withColumn("_nth", F.row_number().over(chain))
+    first = F.max(F.when(F.col("_starts") == 1, F.col("_nth"))).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    odd = (F.col("_nth") - first) % 2 == 0
+    return marked.select("symbol", "p", "t", (F.col("taken") | (F.col("_free") & odd)).alias("taken"))
+
+
 def shares_history(quarterly: DataFrame, annual: DataFrame) -> DataFrame:
     """Distinct symbol, date, shares from net profit / EPS of two EAV tables; only positive counts."""
     from .fundamentals import eav_pivot

@@ -144,10 +144,21 @@ def exclude_sectors(df: DataFrame, terms: Sequence[str], cols: Sequence[str] = (
 
 
 def gate_membership(panel: DataFrame, membership: DataFrame) -> DataFrame:
-    """eligible also asks for membership (symbol, date, member) on the date."""
-    flag = membership.groupBy("symbol", "date").agg(F.bool_or("member").alias("_member"))
-    joined = panel.join(flag, ["symbol", "date"], "left")
-    return joined.withColumn("eligible", F.col("eligible") & F.coalesce("_member", F.lit(False))).drop("_member")
+    """eligible also asks for membership on the date, as (symbol, date, member) or as runs (symbol, from_date, to_date) that don't overlap.
+
+    Runs meet rows by symbol and quarter, so a row is held against those runs only that its quarter touches.
+    """
+    if "from_date" not in membership.columns:
+        flag = membership.groupBy("symbol", "date").agg(F.bool_or("member").alias("_member"))
+        joined = panel.join(flag, ["symbol", "date"], "left")
+        return joined.withColumn("eligible", F.col("eligible") & F.coalesce("_member", F.lit(False))).drop("_member")
+    quarter = lambda c: F.year(c) * 4 + F.quarter(c)
+    runs = membership.select(
+        F.col("symbol").alias("_symbol"), "from_date", "to_date", F.explode(F.sequence(quarter("from_date"), quarter("to_date"))).alias("_quarter")
+    )
+    inside = (F.col("symbol") == F.col("_symbol")) & (quarter("date") == F.col("_quarter")) & F.col("date").between(F.col("from_date"), F.col("to_date"))
+    joined = panel.join(runs, inside, "left").withColumn("eligible", F.col("eligible") & F.col("_symbol").isNotNull())
+    return joined.drop("_symbol", "from_date", "to_date", "_quarter")
 
 
 _PARAMETRIC = re.compile(r"^(sma|ema|roc|rsi|atr|adx|adtv|vol_avg|dist_high|rel_strength)(\d+)$")

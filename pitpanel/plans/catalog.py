@@ -236,8 +236,8 @@ def c4_exclude_sectors(s, d):
 @query("SELECT symbol, date, volume > 20 AND coalesce(mcap > 1000000, false) AS eligible FROM bars LEFT JOIN mcap USING (symbol, date)")
 def c5_gate_membership(s, d):
     p = panel.screen(fx.bars(s, d), ["volume > 20"])
-    m = fx.mcap(s, d).select("symbol", "date", (C("mcap") > 1000000).alias("member"))
-    return panel.gate_membership(p, m).select("symbol", "date", "eligible")
+    runs = pit.membership_runs(fx.mcap(s, d), fx.bars(s, d), 1e6, limit=0)
+    return panel.gate_membership(p, runs).select("symbol", "date", "eligible")
 
 
 @query("SELECT symbol, date, volume > 20 AS eligible FROM bars")
