@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .performance import returns_summary
+from .performance import window_summaries
 from .selection import BUY_RATE, SELL_FLAT, SELL_RATE
 
 
@@ -183,12 +183,34 @@ def sweep(panel: DataFrame, grid: DataFrame, select, evaluate, metric: str, asce
     """Metrics of every variant from one plan, ranked; variants without a value come last either way.
 
     select(panel with the variants' parameters on every row) and evaluate(selection) keep the variant key. The variants are a
-    small table made by hand; features were computed before, once for all of them.
+    small table made by hand; features were computed before, once for all of them. Every row of the panel is taken once for each
+    variant; where variants differ in how many they take or in the sector cap only, top_n_variants takes it once.
     """
     crossed = panel.withColumn("_v", F.lit(1)).join(F.broadcast(grid.withColumn("_v", F.lit(1))), "_v").drop("_v")
-    out = grid.join(evaluate(select(crossed)), "variant", "left")
+    return ranked_variants(grid, evaluate(select(crossed)), metric, ascending)
+
+
+def top_n_variants(panel: DataFrame, grid: DataFrame, by: str, ascending: bool = False) -> DataFrame:
+    """The selections of all variants: rows of panel (date, symbol, sector, eligible, `by`) with variant and position.
+
+    grid (variant, n, sector_cap) is a small table made by hand. Rows are ranked within date and sector once for all variants, and
+    once for each different sector_cap those that it lets through; variants that differ in n read prefixes of one ranking. So the
+    panel isn't copied, and only rows that some variant selects are given out once for each of these.
+    """
+    key = [F.asc(by), F.asc("symbol")] if ascending else [F.desc(by), F.desc("symbol")]
+    caps = F.broadcast(grid.groupBy("sector_cap").agg(F.max("n").alias("_most")))
+    own = panel.filter(F.col("eligible") & F.col(by).isNotNull())
+    own = own.withColumn("_in_sector", F.row_number().over(Window.partitionBy("date", "sector").orderBy(*key)))
+    through = own.join(caps, F.col("_in_sector") <= F.col("sector_cap"))
+    through = through.withColumn("position", F.row_number().over(Window.partitionBy("sector_cap", "date").orderBy(*key))).filter("position <= _most")
+    chosen = through.join(F.broadcast(grid.select("variant", "n", F.col("sector_cap").alias("_cap"))), (F.col("sector_cap") == F.col("_cap")) & (F.col("position") <= F.col("n")))
+    return chosen.drop("_in_sector", "_most", "_cap")
+
+
+def ranked_variants(grid: DataFrame, metrics: DataFrame, metric: str, ascending: bool = False) -> DataFrame:
+    """grid with each variant's metrics and rank; variants without a value come last either way."""
     order = F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last()
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(order, "variant")))  # one row a variant
+    return grid.join(metrics, "variant", "left").withColumn("rank", F.row_number().over(Window.orderBy(order, "variant")))  # one row a variant
 
 
 def wf_windows(spark, start: str, end: str, is_years: int, oos_years: int) -> DataFrame:
@@ -208,13 +230,18 @@ def windows_between(spans: DataFrame, is_years: int, oos_years: int) -> DataFram
 
 
 def walk_forward(nav: DataFrame, windows: DataFrame, metric: str = "cagr") -> DataFrame:
-    """A row for each window: the variant best in sample, its metric in and out of sample."""
-    w = F.broadcast(windows)  # made by wf_windows, a few rows
-    part = lambda a, b: returns_summary(
-        nav.join(w, F.col("date").between(F.col(a), F.col(b))).select("window", "variant", "date", "nav"), ("window", "variant")
-    ).select("window", "variant", F.col(metric).alias("m"))
-    best = part("is_start", "is_end").groupBy("window").agg(F.max_by("variant", F.struct("m", "variant")).alias("variant"), F.max("m").alias("in_sample"))
-    return best.join(part("oos_start", "oos_end").withColumnRenamed("m", "out_of_sample"), ["window", "variant"], "left")
+    """A row for each window: the variant best in sample, its metric in and out of sample.
+
+    Every day of a curve goes once into the summary of its block between two edges of windows; windows then merge summaries.
+    """
+    spans = F.array(
+        *[F.struct(F.lit(part).alias("part"), F.col(f"{part}_start").alias("start"), F.col(f"{part}_end").alias("end")) for part in ("is", "oos")]
+    )
+    asked = windows.select("window", F.inline(spans))
+    found = window_summaries(nav, asked, ("window", "part")).select("window", "part", "variant", F.col(metric).alias("m"))
+    best = found.filter("part = 'is'").groupBy("window").agg(F.max_by("variant", F.struct("m", "variant")).alias("variant"), F.max("m").alias("in_sample"))
+    out = found.filter("part = 'oos'").select("window", "variant", F.col("m").alias("out_of_sample"))
+    return best.join(out, ["window", "variant"], "left")
 
 
 def wf_verdict(result: DataFrame, robust: float = 0.5) -> DataFrame:

@@ -510,13 +510,8 @@ def i9_sweep(s, d):
     grid = grid.withColumn("sector_cap", F.explode(F.array(F.lit(1), F.lit(2))))
     grid = grid.select(F.format_string("n=%d,sector_cap=%d", "n", "sector_cap").alias("variant"), "n", "sector_cap")
 
-    def pick(p):
-        key = [C("roc21").desc(), C("symbol").desc()]
-        p = p.filter("eligible and roc21 is not null").withColumn("_s", F.row_number().over(Window.partitionBy("variant", "date", "sector").orderBy(*key)))
-        p = p.filter("_s <= sector_cap").withColumn("_p", F.row_number().over(Window.partitionBy("variant", "date").orderBy(*key)))
-        return p.filter("_p <= n")
-
-    out = outcomes.sweep(_panel(s, d), grid, pick, lambda x: x.groupBy("variant").agg(F.avg("roc21").alias("score")), "score")
+    chosen = outcomes.top_n_variants(_panel(s, d), grid, "roc21")
+    out = outcomes.ranked_variants(grid, chosen.groupBy("variant").agg(F.avg("roc21").alias("score")), "score")
     return out.select("variant", r("score"), "rank")
 
 

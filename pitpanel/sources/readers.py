@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import canon_symbol, finite
+from ..functions.keys import split_by_keys
 
 #: Series of equities that daily bar files hold (fixed values).
 EQUITY_SERIES = ("EQ", "BE", "BZ", "SM", "ST")
@@ -100,13 +101,27 @@ def merge_column_groups(frames: Sequence[DataFrame], key: str) -> DataFrame:
     return both.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in fields])
 
 
+def newest_by_key(df: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
+    """One row a key: that of the greatest order_col, then of the least values."""
+    order = [F.desc_nulls_last(order_col)] if order_col else []
+    rest = [F.asc_nulls_last(c) for c in df.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy(*order, *(rest or [F.lit(0)]))
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
 def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
-    """base with incoming rows in place of those of the same key; of several incoming the greatest order_col counts."""
-    order = [F.desc("_new")] + ([F.desc_nulls_last(order_col)] if order_col else [])
-    both = base.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [F.col(c) for c in both.columns if c not in (*keys, "_new")]
-    w = Window.partitionBy(*keys).orderBy(*order, *[c.asc_nulls_last() for c in rest])
-    return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_new")
+    """base with incoming rows in place of those of the same key; of several incoming the greatest order_col counts, then the least values.
+
+    Rows of base are compared by key only, and only those are shuffled whose key may be among the incoming ones by a bitmap of
+    bounded size; the rest pass through, so what is moved and sorted follows the increment. base has a row a key. Null keys equal each other.
+    """
+    newest = newest_by_key(incoming, keys, order_col)
+    kinds = dict(base.dtypes)
+    named = incoming.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys])
+    touched, others = split_by_keys(base, keys, named)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_incoming_{k}")) for k in keys])
+    kept = touched.join(named.distinct().toDF(*[f"_incoming_{k}" for k in keys]), same, "left_anti")
+    return others.union(kept).unionByName(newest, allowMissingColumns=True)
 
 
 def replace_partition(df: DataFrame, path: str, col: str = "snapshot_date") -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.readers import upsert
+from ..sources.readers import newest_by_key
 
 BAR_SCHEMA = "symbol string, date date, open double, high double, low double, close double, volume double, ingested_at timestamp"
 
@@ -30,7 +30,7 @@ def stream_bars(spark: SparkSession, source: str, target: str, checkpoint: str,
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             base = session.createDataFrame([], fresh.schema)
-        later = upsert(base.limit(0), base.unionByName(fresh), keys, "ingested_at")
+        later = newest_by_key(base.unionByName(fresh), keys, "ingested_at")
         staged = f"{target}_staged"
         later.write.mode("overwrite").parquet(staged)
         session.read.schema(fresh.schema).parquet(staged).write.partitionBy("year").mode("overwrite").option(
