@@ -105,3 +105,19 @@ def m2_stream_alerts(s, d):
     stream = alerts.writeStream.format("parquet").option("path", target).option("checkpointLocation", new_path(s, "alert-offsets"))
     stream.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(alerts.schema).parquet(target).select("position_id", "reason")
+
+
+@query("""SELECT DISTINCT position_id, CASE WHEN close <= stop THEN 'stop_hit' ELSE 'target_hit' END AS reason
+FROM positions p JOIN bars b ON b.symbol = p.symbol AND b.date >= entry_date AND b.date < entry_date + 90 WHERE close <= stop OR close >= target""")
+def m2_follow_alerts(s, d):
+    """Positions come as a stream too: each is opened at its entry and closed 90 days later."""
+    prices, events, target = new_path(s, "bar-stream"), new_path(s, "position-events"), new_path(s, "followed-alerts")
+    fx.bars(s, d).select("symbol", F.to_timestamp("date").alias("ts"), "close").write.parquet(prices)
+    opened = fx.positions(s, d).select("position_id", "symbol", F.to_timestamp("entry_date").alias("ts"), "status", "stop", "target")
+    opened.write.parquet(events)
+    opened.withColumns({"ts": C("ts") + F.expr("interval 90 days"), "status": F.lit("closed")}).write.mode("append").parquet(events)
+    stream = lambda path: s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+    alerts = jobs.follow_alerts(stream(prices), stream(events))
+    writer = alerts.writeStream.format("parquet").option("path", target).option("checkpointLocation", new_path(s, "followed-offsets"))
+    jobs.start_with_state(s, writer.outputMode("append").trigger(availableNow=True)).awaitTermination()
+    return s.read.schema(jobs.ALERT_SCHEMA).parquet(target).select("position_id", "reason")

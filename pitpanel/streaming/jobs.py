@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..sources.readers import newest_by_key
 
@@ -54,3 +59,80 @@ def stream_alerts(bars: DataFrame, positions: DataFrame) -> DataFrame:
     reason = F.when(F.col("close") <= F.col("stop"), "stop_hit").when(F.col("close") >= F.col("target"), "target_hit")
     hits = joined.withColumn("reason", reason).filter("reason is not null")
     return hits.select("position_id", "symbol", "reason", F.col("close").alias("price"), "ts").dropDuplicates(["position_id", "reason"])
+
+
+ALERT_SCHEMA = "position_id string, symbol string, reason string, price double, ts timestamp"
+_HELD = "position_id string, stop double, target double, opened timestamp, said_stop boolean, said_target boolean"
+
+
+class _Levels(StatefulProcessor):
+    """The open positions of one symbol (or of one share of them) and which of their levels have been said."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", _HELD)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        news = pd.concat(list(rows), ignore_index=True)
+        at = pd.to_datetime(news["ts"])
+        is_bar = news["position_id"].isna()
+        bars = pd.DataFrame({"at": at, "close": news["close"]})[is_bar].sort_values("at", kind="stable")
+        changes = news.assign(at=at)[~is_bar].sort_values("at", kind="stable")
+        held = {r[0]: r for r in (tuple(r) for r in self.held.get())}
+        opened = changes[changes["status"] == "open"].drop_duplicates("position_id", keep="first")
+        for r in opened.itertuples(index=False):
+            held.setdefault(r.position_id, (r.position_id, r.stop, r.target, r.at.to_pydatetime(), False, False))
+        closed = changes[changes["status"] != "open"].groupby("position_id")["at"].max().to_dict()
+        when, close = bars["at"].to_numpy(), bars["close"].to_numpy(float)
+        said, still = [], []
+        for id_, stop, target, since, said_stop, said_target in held.values():
+            until = closed.get(id_)
+            live = when >= np.datetime64(since) if until is None else (when >= np.datetime64(since)) & (when < np.datetime64(until))
+            at_stop = live & (close <= np.nan if stop is None else close <= stop)
+            at_target = live & ~at_stop & (close >= np.nan if target is None else close >= target)
+            for already, hit, reason in ((said_stop, at_stop, "stop_hit"), (said_target, at_target, "target_hit")):
+                if not already and hit.any():
+                    first = int(hit.argmax())
+                    said.append((id_, str(key[0]), reason, close[first], pd.Timestamp(when[first])))
+            if until is None:
+                still.append((id_, stop, target, since, bool(said_stop or at_stop.any()), bool(said_target or at_target.any())))
+        if still:
+            self.held.put(still)
+        else:
+            self.held.clear()
+        yield pd.DataFrame(said, columns=["position_id", "symbol", "reason", "price", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def follow_alerts(bars: DataFrame, changes: DataFrame, shares: int = 1) -> DataFrame:
+    """position_id, symbol, reason, price, ts: the first stop and the first target hit of each position, while it is open.
+
+    bars is a stream of (symbol, ts, close), changes one of (position_id, symbol, ts, status, stop, target): `open` opens a position, anything else
+    closes it. A bar counts from the time of opening on and before that of closing, and of both levels the stop. State holds open
+    positions only, one list a symbol: closing frees it, and a position opened while the job runs is followed from then on. A batch takes
+    its rows by time, whatever order they came in; bars that come in a later batch than the closing aren't held against it, and a
+    position is opened once. shares parts a symbol with very many positions, each with a copy of its bars.
+    """
+    share = F.pmod(F.xxhash64("position_id"), F.lit(shares)).cast("int")
+    events = changes.select(
+        F.col("symbol").cast("string").alias("symbol"), share.alias("share"), F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("double").alias("close"),
+        F.col("position_id").cast("string").alias("position_id"), "status", F.col("stop").cast("double").alias("stop"), F.col("target").cast("double").alias("target"),
+    ).filter("position_id is not null")
+    prices = bars.filter("close is not null").select(
+        F.col("symbol").cast("string").alias("symbol"), F.explode(F.array(*[F.lit(k) for k in range(shares)])).alias("share"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("close").cast("double").alias("close"), *[F.lit(None).cast(kind).alias(c) for c, kind in (("position_id", "string"), ("status", "string"), ("stop", "double"), ("target", "double"))],
+    )
+    both = events.unionByName(prices)
+    return both.groupBy("symbol", "share").transformWithStateInPandas(_Levels(), ALERT_SCHEMA, "Append", "None")
+
+
+def start_with_state(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Starts a query whose state needs a store that keeps more than fits in memory; the session's own choice stays as it was."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -289,6 +289,37 @@ def test_alert_stream_says_each_hit_once(spark, tmp_path):
     assert sorted((r["position_id"], r["reason"]) for r in spark.table("alerts_seen").collect()) == [("p1", "stop_hit"), ("p1", "target_hit")]
 
 
+def test_alerts_follow_positions(spark, tmp_path):
+    """A position closed midway frees its state and is silent; another opened midway is seen; what was said isn't said again."""
+    prices, events = str(tmp_path / "bars"), str(tmp_path / "positions")
+    bar = lambda *rows: spark.createDataFrame(list(rows), "symbol string, ts string, close double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(prices)
+    change = lambda *rows: spark.createDataFrame(list(rows), "position_id string, symbol string, ts string, status string, stop double, target double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(events)
+    stream = lambda path: spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    def run(n, shares):
+        writer = jobs.follow_alerts(stream(prices), stream(events), shares).writeStream.format("parquet").option("path", f"{tmp_path}/out{shares}").option("checkpointLocation", f"{tmp_path}/c{shares}")
+        query = jobs.start_with_state(spark, writer.outputMode("append").trigger(availableNow=True))
+        query.awaitTermination()
+        state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        got = spark.read.schema(jobs.ALERT_SCHEMA).parquet(f"{tmp_path}/out{shares}").collect()
+        assert len(got) == n
+        return {(r["position_id"], r["reason"], r["price"], str(r["ts"])[:10]) for r in got}, state[-1]
+
+    change(("early", "A", "2020-01-01", "open", 90.0, 120.0), ("idle", "A", "2020-01-01", "open", 1.0, None), ("other", "B", "2020-01-01", "open", 90.0, 120.0))
+    bar(("A", "2019-12-31", 50.0), ("A", "2020-01-03", 121.0), ("A", "2020-01-02", 130.0), ("B", "2020-01-02", 100.0), ("B", "2020-01-02", None))
+    first = {("early", "target_hit", 130.0, "2020-01-02")}
+    for shares in (1, 3):
+        assert run(1, shares)[0] == first
+    change(("early", "A", "2020-01-10", "closed", None, None), ("late", "A", "2020-01-08", "open", 95.0, 200.0), ("other", "B", "2020-01-09", "closed", None, None))
+    bar(("A", "2020-01-07", 94.0), ("A", "2020-01-09", 91.0), ("A", "2020-01-10", 80.0), ("B", "2020-01-09", 10.0), ("A", "2020-01-11", 140.0))
+    for shares in (1, 3):
+        assert run(2, shares)[0] == first | {("late", "stop_hit", 91.0, "2020-01-09")}
+    change(("idle", "A", "2020-02-01", "closed", None, None), ("late", "A", "2020-02-01", "closed", None, None))
+    bar(("A", "2020-02-02", 0.5), ("A", "2020-01-20", 201.0))
+    seen, left = run(3, 1)
+    assert seen == first | {("late", "stop_hit", 91.0, "2020-01-09"), ("late", "target_hit", 201.0, "2020-01-20")} and left == 0
+
+
 def test_percent_rank_equals_pandas(spark):
     values = [1.0, 2.0, 2.0, 4.0, 5.0, None]
     df = spark.createDataFrame([(D(2020, 1, 1), f"s{i}", v) for i, v in enumerate(values)], "date date, symbol string, v double")
