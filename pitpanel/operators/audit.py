@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.indicators import daily_return
 
 
@@ -132,9 +133,10 @@ def snapshot_coverage(df: DataFrame, today, max_age: int = 35) -> DataFrame:
 
 def lag_stats(lag: DataFrame) -> DataFrame:
     """n, matched share, and median, p10, p90 of the matched rows' lag."""
-    q = F.percentile(F.when(F.col("matched"), F.col("lag_days")), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    sums = lag.agg(F.count("*").alias("n"), F.avg(F.col("matched").cast("double")).alias("matched"), q.alias("_q"))
-    return sums.select("n", "matched", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p10"), F.col("_q")[2].alias("p90"))
+    found = exact_quantiles(lag.filter("matched"), [], "lag_days", (0.1, 0.5, 0.9))
+    at = lambda p, name: F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
+    sums = lag.agg(F.count("*").alias("n"), F.avg(F.col("matched").cast("double")).alias("matched"))
+    return sums.join(found.agg(at(0.5, "median"), at(0.1, "p10"), at(0.9, "p90")))  # one row each
 
 
 def integrity_checks(bars: DataFrame, adjusted: DataFrame, tolerance: float = 1e-6) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.columns import positive
 
 #: Statement lines by name of the ratio input (fixed values of the source format).
@@ -165,9 +166,10 @@ def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[st
         F.array(*[F.struct(F.lit(c).alias("field"), (F.abs(F.try_divide(F.col(c) - F.col(f"_{c}"), F.abs(F.col(f"_{c}")))) * 100).alias("diff")) for c in cols])
     )
     long = joined.select(pairs.alias("p")).select("p.*").filter("diff is not null")
-    return long.groupBy("field").agg(
-        F.count("*").alias("n"), F.median("diff").alias("median_diff"), *[F.count_if(F.col("diff") <= t).alias(f"within_{t:g}") for t in tolerances]
-    )
+    within = [f"within_{t:g}" for t in tolerances]
+    counts = long.groupBy("field").agg(F.count("*").alias("n"), *[F.count_if(F.col("diff") <= t).alias(c) for c, t in zip(within, tolerances, strict=True)])
+    median = exact_quantiles(long, ["field"], "diff", [0.5]).select("field", F.col("quantile").alias("median_diff"))
+    return counts.join(median, "field").select("field", "n", "median_diff", *[F.col(f"`{c}`") for c in within])
 
 
 def worst_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], col: str, k: int = 10) -> DataFrame:

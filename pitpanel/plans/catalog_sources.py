@@ -64,7 +64,7 @@ def a4_csv_table(s, d):
     note = F.concat(F.lit('said "'), "o_orderpriority", F.lit('", twice\nor so'))
     rows = fx.table(s, d, "orders").select(C("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"), C("o_totalprice").alias("price"), note.alias("note"))
     rows.write.options(header=True, escape='"').csv(path)
-    return readers.read_csv_table(s, path, rows.schema)
+    return readers.read_csv_table(s, path, rows.schema, multi_line=True)
 
 
 @query("SELECT symbol, from_date AS snapshot_date, CASE WHEN from_date >= DATE '1997-01-01' THEN shares * 2 ELSE shares END AS shares FROM shares WHERE from_date < DATE '1997-01-01' OR symbol % 2 = 0")

@@ -76,9 +76,12 @@ def read_bars(spark: SparkSession, legacy, udiff, cutover: str = CUTOVER) -> Dat
     return both_bars(read_bars_legacy(spark, legacy), read_bars_udiff(spark, udiff), cutover)
 
 
-def read_csv_table(spark: SparkSession, glob: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A folder of CSV files as one table. Without a schema types come from all rows; a malformed row fails the read."""
-    options = {"header": True, "mode": "FAILFAST", "escape": '"', "multiLine": True}
+def read_csv_table(spark: SparkSession, glob: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """A folder of CSV files as one table. Without a schema types come from all rows; a malformed row fails the read.
+
+    multi_line is for files with line ends inside of quotes; Spark can't split such a file, so each is read by one task.
+    """
+    options = {"header": True, "mode": "FAILFAST", "escape": '"', "multiLine": multi_line}
     if schema is None:
         schema = spark.read.options(inferSchema=True, **options).csv(glob).schema
     return spark.read.options(**options).schema(schema).csv(glob)

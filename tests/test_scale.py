@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.functions import keys
+from pitpanel.functions import keys, quantiles
 from pitpanel.operators import actions, outcomes, panel, performance, pit
 from pitpanel.sources import readers
 
@@ -225,3 +225,26 @@ def test_merged_blocks_are_the_whole_curve(spark):
     # every day is summarised once, however many windows hold it
     once = [plan(performance.window_summaries(nav, windows.filter(f"window < {k}"), ["window"])) for k in (1, 8)]
     assert once[0].count("Window") == once[1].count("Window") and once[1].count("Scan ExistingRDD[variant") == 1
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(7)
+    groups = {"ties": rng.integers(0, 4, 5000).astype(float), "heavy": np.exp(rng.normal(0, 30, 5000)), "one": np.array([3.0]), "two": np.array([1.0, 4.0]), "same": np.full(900, 2.0)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None), ("two", None), (None, 5.0)], "g string, v double")
+    probs = (0.0, 0.1, 0.5, 0.9, 0.99995, 1.0)
+    got = {(r["g"], r["prob"]): r["quantile"] for r in quantiles.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert got == {(g, p): pytest.approx(float(np.quantile(vs, p)), rel=1e-9) for g, vs in {**groups, None: np.array([5.0])}.items() for p in probs}
+    every = df.filter("v is not null").toPandas()["v"]
+    whole = {r["prob"]: r["quantile"] for r in quantiles.exact_quantiles(df, [], "v", (0.25, 0.5)).collect()}
+    assert whole == {p: pytest.approx(float(np.quantile(every, p)), rel=1e-9) for p in (0.25, 0.5)}
+    assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", probs).count() == 0
+
+
+def test_a_bracket_holds_few_rows(spark):
+    """Of 200,000 different values a few hundred are looked at one by one."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    out = quantiles.exact_quantiles(df, [], "v", [0.5])
+    assert out.first()["quantile"] == pytest.approx(float(np.quantile(df.toPandas()["v"], 0.5)))
+    sketch = df.agg(F.percentile_approx("v", 0.5 - 3 / quantiles.ACCURACY, quantiles.ACCURACY).alias("a"), F.percentile_approx("v", 0.5 + 3 / quantiles.ACCURACY, quantiles.ACCURACY).alias("b"))
+    a, b = sketch.first()
+    assert df.filter(F.col("v").between(a, b)).count() < 400
