@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import evaluated_once
@@ -22,6 +22,8 @@ from .common import evaluated_once
 TRAINING_DOCS = 6000
 #: Bytes of text at most that the driver holds for training.
 TRAINING_BYTES = 64_000_000
+#: Bytes of one text at most that trains.
+LONGEST_BYTES = 4_000_000
 #: Characters of a line over which it is cut into stretches of that many, each a step of the chain.
 STRETCH = 400
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -182,18 +184,26 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     """doc_id, held_out, score and predicted of every row, from a chain trained on labelled rows that aren't held out.
 
     A text without lines (null, empty or blank) scores the share of good documents among the training rows. A null doc_id is
-    held out. Without any labels all texts score by an untrained chain, 0.5. Rows whose label is null or that repeat a doc_id with
-    another label train on each label they have. Repeated rows score alike, an empty table gives an empty result, and
-    other columns are ignored.
+    held out. Without any labels all texts score by an untrained chain, 0.5. Rows whose label is null don't train, rows that repeat a
+    doc_id with another label or text train on each once. Repeated rows score alike, an empty table gives an empty result, and
+    other columns are ignored. Texts over LONGEST_BYTES, and those that would take the training beyond TRAINING_BYTES, don't train, which
+    leaves all others in; every text is scored whole, in one task.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna()
     known = known.filter(~held_out() & F.col("quality").isin(0, 1))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").dropna()
-    order = [F.xxhash64("doc_id"), F.xxhash64("text"), F.col("quality")]
-    rows = rows.orderBy(*order).limit(2 * sample)  # repeated ids may give more rows than labels, and the same ones in each run
-    held = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order))  # over a bounded number of rows
-    rows = rows.withColumn("held", held).filter(F.col("held") <= TRAINING_BYTES).collect()
+    rows = rows.withColumns({"size": F.octet_length("text").cast("long"), "digest": F.xxhash64("text")})
+    # Keys and sizes first, and the texts of those chosen after that, so that no task and no sum holds more than the bound.
+    sizes = rows.filter(F.col("size") <= LONGEST_BYTES).select("doc_id", "quality", "digest", "size").distinct()
+    sizes = sizes.orderBy(F.xxhash64("doc_id"), "digest", "quality").limit(2 * sample)  # repeated ids may give more rows than labels
+    chosen, held = [], 0
+    for r in sizes.collect():
+        if held + r["size"] <= TRAINING_BYTES:
+            chosen.append(r)
+            held += r["size"]
+    picked = docs.sparkSession.createDataFrame(chosen, sizes.schema).drop("size")
+    rows = rows.join(F.broadcast(picked), ["doc_id", "quality", "digest"]).dropDuplicates(["doc_id", "quality", "digest"]).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["text"]))
     chain, share = train([r["text"] for r in rows], np.array([r["quality"] for r in rows], dtype=np.int64))
     return docs.select(
