@@ -81,7 +81,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     Size is the text's UTF-8 bytes plus 1, tokens are words between blanks. A null text counts as empty, a null doc_id is
     a value like any other, repeated rows are placed each on its own, and an empty table gives an empty result. Other
     columns of docs, whatever their names, are ignored. Equal texts share a shard, unless they make up more of the bytes, tokens or rows than
-    one shard's share. A very long text is read by built-in functions alone.
+    one shard's share; the rows of such a text are dealt by their ids and places in the input, so null or repeated ids don't keep them
+    together. A very long text is read by built-in functions alone.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -92,6 +93,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long").alias("tokens"),
             F.xxhash64(text).alias("g"),
+            # written with the rows, so the same wherever they are read again; parts rows that share both id and text
+            F.monotonically_increasing_id().alias("nth_row"),
         )
     )
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
@@ -106,7 +109,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         *rows.columns,
         F.when(F.col("is_hot").isNull(), F.pmod("g", F.lit(CELLS))).otherwise(F.col("g")).alias("unit"),
         F.when(F.col("is_hot").isNull(), F.lit(-2))
-        .when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HOT_PARTS)))
+        .when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id", "nth_row", F.lit(1)), F.lit(HOT_PARTS)))
         .otherwise(F.lit(-1))
         .cast("int")
         .alias("part"),
@@ -119,7 +122,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     placement = spark.createDataFrame(placed, "unit long, part int, shard int")
     buckets = max(1, math.ceil((total["rows"] or 0) / SLOT_ROWS))
     sharded = marked.join(F.broadcast(placement), ["unit", "part"]).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(2)), F.lit(buckets)).cast("int")
+        "bucket", F.pmod(F.xxhash64("doc_id", "nth_row", F.lit(2)), F.lit(buckets)).cast("int")
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
