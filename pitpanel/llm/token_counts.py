@@ -154,7 +154,8 @@ def count_tokens(docs: DataFrame, model_file: str, budget: int = 4096, with_tabl
     """doc_id, n_bytes, n_tokens, over_limit and budget_chars (code points of the longest prefix within the budget).
 
     with_table adds prefix_tokens: the count at every prefix. A null text counts as empty: no tokens. Rows are
-    kept as they come, repeated or with a null doc_id; other columns are ignored. The model file must exist on every executor.
+    kept as they come, repeated or with a null doc_id; an empty table stays empty; other columns are ignored. A very long text is counted
+    whole in one task, with 8 bytes of memory for each of its prefixes besides its chunks. The model file must exist on every executor.
     """
     kind = T.StructType().add("n_tokens", "long").add("budget_chars", "long")
     if with_table:

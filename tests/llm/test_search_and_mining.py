@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pitpanel.llm import ball_simhash, collocations, mask_search
+from pitpanel.llm import ball_simhash, collocations, crf_quality, mask_search, sharding
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CLASH = ("node", "variant", "a", "b", "label", "rows", "is_common", "known", "p", "n", "terms", "tf", "term", "score", "rank", "task", "h", "phrase", "words", "first")
@@ -286,3 +286,47 @@ def test_search_lengths_pass_64_bits():
     tf, n, docs, terms = np.array([1, 3]), np.array([10**9, 5]), 10**11, 10**14
     want = [10**9 * int(t) // (1000 * int(t) + 8 * (10 + 90 * int(x) * docs // terms)) for t, x in zip(tf, n, strict=True)]
     assert mask_search.contributions(tf, n, docs, terms).tolist() == want
+
+
+def test_one_long_text_does_not_switch_training_off(spark, monkeypatch):
+    """Texts over a bound are skipped one by one: all other scores are those of a training without them."""
+    from pitpanel.llm import entries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (entries.table(spark, sf, t) for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    first = labels.filter(~crf_quality.held_out() & F.col("quality").isNotNull()).orderBy(F.xxhash64("doc_id")).limit(2).select("doc_id")
+    ids = [r[0] for r in first.collect()]
+    monkeypatch.setattr(crf_quality, "LONGEST_BYTES", 200_000)
+    rest = docs.filter(~F.col("doc_id").isin(ids))
+    blown = docs.withColumn("text", F.when(F.col("doc_id").isin(ids), F.repeat(F.lit("word and line\n"), 20_000)).otherwise(F.col("text")))
+    scores = lambda df: {r["doc_id"]: r["score"] for r in crf_quality.quality_scores(df, labels).collect()}
+    want, got = scores(rest), scores(blown)
+    assert {k: got[k] for k in want} == pytest.approx(want) and len(got) == len(want) + 2
+    assert len(set(want.values())) > 10
+    monkeypatch.setattr(crf_quality, "TRAINING_BYTES", 30_000)  # what doesn't fit is left out, what does still trains
+    assert len(set(scores(rest).values())) > 10
+
+
+def test_oversized_group_without_ids_is_parted(spark):
+    """Rows of one text with null ids, or all with one id, beside others: shards stay even and slots gapless."""
+    for ids in (None, 7):
+        rows = [(ids, "a text of many rows") for _ in range(2000)] + [(i, f"text {i} of its own") for i in range(100, 3100)]
+        out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).collect()
+        sizes = [sum(r["size"] for r in out if r["shard"] == s) for s in range(8)]
+        assert max(sizes) < 1.02 * min(sizes), sizes
+        for s in range(8):
+            assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
+def test_entry_without_the_tokenizer_package(tmp_path):
+    """Only the queries that read a tokenizer need its package; everything is registered without it."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    (tmp_path / "public_tokenizers.py").write_text("raise ModuleNotFoundError('hidden', name='public_tokenizers')\n")
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, 'a1_bars_legacy' in q)"
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{root}"})
+    assert run.stdout.split()[1:] == ["True", "True"] and int(run.stdout.split()[0]) > 180, run.stderr
