@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pitpanel.llm import decontaminate, near_dedup, packing, substring_dedup, weak_rules
@@ -35,15 +34,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items don't contaminate; texts without words, null texts and rows with a null doc_id among them."""
+    """Documents that benchmark items don't contaminate; texts without words, null texts and rows with a null doc_id among them.
+
+    Repeated rows are judged alike, an empty table stays empty, and an empty benchmark lets all stay.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its place in a sequence of permitted length.
 
-    A text without words is one piece of length 0; null and repeated doc_ids are rows like any other.
+    A text without words is one piece of length 0; null and repeated doc_ids and repeated rows are rows like any other, and an empty
+    table stays empty.
     """
+    import public_tokenizers  # the other stages and queries do without it
+
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
