@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .performance import window_summaries
+from .pit import asof_join
 from .selection import BUY_RATE, SELL_FLAT, SELL_RATE
 
 
@@ -64,36 +65,35 @@ def first_touch(
     what happens the earliest day counts, and on one day stop, then target, then time, then the planned exit. A gap through a level
     fills at the open. trailing is the ATR multiple (bars need atr) under the running peak, through yesterday unless peak_today. With
     entry_day=False (fills at the close) the entry's own bar can't exit. max_hold counts calendar days, at least so many.
+
+    Stops and targets that stay where they are go by an index of each symbol's monthly extremes: a span meets the days of those months
+    only that can touch a level, up to the first one that must; its other events are looked up one by one. A trailing stop depends on
+    every day since the entry, so there a span meets them all.
     """
+    if trailing is None:
+        return _by_zones(spans, bars, entry_day, max_hold, delisted, keys)
     span = [*keys, "symbol", "entry_date"]
-    b = bars.select(
-        F.col("symbol").alias("_symbol"), "date", "open", "high", "low", "close", *(["atr"] if trailing is not None else [])
-    )
+    b = bars.select(F.col("symbol").alias("_symbol"), "date", "open", "high", "low", "close", "atr")
     over = spans.join(b, (F.col("symbol") == F.col("_symbol")) & F.col("date").between(F.col("entry_date"), F.col("exit_date")))
     if delisted:
         gone = delisting_dates(bars).select(F.col("symbol").alias("_gone"), "last_date")
         over = over.join(gone, over["symbol"] == gone["_gone"], "left").drop("_gone")
     run = Window.partitionBy(*span).orderBy("date")
-    stop = F.col("stop")
-    if trailing is not None:
-        peak = F.max("high").over(run.rowsBetween(Window.unboundedPreceding, 0 if peak_today else -1))
-        over = over.withColumn("_level", F.coalesce(peak, F.when(F.lit(peak_today), F.col("high"))) - F.col("atr") * trailing)
-        ratchet = F.max("_level").over(run.rowsBetween(Window.unboundedPreceding, 0))
-        over = over.withColumn("_stop", F.greatest(stop, ratchet))
-        stop = F.col("_stop")
+    peak = F.max("high").over(run.rowsBetween(Window.unboundedPreceding, 0 if peak_today else -1))
+    over = over.withColumn("_level", F.coalesce(peak, F.when(F.lit(peak_today), F.col("high"))) - F.col("atr") * trailing)
+    ratchet = F.max("_level").over(run.rowsBetween(Window.unboundedPreceding, 0))
+    over = over.withColumn("_stop", F.greatest("stop", ratchet))
+    stop = F.col("_stop")
     whole = F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
     live = whole if entry_day else whole & (F.col("date") > F.col("entry_date"))
     hit_stop = live & (F.col("low") <= stop)
     hit_target = live & (F.col("high") >= F.col("target"))
-    at_stop = F.when(F.col("open").isNull() | (F.col("open") >= stop), stop).otherwise(F.col("open"))
-    at_target = F.when(F.col("open").isNull() | (F.col("open") <= F.col("target")), F.col("target")).otherwise(F.col("open"))
+    at_stop, at_target = _fills(stop, F.col("target"))
     timed = live & (F.datediff("date", "entry_date") >= max_hold) if max_hold else F.lit(False)
     ended = F.col("date") == F.col("last_date") if delisted else F.lit(False)
     planned = F.col("date") == F.col("exit_date")
     by_plan = F.when(F.col("exit_reason") == "rebalance", F.coalesce("open", "close")).otherwise(F.col("close"))
-    event = lambda when, priority, price, reason: F.when(
-        when, F.struct(F.col("date").alias("d"), F.lit(priority).alias("p"), price.alias("price"), reason.alias("reason"))
-    )
+    event = lambda when, priority, price, reason: _event(when, F.col("date"), priority, price, reason)
     # A planned exit at the open comes before the day's range.
     opens = planned & (F.col("exit_reason") == "rebalance")
     first = F.array_min(
@@ -113,12 +113,83 @@ def first_touch(
     found = over.withColumn("_event", first).groupBy(*span).agg(
         F.min("_event").alias("x"), F.min_by("open", F.when(F.col("date") == F.col("entry_date"), F.col("date"))).alias("entry")
     )
+    return _with_exits(spans, found, span)
+
+
+def _event(when: Column, date: Column, priority: int, price: Column, reason: Column) -> Column:
+    return F.when(when, F.struct(date.alias("d"), F.lit(priority).alias("p"), price.alias("price"), reason.alias("reason")))
+
+
+def _fills(stop: Column, target: Column) -> tuple[Column, Column]:
+    """What a stop and a target fill at: their level, or the open where it is beyond the level."""
+    opened = F.col("open")
+    return F.when(opened.isNull() | (opened >= stop), stop).otherwise(opened), F.when(opened.isNull() | (opened <= target), target).otherwise(opened)
+
+
+def _with_exits(spans: DataFrame, found: DataFrame, span: Sequence[str]) -> DataFrame:
     rest = [c for c in spans.columns if c not in (*span, "exit_date", "exit_reason", "entry")]
-    return spans.select(*span, *rest).join(found, span).select(
+    return spans.select(*span, *rest).join(found, list(span)).select(
         *span, *rest, "entry", F.col("x.d").alias("exit_date"), F.col("x.price").alias("exit"), F.col("x.reason").alias("exit_reason")
     )
 
 
+def _month(date: str) -> Column:
+    return F.year(date) * 12 + F.month(date)
+
+
+def touchable_days(spans: DataFrame, bars: DataFrame, span: Sequence[str]) -> DataFrame:
+    """Spans (with stop, target and exit_date) beside the bars of those of their months whose extremes reach a level.
+
+    Months after the first that lies whole within the span and reaches one are left out, as one of its days touches for sure.
+    """
+    zones = bars.groupBy(F.col("symbol").alias("_symbol"), _month("date").alias("_month")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+    months = spans.select(*span, "exit_date", "stop", "target", F.explode(F.sequence(_month("entry_date"), _month("exit_date"))).alias("_m"))
+    reached = months.join(zones, (F.col("symbol") == F.col("_symbol")) & (F.col("_m") == F.col("_month"))).filter("_low <= stop or _high >= target")
+    sure = (F.col("_m") > _month("entry_date")) & (F.col("_m") < _month("exit_date"))
+    reached = reached.withColumn("_sure", F.min(F.when(sure, F.col("_m"))).over(Window.partitionBy(*span))).filter("_sure is null or _m <= _sure")
+    reached = reached.drop("_symbol", "_month", "_low", "_high", "_sure")
+    days = bars.select(F.col("symbol").alias("_symbol"), _month("date").alias("_month"), "date", "open", "high", "low", "close")
+    met = reached.join(days, (F.col("symbol") == F.col("_symbol")) & (F.col("_m") == F.col("_month")))
+    return met.filter("date between entry_date and exit_date").drop("_symbol", "_month", "_m")
+
+
+def _by_zones(spans: DataFrame, bars: DataFrame, entry_day: bool, max_hold: int | None, delisted: bool, keys: Sequence[str]) -> DataFrame:
+    span = [*keys, "symbol", "entry_date"]
+    b = bars.select("symbol", "date", "open", "high", "low", "close")
+    whole = b.filter("high is not null and low is not null and close is not null")
+    own = spans.filter("entry_date <= exit_date").select(*span, "exit_date", "exit_reason", "stop", "target")
+    days = touchable_days(own, whole, span)
+    if not entry_day:
+        days = days.filter("date > entry_date")
+    stop, target = F.col("stop"), F.col("target")
+    at_stop, at_target = _fills(stop, target)
+    touched = F.coalesce(
+        _event(F.col("low") <= stop, F.col("date"), 1, at_stop, F.lit("stop")), _event(F.col("high") >= target, F.col("date"), 2, at_target, F.lit("target"))
+    )
+    touched = days.groupBy(*span).agg(F.min(touched).alias("_touched"))
+    # the last day in reach, on the planned date or before it
+    last = asof_join(own, b.select("symbol", F.col("date").alias("_last"), F.col("open").alias("_open"), F.col("close").alias("_close")), "symbol", "exit_date", "_last", how="inner")
+    last = last.filter("_last >= entry_date")
+    planned, rebalanced = F.col("_last") == F.col("exit_date"), F.col("exit_reason") == "rebalance"
+    events = [
+        F.col("_touched"),
+        _event(planned & rebalanced, F.col("_last"), 0, F.coalesce("_open", "_close"), F.col("exit_reason")),
+        _event(planned & ~rebalanced, F.col("_last"), 5, F.col("_close"), F.col("exit_reason")),
+        _event(~planned, F.col("_last"), 6, F.col("_close"), F.col("exit_reason")),
+    ]
+    if max_hold:
+        later = whole.select("symbol", F.col("date").alias("_timed"), F.col("close").alias("_timed_close"))
+        last = asof_join(last.withColumn("_due", F.date_add("entry_date", max_hold)), later, "symbol", "_due", "_timed", forward=True)
+        events.append(_event(F.col("_timed") <= F.col("exit_date"), F.col("_timed"), 3, F.col("_timed_close"), F.lit("time")))
+    if delisted:
+        gone = delisting_dates(bars).select("symbol", F.col("last_date").alias("_gone"), F.col("last_close").alias("_gone_close"))
+        last = last.join(gone, "symbol", "left")
+        events.append(_event(F.col("_gone").between(F.col("entry_date"), F.col("exit_date")), F.col("_gone"), 4, F.col("_gone_close"), F.lit("delisted")))
+    first = last.join(touched, span, "left").select(*span, F.array_min(F.array_compact(F.array(*events))).alias("x"))
+    entry = b.select("symbol", F.col("date").alias("entry_date"), F.col("open").alias("entry"))
+    return _with_exits(spans, first.join(entry, ["symbol", "entry_date"], "left"), span)
+
+
 def trade_outcomes(exits: DataFrame, cost_mult: float = 1.0, buy_rate: float = BUY_RATE, sell_rate: float = SELL_RATE, flat: float = SELL_FLAT) -> DataFrame:
     """Adds return_pct net of fees on both sides, r_multiple (risk > 0) and holding_days; shares spreads the flat fee, if there."""
     per_share = F.try_divide(F.lit(flat * cost_mult), F.nullif("shares", F.lit(0))) if "shares" in exits.columns else F.lit(0.0)

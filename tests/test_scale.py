@@ -248,3 +248,62 @@ def test_a_bracket_holds_few_rows(spark):
     sketch = df.agg(F.percentile_approx("v", 0.5 - 3 / quantiles.ACCURACY, quantiles.ACCURACY).alias("a"), F.percentile_approx("v", 0.5 + 3 / quantiles.ACCURACY, quantiles.ACCURACY).alias("b"))
     a, b = sketch.first()
     assert df.filter(F.col("v").between(a, b)).count() < 400
+
+
+@pytest.mark.parametrize("entry_day, max_hold, delisted", [(True, None, False), (False, 40, False), (True, 25, True), (False, None, True)])
+def test_zones_find_what_all_days_find(spark, entry_day, max_hold, delisted):
+    rng = np.random.default_rng(13)
+    bars = []
+    for s in "abc":
+        price = 100.0
+        for t in sorted(rng.choice(420 if s != "c" else 200, 150, replace=False)):
+            price *= float(np.exp(rng.normal(0, 0.03)))
+            low, high = price * (1 - rng.random() * 0.03), price * (1 + rng.random() * 0.03)
+            cells = [price * (1 + rng.normal(0, 0.02)), high, low, price]
+            bars.append((s, day(t), *[None if rng.random() < 0.03 else float(x) for x in cells]))
+    spans = []
+    for k in range(80):
+        s, a = str(rng.choice(["a", "b", "c", "d"])), int(rng.integers(0, 380))
+        near = [r for r in bars if r[0] == s and r[1] >= day(a) and r[5]]
+        level = near[0][5] if near else 100.0
+        spans.append((k, s, near[0][1] if near and rng.random() < 0.8 else day(a), day(a + int(rng.integers(0, 200))), str(rng.choice(["rebalance", "end"])),
+                      None if rng.random() < 0.1 else level * 0.9, None if rng.random() < 0.1 else level * 1.15))
+    sp = spark.createDataFrame(spans, "id int, symbol string, entry_date date, exit_date date, exit_reason string, stop double, target double")
+    b = spark.createDataFrame(bars, "symbol string, date date, open double, high double, low double, close double")
+    got = {r["id"]: (r["exit_date"], r["exit"], r["exit_reason"], r["entry"]) for r in outcomes.first_touch(sp, b, entry_day, max_hold, delisted=delisted, keys=["id"]).collect()}
+    ends = {s: max(r[1] for r in bars if r[0] == s and r[5] is not None) for s in "abc"}
+    want = {}
+    for k, s, a, z, why, stop, target in spans:
+        own, events = sorted(r for r in bars if r[0] == s and a <= r[1] <= z), []
+        for n, (_, d, o, h, lo, c) in enumerate(own):
+            live = None not in (h, lo, c) and (entry_day or d > a)
+            planned = d == z
+            if planned and why == "rebalance":
+                events.append((d, 0, c if o is None else o, why))
+            if live and stop is not None and lo <= stop:
+                events.append((d, 1, stop if o is None or o >= stop else o, "stop"))
+            if live and target is not None and h >= target:
+                events.append((d, 2, target if o is None or o <= target else o, "target"))
+            if live and max_hold and (d - a).days >= max_hold:
+                events.append((d, 3, c, "time"))
+            if delisted and d == ends[s] and d < max(ends.values()):
+                events.append((d, 4, c, "delisted"))
+            if planned and why != "rebalance":
+                events.append((d, 5, c, why))
+            if n == len(own) - 1:
+                events.append((d, 6, c, why))
+        if events:
+            d, _, price, reason = min(events, key=lambda e: e[:2])
+            want[k] = (d, price, reason, next((r[2] for r in own if r[1] == a), None))
+    assert got == want and len({v[2] for v in got.values()}) >= 4
+
+
+def test_zones_prune_days(spark):
+    """Of ten years of days a span meets the months around its one touch."""
+    days = spark.range(3650).select(F.lit("a").alias("symbol"), F.date_add(F.lit(D0), F.col("id").cast("int")).alias("date"), (100 + F.col("id") * 0.01).alias("close"))
+    bars = days.select("symbol", "date", F.col("close").alias("open"), (F.col("close") + 0.1).alias("high"), (F.col("close") - 0.1).alias("low"), "close")
+    spans = spark.range(200).select(F.col("id"), F.lit("a").alias("symbol"), F.lit(D0).alias("entry_date"), F.lit(day(3640)).alias("exit_date"), F.lit("end").alias("exit_reason"), F.lit(1.0).alias("stop"), (110 + F.col("id") * 0.1).alias("target"))
+    met = outcomes.touchable_days(spans, bars, ["id", "symbol", "entry_date"]).count()
+    assert 200 * 20 < met < 200 * 40 and 200 * 3640 > 90 * met
+    out = outcomes.first_touch(spans, bars, keys=["id"])
+    assert out.filter("exit_reason = 'target'").count() == 200
