@@ -22,13 +22,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _MULT, BITS_PER_ID, MAX_BITS, Scratch, bounded_batches, chunks, mix, word_codes, word_hashes
+from .common import _MULT, BITS_PER_ID, MAX_BITS, Scratch, batches_of, chunks, mix, word_codes, word_hashes
 
 LEAST, LONGEST, LIMIT = 100, 5, 2000
 #: Words of a block, and of all blocks that a task has open (one for each language).
-BLOCK_WORDS, OPEN_WORDS = 1 << 20, 1 << 22
+BLOCK_WORDS, OPEN_WORDS = 1 << 18, 1 << 20
+#: Bytes of a batch of blocks or texts, one block or two.
+BATCH = "2m"
 #: A round expands the words up to this many times as frequent as the rarest left.
-BAND = 8
+BAND = 32
 #: Shares of a language that are ranked apart before the best of all are.
 SHARES = 32
 _U64 = np.uint64
@@ -58,7 +60,8 @@ class _Open:
     def row(self, lang: bytes) -> tuple:
         codes, words = np.concatenate(self.codes), list(self.number)[1:]
         hashes = lang_hashes(lang, np.array(words, dtype=object))
-        return lang, words, np.bincount(codes[codes >= 0], minlength=len(words)).tolist(), hashes.tobytes(), codes.tobytes()
+        counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
+        return lang, int(counts.sum()), b" ".join(words), counts.tobytes(), hashes.tobytes(), codes.tobytes()
 
 
 def lang_hashes(lang: bytes, words: np.ndarray) -> np.ndarray:
@@ -67,15 +70,16 @@ def lang_hashes(lang: bytes, words: np.ndarray) -> np.ndarray:
     return mix(word_hashes(np.arange(len(words)), words) ^ own)
 
 
-_BLOCKS = "lang binary, words array<binary>, counts array<long>, hashes binary, codes binary"
+#: A block is a row: its words joined by one space, and arrays as bytes, which go to workers as they are.
+_BLOCKS = "lang binary, n long, words binary, counts binary, hashes binary, codes binary"
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     filling: dict[bytes, _Open] = {}
 
     def emit(lang: bytes) -> pa.RecordBatch:
-        columns = zip(filling.pop(lang).row(lang), (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in columns], names=["lang", "words", "counts", "hashes", "codes"])
+        names = [field.split()[0] for field in _BLOCKS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([c]) for c in filling.pop(lang).row(lang)], names=names)
 
     for batch in batches:
         langs, texts = (batch.column(c).to_pylist() for c in ("lang", "text"))
@@ -130,23 +134,28 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bitmap(rows: DataFrame, phrase: Column | None = None) -> Broadcast:
-    """A broadcast Bitmap of the phrases (lang, phrase) of rows, of 16 MB at most."""
-    count = rows.count()
-    bits = max(1 << 15, min(MAX_BITS, 1 << (BITS_PER_ID * max(1, count) - 1).bit_length()))
+    """A broadcast Bitmap of the phrases (lang, phrase) of rows."""
     asked = F.col("phrase") if phrase is None else phrase
-    hashed = rows.select(F.col("lang").cast("binary").alias("lang"), asked.cast("binary").alias("phrase")).mapInArrow(_hashes, "h long")
+    return hash_bitmap(rows.select(F.col("lang").cast("binary").alias("lang"), asked.cast("binary").alias("phrase")).mapInArrow(_hashes, "h long"), rows.count())
+
+
+def hash_bitmap(hashes: DataFrame, count: int) -> Broadcast:
+    """A broadcast Bitmap of so many hashes h, of 16 MB at most."""
+    bits = max(1 << 15, min(MAX_BITS, 1 << (BITS_PER_ID * max(1, count) - 1).bit_length()))
     place = F.col("h").bitwiseAND(bits - 1) + 1
-    parts = hashed.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("held"))
+    parts = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("held"))
     data = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():
         data[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["held"], np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(Bitmap(data))
+    return hashes.sparkSession.sparkContext.broadcast(Bitmap(data))
 
 
 class _Block:
     def __init__(self, row: pa.RecordBatch):
-        self.lang, self.words = row.column("lang")[0].as_py(), row.column("words").flatten()
+        self.lang, words = row.column("lang")[0].as_py(), row.column("words")[0].as_py()
+        self.words = np.array(words.split(b" ") if words else [], dtype=object)
         self.hashes = np.frombuffer(row.column("hashes")[0].as_py(), _U64)
+        self.counts = np.frombuffer(row.column("counts")[0].as_py(), np.int64)
         self.codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
 
     def flags(self, among: Bitmap) -> np.ndarray:
@@ -174,26 +183,46 @@ class _Block:
         return at[first], group
 
     def strings(self, at: np.ndarray, size: int) -> list[bytes]:
-        columns = [self.words.take(pa.array(self.codes[at + k])).to_pylist() for k in range(size)]
-        return [b" ".join(x) for x in zip(*columns, strict=True)]
+        return [b" ".join(x) for x in zip(*(self.words[self.codes[at + k]] for k in range(size)), strict=True)]
 
 
-def _grower(size: int, words: Broadcast, firsts: Broadcast, prefixes: Broadcast | None) -> Callable:
-    """Counts in each block of phrases of `size` words that begin with some words and have prefixes that may be frequent."""
+def _hashed(size: int, words: Broadcast | None, firsts: Broadcast | None, prefixes: Broadcast | None) -> Callable:
+    """Counts in each block, by hash, of phrases of `size` words that begin with some words and have prefixes that may be frequent."""
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block = _Block(batch.slice(i, 1))
-                at = block.starts(block.flags(firsts.value), block.flags(words.value), size)
-                if prefixes is not None and len(at):
-                    at = at[prefixes.value(block.hashed(at, size - 1))]
-                if len(at):
-                    first, group = block.grouped(at, size)
-                    arrays = [pa.array([block.lang] * len(first), pa.binary()), pa.array(block.strings(first, size), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(group), pa.int64())], names=["lang", "phrase", "n"])
+                if size == 1:
+                    found, n = mix(block.hashes), block.counts
+                else:
+                    at = block.starts(block.flags(firsts.value), block.flags(words.value), size)
+                    if prefixes is not None and len(at):
+                        at = at[prefixes.value(block.hashed(at, size - 1))]
+                    found, n = np.unique(block.hashed(at, size), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    return grow
+    return count
+
+
+def _counted(size: int, words: Broadcast | None, firsts: Broadcast | None, frequent: Broadcast) -> Callable:
+    """Counts in each block, by their words, of those phrases whose hashes may be frequent."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = _Block(batch.slice(i, 1))
+                if size == 1:
+                    own = np.flatnonzero(frequent.value(mix(block.hashes)))
+                    strings, n = block.words[own].tolist(), block.counts[own]
+                else:
+                    at = block.starts(block.flags(firsts.value), block.flags(words.value), size)
+                    first, group = block.grouped(at[frequent.value(block.hashed(at, size))], size)
+                    strings, n = block.strings(first, size), np.bincount(group)
+                arrays = [pa.array([block.lang] * len(strings), pa.binary()), pa.array(strings, pa.binary()), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n"])
+
+    return count
 
 
 def _looker(sizes: range, words: Broadcast, firsts: Broadcast, asked: Broadcast) -> Callable:
@@ -217,7 +246,8 @@ def _looker(sizes: range, words: Broadcast, firsts: Broadcast, asked: Broadcast)
                         low, high = np.full(len(place), len(block.words), np.int32), np.full(len(place), -1, np.int32)
                         np.minimum.at(low, group, beside)
                         np.maximum.at(high, group, beside)
-                        arrays.append(block.words.take(pa.array(low, mask=(low != high) | (low < 0))))
+                        only = (low == high) & (low >= 0)
+                        arrays.append(pa.array([block.words[c] if one else None for c, one in zip(low, only, strict=True)], pa.binary()))
                     yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n", "before", "after"])
 
     return look
@@ -250,17 +280,26 @@ class _Mine:
 
     def __init__(self, docs: DataFrame, least: int, longest: int, limit: int, scratch: Scratch):
         self.least, self.longest, self.limit, self.scratch = least, longest, limit, scratch
-        bounded_batches(docs.sparkSession)
         lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang")
         text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
         self.blocks = scratch.table(docs.select(lang, text).mapInArrow(_encode, _BLOCKS))
-        counted = _text(self.blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("n")))
-        counts = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-        self.langs = scratch.table(counted.groupBy("lang").agg(F.sum("n").alias("n")))
-        self.words = scratch.table(counts.filter(F.col("a") >= least))
-        self.any_word = bitmap(self.words)
+        self.langs = scratch.table(_text(self.blocks.groupBy("lang").agg(F.sum("n").alias("n"))))
+        self.words, self.any_word = self._frequent(1, None, None)
         self.best: DataFrame | None = None
 
+    def _frequent(self, size: int, firsts: Broadcast | None, prefixes: Broadcast | None) -> tuple[DataFrame, Broadcast]:
+        """lang, phrase and a of the frequent phrases, and a bitmap that they are in.
+
+        Most phrases are rare, so they are counted by hash first; those with frequent hashes are then counted by their words.
+        """
+        words = None if size == 1 else self.any_word
+        hashed = self.blocks.mapInArrow(_hashed(size, words, firsts, prefixes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        hashed = self.scratch.table(hashed.filter(F.col("n") >= self.least).select("h"))
+        frequent = hash_bitmap(hashed, hashed.count())
+        found = _text(self.blocks.mapInArrow(_counted(size, words, firsts, frequent), "lang binary, phrase binary, n long"))
+        found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= self.least)
+        return self.scratch.table(found), frequent
+
     def frontier(self) -> DataFrame:
         """Frequent words with the bound of what grows from them, as far as it reaches the last kept score."""
         words = self.words.join(self.langs, "lang").withColumn("bound", _score(F.col("a"), F.col("n"), F.col("a"), F.col("a")))
@@ -275,22 +314,18 @@ class _Mine:
         band = table(self.frontier().filter(F.col("a").between(low, high - 1)).select("lang", "phrase", "a", "n", "last"))
         firsts, grown, prefixes = bitmap(band), {1: self.words}, None
         for size in range(2, self.longest + 1):
-            found = _text(self.blocks.mapInArrow(_grower(size, self.any_word, firsts, prefixes), "lang binary, phrase binary, n long"))
-            found = table(found.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= self.least))
+            found, prefixes = self._frequent(size, firsts, prefixes)
             if found.isEmpty():
                 break
             grown[size] = found
-            if size < self.longest:
-                prefixes = bitmap(found)
         if len(grown) == 1:
             return
-        counts = [table(self._likely(found, grown[size - 1], band, size)) for size, found in grown.items() if size > 1]
-        likely = dict(enumerate(counts, 2))
-        asked = [self.words.select("lang", "phrase").limit(0)]
-        asked += [rows.select("lang", "phrase") for size, rows in likely.items() if size < self.longest]
-        asked += [rows.select("lang", F.substring_index("phrase", " ", -k).alias("phrase")) for size, rows in likely.items() for k in range(2, size)]
-        asked = table(reduce(DataFrame.union, asked).distinct())
-        sizes = range(2, min(self.longest, max(likely) + 1))
+        likely = table(self._likely(grown, band))
+        asked = likely.filter(F.col("size") < self.longest).select("lang", "phrase")
+        for k in range(2, self.longest):
+            asked = asked.union(likely.filter(F.col("size") > k).select("lang", F.substring_index("phrase", " ", -k).alias("phrase")))
+        asked = table(asked.distinct())
+        sizes = range(2, min(self.longest, max(grown) + 1))
         look = _looker(sizes, self.any_word, bitmap(asked, _first(1)), bitmap(asked))
         seen = _text(self.blocks.mapInArrow(look, "lang binary, phrase binary, n long, before binary, after binary"))
         one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
@@ -298,24 +333,24 @@ class _Mine:
         looked = table(looked.join(asked, ["lang", "phrase"], "left_semi"))
         self._keep(likely, grown, looked)
 
-    def _likely(self, found: DataFrame, shorter: DataFrame, band: DataFrame, size: int) -> DataFrame:
+    def _likely(self, grown: dict[int, DataFrame], band: DataFrame) -> DataFrame:
         """Candidates whose last cut, of known counts, allows a score that may be kept."""
+        rows = reduce(DataFrame.union, [found.withColumn("size", F.lit(size)) for size, found in grown.items() if size > 1])
         first = band.select("lang", F.col("phrase").alias("first"), "n", "last")  # the bitmap let more through
-        rows = found.withColumn("first", _first(1)).join(first, ["lang", "first"])
-        rows = rows.withColumn("left", _first(size - 1)).withColumn("right", F.substring_index("phrase", " ", -1))
-        rows = rows.join(shorter.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l")), ["lang", "left"])
+        rows = rows.withColumn("first", _first(1)).join(first, ["lang", "first"])
+        rows = rows.withColumn("left", F.expr("substring_index(phrase, ' ', size - 1)")).withColumn("right", F.substring_index("phrase", " ", -1))
+        known = reduce(DataFrame.union, [found.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l")) for size, found in grown.items() if size < self.longest])
+        rows = rows.join(known, ["lang", "left"])
         rows = rows.join(self.words.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r")), ["lang", "right"])
-        return rows.filter(_score(F.col("a"), F.col("n"), F.col("l"), F.col("r")) >= F.col("last")).select("lang", "phrase", "a", "n")
+        return rows.filter(_score(F.col("a"), F.col("n"), F.col("l"), F.col("r")) >= F.col("last")).select("lang", "phrase", "a", "n", "size")
 
-    def _keep(self, likely: dict[int, DataFrame], grown: dict[int, DataFrame], looked: DataFrame) -> None:
+    def _keep(self, likely: DataFrame, grown: dict[int, DataFrame], looked: DataFrame) -> None:
         """Scores the likely candidates at all cuts, drops those that a longer one holds, and ranks the rest with those kept so far."""
-        cuts = [
-            rows.select("*", F.lit(size).alias("size"), F.lit(k).alias("k"), _first(k).alias("left"), F.substring_index("phrase", " ", k - size).alias("right"))
-            for size, rows in likely.items() for k in range(1, size)
-        ]
-        lefts = reduce(DataFrame.union, [grown[k].select("lang", "phrase", "a") for k in grown])
+        cuts = likely.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
+        cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', k)")).withColumn("right", F.expr("substring_index(phrase, ' ', k - size)"))
+        lefts = reduce(DataFrame.union, [found.select("lang", "phrase", "a") for size, found in grown.items() if size < self.longest])
         rights = self.words.select("lang", "phrase", "a").union(looked.select("lang", "phrase", "a"))
-        rows = reduce(DataFrame.union, cuts).join(lefts.toDF("lang", "left", "l"), ["lang", "left"]).join(rights.toDF("lang", "right", "r"), ["lang", "right"])
+        rows = cuts.join(lefts.toDF("lang", "left", "l"), ["lang", "left"]).join(rights.toDF("lang", "right", "r"), ["lang", "right"])
         score = _score(F.col("a"), F.col("n"), F.col("l"), F.col("r"))
         worst = rows.groupBy("lang", "phrase", "a", "n", "size").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
         held = looked.filter("held").select("lang", "phrase")
@@ -347,7 +382,7 @@ def mine_collocations(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, l
     no words, documents of a null lang are those of `und`, rows count as often as they are repeated, and an empty table has no phrases;
     doc_ids and other columns are ignored. Texts are split in parts of 1 MB or whole, with about 100 bytes of memory a word.
     """
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession) as scratch, batches_of(docs.sparkSession, BATCH):
         best = _Mine(docs, least, longest, limit, scratch).run()
         scratch.keep(best)
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

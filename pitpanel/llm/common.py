@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -43,6 +44,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Bounds Arrow batches by other bytes while an operator runs its jobs, where the user has set no bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    if before not in (None, BATCH_BYTES):
+        yield
+        return
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before or BATCH_BYTES)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
