@@ -712,3 +712,26 @@ def test_hashes_tell_windows_apart():
     h = window_hashes(word_hashes(*word_codes(flat)), 2)
     assert h[0] == h[4] and len(set(h.tolist())) == 4
     assert inside(np.array([3, 1, 2]), 2).tolist() == [0, 1, 4]
+
+
+_FLOOD = "The river rose in the night, and by the morning it was over the road. People left their houses."
+_PLAIN = {
+    "text straight in the body": (f"<body>{_FLOOD}</body>", [_FLOOD]),
+    "text without any element": (_FLOOD, [_FLOOD]),
+    "one paragraph": (f"<p>{_FLOOD}</p>", [_FLOOD]),
+    "a list of links": (
+        "<body><nav><a href=/>Home</a><a href=/n>News</a></nav><article><h1>Ten rivers</h1><ul>" + "".join(f"<li><a href=/{i}>The river {i} of the list</a></li>" for i in range(10)) + "</ul></article></body>",
+        ["Ten rivers", *[f"The river {i} of the list" for i in range(10)]],
+    ),
+    "an apostrophe in an unquoted value": (f"<article><h1>Flood</h1><p title=it's>{_FLOOD}</p><p>{_FLOOD}</p></article>", ["Flood", _FLOOD, _FLOOD]),
+    "CDATA that isn't closed": (f"<article><h1>Flood</h1><![CDATA[ x <b><p>{_FLOOD}</p><p>{_FLOOD}</p></article>", ["Flood", _FLOOD, _FLOOD]),
+    "a formula": (f"<article><h1>Flood</h1><p>{_FLOOD}</p><p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here, so it goes on.</p></article>", ["Flood", _FLOOD, "We have x=2 here, so it goes on."]),
+    "a button in a sentence": (f"<article><h1>Flood</h1><p>{_FLOOD}</p><p>Press the <button>Start</button> key, and wait for the water.</p></article>", ["Flood", _FLOOD, "Press the Start key, and wait for the water."]),
+    "a newsletter at the end": (f"<article><h1>Flood</h1><p>{_FLOOD} {_FLOOD}</p><p>{_FLOOD}</p><aside><p>Subscribe to our newsletter for more news every week.</p></aside></article>", ["Flood", f"{_FLOOD} {_FLOOD}", _FLOOD]),
+}
+
+
+@pytest.mark.parametrize("name", _PLAIN)
+def test_plain_and_odd_pages_keep_their_text(name):
+    page, blocks = _PLAIN[name]
+    assert html_content.main_text(page, html_content.trained_model()) == "\n\n".join(blocks)
