@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, evaluated_once, mix, n_bytes, text_bytes, unused
+from .common import Scratch, chunks, evaluated_once, mix, n_bytes, split_by_ids, text_bytes, unused
 
 WINDOW = 13
 #: Benchmark text that one set of tables may hold, about 9 MB of memory for each MB in each worker and some 40 on the driver.
@@ -214,9 +214,14 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, hits: str) ->
         scratch.keep(merged)
     n_words = F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("long")
     spans, items = unused("spans", docs.columns), unused("items", docs.columns)
-    joined = docs.withColumn(key, F.md5(text.cast("binary"))).join(merged.toDF(key, spans, items), key, "left")
-    none = lambda c: F.coalesce(F.col(c), F.array().cast(dict(joined.dtypes)[c]))
-    return joined.select(*docs.columns, F.struct(n_words.alias("n_words"), none(spans).alias("spans"), none(items).alias("items")).alias(hits))
+    # Most texts have no hit, so only those that may have one are shuffled; the others get empty lists where they are.
+    keyed = docs.withColumn(key, F.md5(text.cast("binary")))
+    doubtful, sure = split_by_ids(keyed, F.col(key), merged.select(key), merged.count())
+    joined = doubtful.join(merged.toDF(key, spans, items), key, "left")
+    none = lambda c: F.array().cast(dict(joined.dtypes)[c])
+    sure = sure.withColumns({spans: none(spans), items: none(items)})
+    every = joined.withColumns({c: F.coalesce(F.col(c), none(c)) for c in (spans, items)}).select(*sure.columns).union(sure)
+    return every.select(*docs.columns, F.struct(n_words.alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items")).alias(hits))
 
 
 def _n_hit(hits: Column) -> Column:
