@@ -5,7 +5,8 @@ cut into slices by window hash; the slices of all blocks are merged, and each bl
 blocks hold. Pass two: a block sends only the windows for which every row of the sketch says so (a count-min sketch never
 underestimates, so no window of two blocks is lost), and Spark groups these exactly, as rows of two hash lanes, the block's
 least doc_id and the window's place. Windows of one block alone are settled inside it. Each window goes out at most once per
-block, however many documents of the block hold it, so a passage shared by a third of all documents makes no large group.
+block, however many documents of the block hold it, and groups of many blocks are parted, so a passage shared by a third of all
+documents makes no large group.
 Nothing is broadcast or collected, and what a task holds doesn't grow with the corpus: a block, a slice, or rows.
 """
 
@@ -30,6 +31,8 @@ CELLS_PER_WINDOW = 4
 #: Together they hold the sketch of about 5 TB of text; beyond that it gets more crowded, passes more windows on and still loses
 #: none. On executors with more memory SLICE_CELLS is the parameter to raise.
 SLICE_CELLS, MAX_SLICES = 1 << 26, 1 << 16
+#: Blocks whose rows of one window are compared in one group, at most; groups of one window then meet by their least doc_ids.
+GROUP_BLOCKS = 1 << 16
 _U64 = np.uint64
 _SALTS = np.arange(1, DEPTH + 1, dtype=_U64) * _U64(0xA24BAED4963EE407)
 
@@ -230,18 +233,30 @@ def _stripped(docs: DataFrame, window: int, carry: Sequence[str], output: Callab
     sketched = bare.applyInArrow(sketch, "slice int, row int, block int, data binary")
     cells = sketched.groupBy("slice", "row").applyInArrow(merge, binary)
     sent = bare.cogroup(cells.groupBy("block")).applyInArrow(candidates, "low long, high long, doc_id long, place long")
-    # A window is sent once by each block that holds it, so even a very common one makes no more rows than there are blocks.
-    first = F.min("doc_id").over(Window.partitionBy("low", "high"))
-    later = sent.withColumn("first", first).filter("first < doc_id")
-    later = later.select(
-        F.shiftright("place", 32).cast("int").alias("block"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("nth")
-    )
+    later = _sent_earlier(sent, block_count(total)).select("block", F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("nth"))
     kind = T.StructType().add("doc_id", "long").add("known", "boolean").add("n_words", "long").add("n_removed", "long")
     kind = T.StructType([*kind.add("out", "binary").fields, *[dealt.schema[c] for c in carried]])
     stripped = bare.cogroup(later.groupBy("block")).applyInArrow(strip, kind)
     return stripped.withColumn("out", F.col("out").cast("string"))
 
 
+def _sent_earlier(sent: DataFrame, blocks: int) -> DataFrame:
+    """The rows sent, with their block, whose window came with a smaller doc_id from any block.
+
+    A window is sent once by each block that holds it. Where blocks are more than GROUP_BLOCKS, the rows of a window are parted by
+    their block, and one row of each part, its least doc_id, meets those of the other parts; so a passage that every block holds
+    makes no group of all blocks. With fewer blocks there is one part, and nothing to be met.
+    """
+    parts = -(-blocks // GROUP_BLOCKS)
+    sent = sent.withColumn("block", F.shiftright("place", 32).cast("int"))
+    if parts == 1:
+        return sent.withColumn("first", F.min("doc_id").over(Window.partitionBy("low", "high"))).filter("first < doc_id")
+    spread = sent.withColumn("part", F.pmod("block", F.lit(parts))).repartition("low", "high", "part")
+    least = spread.groupBy("low", "high", "part").agg(F.min("doc_id").alias("least"))
+    first = F.min("least").over(Window.partitionBy("low", "high"))
+    return spread.join(least.select("low", "high", "part", first.alias("first")), ["low", "high", "part"]).filter("first < doc_id")
+
+
 def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
     return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), columns, strict=True)})
