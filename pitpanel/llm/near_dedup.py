@@ -29,6 +29,10 @@ SHINGLE = 2
 BANDS, ROWS = 32, 5
 #: Star rounds at least before the members that buckets still hold are compared in blocks of about this many rows.
 STAR_ROUNDS, BLOCK_ROWS = 2, 1024
+#: Shingles of such a block, about: 32 MB of sets.
+BLOCK_SHINGLES = 1 << 22
+#: Classes with more than one in so many rows, fewer than so many, are broadcast with their labels.
+COMMON = 4096
 _U64 = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -204,17 +208,21 @@ def near_groups(
             same = scratch.table(own.join(heads, "doc_id").filter("label <> b").select(F.col("label").alias("a"), "b").distinct())
             if same.limit(1).count():
                 labels = relabelled(labels, same, scratch)
-        done = scratch.table(classes.join(labels, "node").select("low", "high", F.col("label.id").alias("label")))
+        done = scratch.table(classes.join(labels, "node").select("low", "high", "copies", F.col("label.id").alias("label")))
+        total = done.agg(F.sum("copies").alias("n")).first()["n"] or 0
         scratch.keep(profiled, done)
-    return (
-        profiled.join(done, ["low", "high"], "left")
-        .withColumn("component_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")))
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            "component_id",
-            F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        )
+    # Rows that are linked with nothing meet no label, and those of common classes a broadcast one; so no key of the join has many rows.
+    is_common = F.col("copies") * COMMON > total
+    common = done.filter(is_common).select("low", "high", "label", F.lit(True).alias("is_common"))
+    single = (F.col("n") == 0) | F.col("doc_id").isNull()
+    marked = profiled.join(F.broadcast(common), ["low", "high"], "left")
+    settled = marked.filter(single | F.col("is_common").isNotNull()).select("doc_id", "n", F.when(single, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+    rest = marked.filter(~single & F.col("is_common").isNull()).select("doc_id", "n", "low", "high").join(done.filter(~is_common), ["low", "high"])
+    return settled.union(rest.select("doc_id", "n", F.col("label").alias("component_id"))).select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
 
 
@@ -233,8 +241,8 @@ def _near_labels(
     with_words = profiles.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.table(
         with_words.groupBy("low", "high").agg(
-            F.min("doc_id").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "bands", "sketch")]
-        ).select("low", "high", F.struct("id", "low").alias("node"), "n", "bands", "sketch")
+            F.min("doc_id").alias("id"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "bands", "sketch")]
+        ).select("low", "high", "copies", F.struct("id", "low").alias("node"), "n", "bands", "sketch")
     )
     banded = classes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
     shared = scratch.table(banded.groupBy("band", "hash").agg(F.count("*").alias("size")).filter("size > 1").select("band", "hash"))
@@ -307,13 +315,15 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between labels from all pairs of members that a bucket still holds, and how many pairs were compared.
 
     A bucket is cut into blocks, of BLOCK_ROWS rows up to 64 blocks and of up to 16 times as many beyond, so that a set is copied
-    64 times in a bucket of a million members. A task compares two blocks tile by tile, by products of their incidence matrices,
-    and gives out the linked labels only, so no pairs are written and no task gets more than two blocks.
+    64 times in a bucket of a million members; a bucket of long sets is cut into as many blocks as hold BLOCK_SHINGLES each. A task
+    compares two blocks tile by tile, by products of their incidence matrices, and gives out the linked labels only, so no pairs
+    are written and no task gets more than two blocks.
     """
     rows = F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(16 * BLOCK_ROWS), F.ceil(F.col("size") / 64)))
-    blocks = F.ceil(F.col("size") / rows).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / rows), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(-1)), blocks).cast("int")
-    placed = live.join(sets, "node").select("band", "hash", "label", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    shingles = live.groupBy("band", "hash").agg(F.sum("n").alias("shingles"))
+    placed = live.join(shingles, ["band", "hash"]).join(sets, "node").select("band", "hash", "label", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     keyed = placed.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label.id", "label.low", "set")
     return keyed.groupBy("band", "hash", "i", "j").applyInPandas(_linker(percent), "a long, a_low long, b long, b_low long, pairs long")
 

@@ -262,6 +262,20 @@ def test_substring_dedup(docs, rows, monkeypatch):
     assert collect(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == _dedup(rows)
 
 
+def test_substring_dedup_parts_of_common_windows(spark, docs, rows, monkeypatch):
+    """Groups of one window are parted by block, whatever the number of parts; a window of every block makes no group of all blocks."""
+    monkeypatch.setattr(substring_dedup, "block_count", lambda n: 7)
+    for blocks in (1, 3):
+        monkeypatch.setattr(substring_dedup, "GROUP_BLOCKS", blocks)
+        assert collect(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == _dedup(rows)
+    monkeypatch.setattr(substring_dedup, "GROUP_BLOCKS", 100)
+    sent = spark.range(4000).selectExpr("id % 2 as low", "0L as high", "(id * 37) % 4001 as doc_id", "shiftleft(id, 32) + id % 5 as place")
+    later = substring_dedup._sent_earlier(sent, 4000)
+    first = {low: min((i * 37) % 4001 for i in range(low, 4000, 2)) for low in (0, 1)}
+    want = sorted((i, i % 5) for i in range(4000) if first[i % 2] < (i * 37) % 4001)
+    assert sorted((r["block"], r["place"] & 0xFFFFFFFF) for r in later.collect()) == want
+
+
 def test_rice_codes_round_trip():
     rng = np.random.default_rng(0)
     for n, width in ((1, 1), (1, 5), (3, 100), (5000, 40_000_000), (700, 70_000), (500, 600)):
@@ -385,6 +399,29 @@ def test_near_dedup_chains_need_the_rest(spark, monkeypatch):
     assert collect(near_dedup.near_groups(df), "doc_id", "n_shingles", "component_id") == _groups(chain, 2)
 
 
+def test_near_dedup_of_common_classes(spark, monkeypatch):
+    """Half of the rows wordless, a third copies of one text: both are labelled apart from the join of the rest."""
+    texts = ["" if k % 2 else " ".join(BASE) if k % 3 == 0 else f"own text of number {k % 50}" for k in range(400)]
+    rows = [(k if k % 17 else None, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for common in (4, near_dedup.COMMON):
+        monkeypatch.setattr(near_dedup, "COMMON", common)
+        assert collect(near_dedup.near_groups(df), "doc_id", "n_shingles", "component_id") == _groups(rows, 2)
+
+
+def test_rest_cuts_buckets_of_long_sets(spark, monkeypatch):
+    """Blocks are bounded by shingles too, and still every pair is compared once."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 5_000)
+    sets = [[k * 10_000 + j for j in range(1_000)] for k in range(20)] + [[j for j in range(50, 1_000)]]
+    node = "struct<id:bigint,low:bigint>"
+    df = spark.createDataFrame([((k, 0), s, (k, 0)) for k, s in enumerate(sets)], f"node {node}, set array<long>, label {node}")
+    live = df.selectExpr("1 as band", "2L as hash", "node", "size(set) as n", "label", "21L as size", "false as centre")
+    out = near_dedup._rest(live, df.select("node", "set"), 80)
+    assert out.filter("pairs is not null").count() > 1  # several pairs of blocks
+    assert out.agg({"pairs": "sum"}).first()[0] == 21 * 20 // 2
+    assert [(r["a"]["id"], r["b"]["id"]) for r in near_dedup._named(out).collect()] == [(0, 20)]
+
+
 def test_similar_sets_equal_brute_force():
     rng = np.random.default_rng(8)
     make = lambda k: [np.unique(rng.integers(0, 40, int(rng.integers(1, 30)))).astype(np.int64) * 7919 for _ in range(k)]
