@@ -31,6 +31,8 @@ CELLS_PER_WINDOW = 4
 #: Together they hold the sketch of about 5 TB of text; beyond that it gets more crowded, passes more windows on and still loses
 #: none. On executors with more memory SLICE_CELLS is the parameter to raise.
 SLICE_CELLS, MAX_SLICES = 1 << 26, 1 << 16
+#: Cells of a slice that are counted at a time.
+PART_CELLS = 1 << 22
 #: Blocks whose rows of one window are compared in one group, at most; groups of one window then meet by their least doc_ids.
 GROUP_BLOCKS = 1 << 16
 _U64 = np.uint64
@@ -189,11 +191,17 @@ def _stripped(docs: DataFrame, window: int, carry: Sequence[str], output: Callab
         return _table(found, slice=pa.int32(), row=pa.int32(), block=pa.int32(), data=pa.binary())
 
     def merge(rows: pa.Table) -> pa.Table:
-        blocks = np.zeros(width, np.uint8)
         cells = [unpack(x.as_py()).astype(np.uint32) for x in rows["data"]]
-        for own in cells:
-            blocks[own] = np.minimum(blocks[own] + 1, 2)
-        bits = pa.array([np.packbits(blocks[own] > 1).tobytes() for own in cells], pa.binary())
+        held = [np.zeros(len(own), bool) for own in cells]
+        for low in range(0, width, PART_CELLS):  # cells are in order, so a part of the slice at a time is in memory
+            blocks = np.zeros(min(PART_CELLS, width - low), np.uint8)
+            spans = [slice(*np.searchsorted(own, np.array([low, low + PART_CELLS], np.uint32))) for own in cells]
+            places = [own[span] - np.uint32(low) for own, span in zip(cells, spans, strict=True)]
+            for place in places:
+                blocks[place] = np.minimum(blocks[place] + 1, 2)
+            for bits, span, place in zip(held, spans, places, strict=True):
+                bits[span] = blocks[place] > 1
+        bits = pa.array([np.packbits(x).tobytes() for x in held], pa.binary())
         return rows.select(["block", "slice", "row"]).append_column("data", bits)
 
     def candidates(rows: pa.Table, answers: pa.Table) -> pa.Table:

@@ -258,6 +258,8 @@ def test_substring_dedup(docs, rows, monkeypatch):
     assert collect(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == _dedup(rows)
     monkeypatch.setattr(substring_dedup, "SLICE_CELLS", 300)  # several slices
     assert collect(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == _dedup(rows)
+    monkeypatch.setattr(substring_dedup, "PART_CELLS", 70)  # and each counted in parts
+    assert collect(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == _dedup(rows)
     monkeypatch.setattr(substring_dedup, "MAX_SLICES", 2)  # a crowded sketch loses nothing
     assert collect(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == _dedup(rows)
 
