@@ -144,11 +144,15 @@ def _swept(pairs: DataFrame, distance: int) -> DataFrame:
     return marked.select("symbol", "p", "t", (F.col("taken") | (F.col("_free") & odd)).alias("taken"))
 
 
-def shares_history(quarterly: DataFrame, annual: DataFrame) -> DataFrame:
-    """Distinct symbol, date, shares from net profit / EPS of two EAV tables; only positive counts."""
+def shares_history(quarterly: DataFrame, annual: DataFrame, digits: int | None = None) -> DataFrame:
+    """Distinct symbol, date, shares from net profit / EPS of two EAV tables; only positive counts.
+
+    digits rounds the values first: sums that differ only by the order they were added in then give one row, not two.
+    """
     from .fundamentals import eav_pivot
 
-    both = [eav_pivot(x, ["NP", "EPS"]).select("id", "date", F.try_divide("NP", "EPS").alias("shares")) for x in (quarterly, annual)]
+    value = F.round("value", digits) if digits is not None else F.col("value")
+    both = [eav_pivot(x.withColumn("value", value), ["NP", "EPS"]).select("id", "date", F.try_divide("NP", "EPS").alias("shares")) for x in (quarterly, annual)]
     return both[0].union(both[1]).filter("shares > 0").distinct().withColumnRenamed("id", "symbol")
 
 
