@@ -48,15 +48,48 @@ def stream_bars(spark: SparkSession, source: str, target: str, checkpoint: str,
     )
 
 
+_PRICE = ["symbol", "ts", "close"]
+
+
+def _records(parts: Iterator[pd.DataFrame], least: int = 100_000) -> Iterator[pd.DataFrame]:
+    """The bars of each symbol that close below or above all before them, with the lowest and the highest close before."""
+    kept, waiting, n = pd.DataFrame(), [], 0
+
+    def thinned() -> pd.DataFrame:  # records of records are records, so parts may come in any order
+        rows = pd.concat([kept[_PRICE], *waiting] if len(kept) else waiting, ignore_index=True).sort_values(["symbol", "ts"], kind="stable", ignore_index=True)
+        by = rows.groupby("symbol", sort=False)
+        rows["lowest"], rows["highest"] = (x.groupby(rows["symbol"], sort=False).shift() for x in (by["close"].cummin(), by["close"].cummax()))
+        return rows[rows["lowest"].isna() | (rows["close"] < rows["lowest"]) | (rows["close"] > rows["highest"])]
+
+    for part in parts:
+        waiting.append(part)
+        n += len(part)
+        if n > max(least, len(kept)):
+            kept, waiting, n = thinned(), [], 0
+    if waiting:
+        kept = thinned()
+    if len(kept):
+        yield kept
+
+
 def stream_alerts(bars: DataFrame, positions: DataFrame) -> DataFrame:
     """position_id, symbol, reason, price, ts: one alert for each open position and reason, from a stream of bars (symbol, ts, close).
 
     What has been said is kept for good, so a position that stays below its stop isn't said again however long it does; that state
-    has at most two rows for each position. Late bars count like any other.
+    has at most two rows for each position. Late bars count like any other. In a batch the first bar beyond a level is one that
+    closes beyond all before it, so positions meet those few and not all bars of their symbol, and only the first is looked up in the state.
+    A close that isn't a number is no price.
     """
+    kind = dict(bars.dtypes)["symbol"]
     open_ = positions.filter("status = 'open'").select("position_id", "symbol", "stop", "target")
-    joined = bars.join(open_, "symbol")
-    reason = F.when(F.col("close") <= F.col("stop"), "stop_hit").when(F.col("close") >= F.col("target"), "target_hit")
+    prices = bars.filter("close is not null and not isnan(close)").select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col("close").cast("double").alias("close"))
+    records = prices.repartition("symbol").mapInPandas(_records, f"symbol {kind}, ts timestamp, close double, lowest double, highest double")
+    joined = records.join(open_, "symbol")
+    at_stop = F.coalesce(F.col("close") <= F.col("stop"), F.lit(False))
+    before = F.coalesce(F.col("lowest") <= F.col("stop"), F.lit(False))
+    at_target = ~at_stop & (F.col("close") >= F.col("target"))
+    above = (F.col("highest") >= F.col("target")) & ~F.coalesce(F.col("highest") <= F.col("stop"), F.lit(False))
+    reason = F.when(at_stop & ~before, "stop_hit").when(at_target & ~F.coalesce(above, F.lit(False)), "target_hit")
     hits = joined.withColumn("reason", reason).filter("reason is not null")
     return hits.select("position_id", "symbol", "reason", F.col("close").alias("price"), "ts").dropDuplicates(["position_id", "reason"])
 

@@ -150,6 +150,15 @@ def test_reverse_split_keeps_direction(spark):
     assert [r[0] for r in df.select(actions.snap_ratio(F.col("g"), 0.05)).collect()] == [0.1, 2.0, None]
 
 
+def test_sums_added_in_another_order_are_one_count(spark):
+    """Both tables hold one sum of 0.1, 0.2 and 0.3, each added in an order of its own; another value stays a row of its own."""
+    table = lambda np: spark.createDataFrame([(1, D(2020, 3, 31), "NP", np), (1, D(2020, 3, 31), "EPS", 3.0)], "id int, date date, metric string, value double")
+    one, other = (0.1 + 0.2) + 0.3, 0.1 + (0.2 + 0.3)
+    assert one != other
+    assert [r["shares"] for r in actions.shares_history(table(one), table(other), digits=6).collect()] == [pytest.approx(0.2)]
+    assert actions.shares_history(table(one), table(0.7), digits=6).count() == 2
+
+
 def test_rename_is_not_a_death(spark):
     rows = [("OLD", "I1", D(2020, 1, 1)), ("NEW", "I1", D(2021, 1, 1)), ("GONE", "I2", D(2020, 1, 1)), ("NEW2", "I3", D(2021, 1, 1))]
     df = spark.createDataFrame([(s, i, d, 1e6, 1e6) for s, i, d in rows], "symbol string, isin string, date date, close double, volume double")
@@ -289,6 +298,25 @@ def test_alert_stream_says_each_hit_once(spark, tmp_path):
     assert sorted((r["position_id"], r["reason"]) for r in spark.table("alerts_seen").collect()) == [("p1", "stop_hit"), ("p1", "target_hit")]
 
 
+def test_alert_stream_meets_first_bars_beyond_levels(spark):
+    """What goes on to meet positions are new lows and highs only, in whatever order bars come, and they hit every level that any bar hits, first."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = [(s, pd.Timestamp(2020, 1, 1) + pd.Timedelta(minutes=t), float(rng.randint(50, 150))) for s in "ab" for t in range(500)]
+    mixed = pd.DataFrame(rng.sample(rows, len(rows)), columns=["symbol", "ts", "close"])
+    got = pd.concat(jobs._records((mixed[i::7] for i in range(7)), least=200))
+    assert len(got) < 60
+    for s in "ab":
+        own = [r for r in rows if r[0] == s]
+        for level in range(50, 150, 7):
+            mine = got[(got["symbol"] == s) & (got["close"] <= level) & ~(got["lowest"] <= level)]
+            first = next(r for r in own if r[2] <= level) if any(r[2] <= level for r in own) else None
+            assert [(r.ts, r.close) for r in mine.itertuples()] == ([first[1:]] if first else [])
+
+
 def test_alerts_follow_positions(spark, tmp_path):
     """A position closed midway frees its state and is silent; another opened midway is seen; what was said isn't said again."""
     prices, events = str(tmp_path / "bars"), str(tmp_path / "positions")
