@@ -66,12 +66,13 @@ def first_touch(
     fills at the open. trailing is the ATR multiple (bars need atr) under the running peak, through yesterday unless peak_today. With
     entry_day=False (fills at the close) the entry's own bar can't exit. max_hold counts calendar days, at least so many.
 
-    Stops and targets that stay where they are go by an index of each symbol's monthly extremes: a span meets the days of those months
-    only that can touch a level, up to the first one that must; its other events are looked up one by one. A trailing stop depends on
+    Stops and targets that stay where they are go by months: a symbol's month is one row of its extremes and its days, at most 31, and
+    a span meets the months that it reaches into. One join and one grouping give all events; days are looked at for levels only where the
+    extremes reach one. bars may bring the number of their month (month_number) as `month`. A trailing stop depends on
     every day since the entry, so there a span meets them all.
     """
     if trailing is None:
-        return _by_zones(spans, bars, entry_day, max_hold, delisted, keys)
+        return _by_months(spans, bars, entry_day, max_hold, delisted, keys)
     span = [*keys, "symbol", "entry_date"]
     b = bars.select(F.col("symbol").alias("_symbol"), "date", "open", "high", "low", "close", "atr")
     over = spans.join(b, (F.col("symbol") == F.col("_symbol")) & F.col("date").between(F.col("entry_date"), F.col("exit_date")))
@@ -88,7 +89,7 @@ def first_touch(
     live = whole if entry_day else whole & (F.col("date") > F.col("entry_date"))
     hit_stop = live & (F.col("low") <= stop)
     hit_target = live & (F.col("high") >= F.col("target"))
-    at_stop, at_target = _fills(stop, F.col("target"))
+    at_stop, at_target = _fills(stop, F.col("target"), F.col("open"))
     timed = live & (F.datediff("date", "entry_date") >= max_hold) if max_hold else F.lit(False)
     ended = F.col("date") == F.col("last_date") if delisted else F.lit(False)
     planned = F.col("date") == F.col("exit_date")
@@ -120,9 +121,8 @@ def _event(when: Column, date: Column, priority: int, price: Column, reason: Col
     return F.when(when, F.struct(date.alias("d"), F.lit(priority).alias("p"), price.alias("price"), reason.alias("reason")))
 
 
-def _fills(stop: Column, target: Column) -> tuple[Column, Column]:
+def _fills(stop: Column, target: Column, opened: Column) -> tuple[Column, Column]:
     """What a stop and a target fill at: their level, or the open where it is beyond the level."""
-    opened = F.col("open")
     return F.when(opened.isNull() | (opened >= stop), stop).otherwise(opened), F.when(opened.isNull() | (opened <= target), target).otherwise(opened)
 
 
@@ -133,7 +133,7 @@ def _with_exits(spans: DataFrame, found: DataFrame, span: Sequence[str]) -> Data
     )
 
 
-def _month(date: str) -> Column:
+def month_number(date: str) -> Column:
     return F.year(date) * 12 + F.month(date)
 
 
@@ -142,52 +142,69 @@ def touchable_days(spans: DataFrame, bars: DataFrame, span: Sequence[str]) -> Da
 
     Months after the first that lies whole within the span and reaches one are left out, as one of its days touches for sure.
     """
-    zones = bars.groupBy(F.col("symbol").alias("_symbol"), _month("date").alias("_month")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
-    months = spans.select(*span, "exit_date", "stop", "target", F.explode(F.sequence(_month("entry_date"), _month("exit_date"))).alias("_m"))
+    zones = bars.groupBy(F.col("symbol").alias("_symbol"), month_number("date").alias("_month")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+    months = spans.select(*span, "exit_date", "stop", "target", F.explode(F.sequence(month_number("entry_date"), month_number("exit_date"))).alias("_m"))
     reached = months.join(zones, (F.col("symbol") == F.col("_symbol")) & (F.col("_m") == F.col("_month"))).filter("_low <= stop or _high >= target")
-    sure = (F.col("_m") > _month("entry_date")) & (F.col("_m") < _month("exit_date"))
+    sure = (F.col("_m") > month_number("entry_date")) & (F.col("_m") < month_number("exit_date"))
     reached = reached.withColumn("_sure", F.min(F.when(sure, F.col("_m"))).over(Window.partitionBy(*span))).filter("_sure is null or _m <= _sure")
     reached = reached.drop("_symbol", "_month", "_low", "_high", "_sure")
-    days = bars.select(F.col("symbol").alias("_symbol"), _month("date").alias("_month"), "date", "open", "high", "low", "close")
+    days = bars.select(F.col("symbol").alias("_symbol"), month_number("date").alias("_month"), "date", "open", "high", "low", "close")
     met = reached.join(days, (F.col("symbol") == F.col("_symbol")) & (F.col("_m") == F.col("_month")))
     return met.filter("date between entry_date and exit_date").drop("_symbol", "_month", "_m")
 
 
-def _by_zones(spans: DataFrame, bars: DataFrame, entry_day: bool, max_hold: int | None, delisted: bool, keys: Sequence[str]) -> DataFrame:
+def _by_months(spans: DataFrame, bars: DataFrame, entry_day: bool, max_hold: int | None, delisted: bool, keys: Sequence[str]) -> DataFrame:
     span = [*keys, "symbol", "entry_date"]
-    b = bars.select("symbol", "date", "open", "high", "low", "close")
-    whole = b.filter("high is not null and low is not null and close is not null")
-    own = spans.filter("entry_date <= exit_date").select(*span, "exit_date", "exit_reason", "stop", "target")
-    days = touchable_days(own, whole, span)
-    if not entry_day:
-        days = days.filter("date > entry_date")
-    stop, target = F.col("stop"), F.col("target")
-    at_stop, at_target = _fills(stop, target)
-    touched = F.coalesce(
-        _event(F.col("low") <= stop, F.col("date"), 1, at_stop, F.lit("stop")), _event(F.col("high") >= target, F.col("date"), 2, at_target, F.lit("target"))
+    month = F.col("month") if "month" in bars.columns else month_number("date")
+    day = F.struct("date", "open", "high", "low", "close")
+    whole = lambda x: x["high"].isNotNull() & x["low"].isNotNull() & x["close"].isNotNull()
+    full = whole({c: F.col(c) for c in ("high", "low", "close")})
+    months = bars.groupBy(F.col("symbol").alias("_symbol"), month.alias("_month")).agg(
+        F.min(F.when(full, F.col("low"))).alias("_low"), F.max(F.when(full, F.col("high"))).alias("_high"), F.collect_list(day).alias("_days")
     )
-    touched = days.groupBy(*span).agg(F.min(touched).alias("_touched"))
-    # the last day in reach, on the planned date or before it
-    last = asof_join(own, b.select("symbol", F.col("date").alias("_last"), F.col("open").alias("_open"), F.col("close").alias("_close")), "symbol", "exit_date", "_last", how="inner")
-    last = last.filter("_last >= entry_date")
-    planned, rebalanced = F.col("_last") == F.col("exit_date"), F.col("exit_reason") == "rebalance"
+    own = spans.drop("entry").filter("entry_date <= exit_date")
+    asked = own.select(*span, "exit_date", "stop", "target", F.explode(F.sequence(month_number("entry_date"), month_number("exit_date"))).alias("_m"))
+    met = asked.join(months, (F.col("symbol") == F.col("_symbol")) & (F.col("_m") == F.col("_month")))
+    met = met.withColumn("_days", F.filter("_days", lambda x: x["date"].between(F.col("entry_date"), F.col("exit_date"))))
+    stop, target = F.col("stop"), F.col("target")
+
+    def touch(x: Column) -> Column:
+        at_stop, at_target = _fills(stop, target, x["open"])
+        return F.coalesce(
+            _event(x["low"] <= stop, x["date"], 1, at_stop, F.lit("stop")), _event(x["high"] >= target, x["date"], 2, at_target, F.lit("target"))
+        )
+
+    live = lambda x: whole(x) if entry_day else whole(x) & (x["date"] > F.col("entry_date"))
+    reached = (F.col("_low") <= stop) | (F.col("_high") >= target)
+    found = {
+        "_touched": F.min(F.when(reached, F.array_min(F.transform(F.filter("_days", live), touch)))),
+        # the last day in reach, on the planned date or before it
+        "_end": F.max(F.array_max(F.transform("_days", lambda x: F.struct(x["date"].alias("date"), x["open"].alias("open"), x["close"].alias("close"))))),
+        "entry": F.max(F.get(F.filter("_days", lambda x: x["date"] == F.col("entry_date")), 0)["open"]),
+    }
+    if max_hold:
+        due = lambda x: whole(x) & (F.datediff(x["date"], "entry_date") >= max_hold)
+        found["_timed"] = F.min(F.array_min(F.transform(F.filter("_days", due), lambda x: F.struct(x["date"].alias("date"), x["close"].alias("close")))))
+    found = met.groupBy(*span).agg(*[c.alias(name) for name, c in found.items()]).filter("_end is not null")
+    last = own.join(found, span)
+    planned, rebalanced = F.col("_end.date") == F.col("exit_date"), F.col("exit_reason") == "rebalance"
     events = [
         F.col("_touched"),
-        _event(planned & rebalanced, F.col("_last"), 0, F.coalesce("_open", "_close"), F.col("exit_reason")),
-        _event(planned & ~rebalanced, F.col("_last"), 5, F.col("_close"), F.col("exit_reason")),
-        _event(~planned, F.col("_last"), 6, F.col("_close"), F.col("exit_reason")),
+        _event(planned & rebalanced, F.col("_end.date"), 0, F.coalesce("_end.open", "_end.close"), F.col("exit_reason")),
+        _event(planned & ~rebalanced, F.col("_end.date"), 5, F.col("_end.close"), F.col("exit_reason")),
+        _event(~planned, F.col("_end.date"), 6, F.col("_end.close"), F.col("exit_reason")),
     ]
     if max_hold:
-        later = whole.select("symbol", F.col("date").alias("_timed"), F.col("close").alias("_timed_close"))
-        last = asof_join(last.withColumn("_due", F.date_add("entry_date", max_hold)), later, "symbol", "_due", "_timed", forward=True)
-        events.append(_event(F.col("_timed") <= F.col("exit_date"), F.col("_timed"), 3, F.col("_timed_close"), F.lit("time")))
+        events.append(_event(F.col("_timed").isNotNull(), F.col("_timed.date"), 3, F.col("_timed.close"), F.lit("time")))
     if delisted:
         gone = delisting_dates(bars).select("symbol", F.col("last_date").alias("_gone"), F.col("last_close").alias("_gone_close"))
         last = last.join(gone, "symbol", "left")
         events.append(_event(F.col("_gone").between(F.col("entry_date"), F.col("exit_date")), F.col("_gone"), 4, F.col("_gone_close"), F.lit("delisted")))
-    first = last.join(touched, span, "left").select(*span, F.array_min(F.array_compact(F.array(*events))).alias("x"))
-    entry = b.select("symbol", F.col("date").alias("entry_date"), F.col("open").alias("entry"))
-    return _with_exits(spans, first.join(entry, ["symbol", "entry_date"], "left"), span)
+    x = F.array_min(F.array_compact(F.array(*events)))
+    rest = [c for c in spans.columns if c not in (*span, "exit_date", "exit_reason", "entry")]
+    return last.withColumn("x", x).select(
+        *span, *rest, "entry", F.col("x.d").alias("exit_date"), F.col("x.price").alias("exit"), F.col("x.reason").alias("exit_reason")
+    )
 
 
 def trade_outcomes(exits: DataFrame, cost_mult: float = 1.0, buy_rate: float = BUY_RATE, sell_rate: float = SELL_RATE, flat: float = SELL_FLAT) -> DataFrame:

@@ -461,7 +461,7 @@ trades AS (SELECT tr.*, ov.open AS entry, ov.open - ov.stop AS risk FROM tr JOIN
 def _trades(s, d):
     """A trade for every position, some of one symbol and day."""
     sp = fx.positions(s, d).select("position_id", "symbol", "entry_date", F.date_add("entry_date", 120).alias("exit_date"), F.lit("end").alias("exit_reason"), "stop", "target")
-    out = outcomes.first_touch(sp, fx.bars(s, d), max_hold=60, keys=["position_id"])
+    out = outcomes.first_touch(sp, fx.bars_by_month(s, d), max_hold=60, keys=["position_id"])
     return out.withColumn("risk", C("entry") - C("stop"))
 
 

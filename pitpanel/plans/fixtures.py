@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.outcomes import month_number
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _bars(lines: DataFrame, symbol: str) -> DataFrame:
+def _bars(lines: DataFrame, symbol: str, keys: Sequence[str] = ()) -> DataFrame:
     px = F.col("l_extendedprice") / F.col("l_quantity")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "px", "l_quantity", "l_discount")
     rows = lines.withColumn("px", px).select(
-        F.col(symbol).alias("symbol"), F.to_date("l_shipdate").alias("date"), "px", key.alias("k"), "l_quantity", "l_extendedprice",
+        F.col(symbol).alias("symbol"), F.to_date("l_shipdate").alias("date"), *keys, "px", key.alias("k"), "l_quantity", "l_extendedprice",
         (F.col("px") * (1 - F.col("l_discount"))).alias("adj"),
     )
-    return rows.groupBy("symbol", "date").agg(
+    return rows.groupBy("symbol", "date", *keys).agg(
         F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "k").alias("close"),
         F.max_by("adj", "k").alias("adj_close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("turnover"),
     )
@@ -27,6 +31,12 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
     return _bars(table(spark, d, "lineitem"), "l_suppkey")
 
 
+def bars_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """bars with their month, parted by symbol and month from the start, so that what groups by these moves no bar again."""
+    lines = table(spark, d, "lineitem").withColumn("month", month_number("l_shipdate"))
+    return _bars(lines.repartition("l_suppkey", "month"), "l_suppkey", ["month"])
+
+
 def brand_bars(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     return _bars(table(spark, d, "lineitem").join(part, "l_partkey"), "p_brand")

@@ -307,3 +307,11 @@ def test_zones_prune_days(spark):
     assert 200 * 20 < met < 200 * 40 and 200 * 3640 > 90 * met
     out = outcomes.first_touch(spans, bars, keys=["id"])
     assert out.filter("exit_reason = 'target'").count() == 200
+
+
+def test_first_touch_moves_bars_once(spark, sf):
+    """One shuffle of the lines that bars come from, one of the months of spans, one of what they find, and the positions it is put beside."""
+    from pitpanel.plans import catalog_more
+
+    plan = catalog_more.i2_i4_first_touch(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and plan.count("lineitem.parquet") <= 3
