@@ -41,14 +41,14 @@ def share_proxies(eav: DataFrame, hist: DataFrame) -> DataFrame:
     from .fundamentals import eav_pivot
 
     wide = eav_pivot(eav, ["NP", "EPS", "EQUITY", "BVPS"])
-    parts = [
-        wide.filter("EPS > 0").select("id", "date", F.try_divide("NP", "EPS").alias("shares"), F.lit("np_eps").alias("source")),
-        wide.filter("BVPS > 0").select("id", "date", F.try_divide("EQUITY", "BVPS").alias("shares"), F.lit("equity_bvps").alias("source")),
-        hist.filter("eps > 0").select(
-            "id", F.col("period_end").alias("date"), F.try_divide("net_profit_owner", "eps").alias("shares"), F.lit("owner_eps").alias("source")
-        ),
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    proxy = lambda total, per, source: F.struct(
+        "id", "date", F.when(F.col(per) > 0, F.try_divide(total, per)).alias("shares"), F.lit(source).alias("source")
+    )
+    both = wide.select(F.inline(F.array(proxy("NP", "EPS", "np_eps"), proxy("EQUITY", "BVPS", "equity_bvps"))))  # one pivot for both
+    owner = hist.filter("eps > 0").select(
+        "id", F.col("period_end").alias("date"), F.try_divide("net_profit_owner", "eps").alias("shares"), F.lit("owner_eps").alias("source")
+    )
+    out = both.unionByName(owner)
     return out.filter("shares > 0").withColumnRenamed("id", "symbol")
 
 

@@ -315,3 +315,13 @@ def test_first_touch_moves_bars_once(spark, sf):
 
     plan = catalog_more.i2_i4_first_touch(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 4 and plan.count("lineitem.parquet") <= 3
+
+
+def test_share_proxies_pivot_once(spark):
+    """The proxies of one table come from one pivot of it; a task of three pivots side by side held three tables of groups."""
+    eav = spark.createDataFrame([(1, D0, m, v) for m, v in (("NP", 6.0), ("EPS", 2.0), ("EQUITY", 8.0), ("BVPS", 4.0))] + [(2, D0, "NP", 5.0), (2, D0, "EPS", -1.0)], "id int, date date, metric string, value double")
+    hist = spark.createDataFrame([(1, D0, 10.0, 2.0)], "id int, period_end date, net_profit_owner double, eps double")
+    out = actions.share_proxies(eav, hist)
+    assert sorted((r["symbol"], r["shares"], r["source"]) for r in out.collect()) == [(1, 2.0, "equity_bvps"), (1, 3.0, "np_eps"), (1, 5.0, "owner_eps")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
