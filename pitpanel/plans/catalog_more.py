@@ -86,8 +86,11 @@ def f6_adjustment_factors(s, d):
   b.symbol IN (SELECT symbol FROM g WHERE ratio > 1.35 OR ratio < 1 / 1.35) AND b.symbol NOT IN (SELECT symbol FROM ev) AS ca_uncertain
 FROM bars b LEFT JOIN (SELECT symbol, max(mcap) AS peak FROM mcap GROUP BY symbol) p ON p.symbol = b.symbol WHERE b.symbol % 5 = 0 GROUP BY b.symbol""")
 def f7_delistings(s, d):
-    b = fx.bars(s, d)
-    out = actions.delistings(b, b.filter("symbol % 5 = 0"), _events(s, d), actions.gap_candidates(b), fx.mcap(s, d))
+    # only dead symbols ask for gaps, events and values
+    b, dead = fx.bars(s, d), "symbol % 5 = 0"
+    gaps = actions.gap_candidates(b.filter(dead))
+    events = actions.confirm_actions(gaps, actions.share_steps(_shares(s, d).filter(dead)))
+    out = actions.delistings(b, b.filter(dead), events, gaps, fx.mcap(s, d).filter(dead))
     return out.withColumn("peak_mcap", F.round("peak_mcap", 4))
 
 

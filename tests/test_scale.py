@@ -322,6 +322,24 @@ def test_share_proxies_pivot_once(spark):
     eav = spark.createDataFrame([(1, D0, m, v) for m, v in (("NP", 6.0), ("EPS", 2.0), ("EQUITY", 8.0), ("BVPS", 4.0))] + [(2, D0, "NP", 5.0), (2, D0, "EPS", -1.0)], "id int, date date, metric string, value double")
     hist = spark.createDataFrame([(1, D0, 10.0, 2.0)], "id int, period_end date, net_profit_owner double, eps double")
     out = actions.share_proxies(eav, hist)
-    assert sorted((r["symbol"], r["shares"], r["source"]) for r in out.collect()) == [(1, 2.0, "equity_bvps"), (1, 3.0, "np_eps"), (1, 5.0, "owner_eps")]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+    assert sorted((r["symbol"], r["shares"], r["source"]) for r in out.collect()) == [(1, 2.0, "equity_bvps"), (1, 3.0, "np_eps"), (1, 5.0, "owner_eps")]
+
+
+def test_bar_files_derive_bars_once(spark, sf, monkeypatch):
+    from pitpanel.plans import catalog_sources
+    from pitpanel.plans import fixtures as fx
+
+    calls, bars = [], fx.bars
+    monkeypatch.setattr(fx, "bars", lambda s, d: calls.append(d) or bars(s, d))
+    path = catalog_sources._bar_files(spark, sf)
+    b = bars(spark, sf)
+    assert calls == [sf] and spark.read.parquet(path).count() == b.count() + b.filter("volume > 40").count()
+
+
+def test_delistings_ask_for_dead_symbols_only(spark, sf):
+    from pitpanel.plans import catalog_more
+
+    plan = catalog_more.f7_delistings(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("% 5) = 0)") >= 5
