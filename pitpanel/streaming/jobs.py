@@ -95,69 +95,85 @@ def stream_alerts(bars: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 ALERT_SCHEMA = "position_id string, symbol string, reason string, price double, ts timestamp"
-_HELD = "position_id string, stop double, target double, opened timestamp, said_stop boolean, said_target boolean"
+_SAID = "position_id string, symbol string, reason string, price double, at long"
+_HELD = "symbol string, position_id string, stop double, target double, opened long, said_stop boolean, said_target boolean"
 
 
 class _Levels(StatefulProcessor):
-    """The open positions of one symbol (or of one share of them) and which of their levels have been said."""
+    """The open positions of a group of symbols (or of one share of them) and which of their levels have been said; times are microseconds."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getListState("held", _HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         news = pd.concat(list(rows), ignore_index=True)
-        at = pd.to_datetime(news["ts"])
         is_bar = news["position_id"].isna()
-        bars = pd.DataFrame({"at": at, "close": news["close"]})[is_bar].sort_values("at", kind="stable")
-        changes = news.assign(at=at)[~is_bar].sort_values("at", kind="stable")
-        held = {r[0]: r for r in (tuple(r) for r in self.held.get())}
-        opened = changes[changes["status"] == "open"].drop_duplicates("position_id", keep="first")
-        for r in opened.itertuples(index=False):
-            held.setdefault(r.position_id, (r.position_id, r.stop, r.target, r.at.to_pydatetime(), False, False))
-        closed = changes[changes["status"] != "open"].groupby("position_id")["at"].max().to_dict()
-        when, close = bars["at"].to_numpy(), bars["close"].to_numpy(float)
-        said, still = [], []
-        for id_, stop, target, since, said_stop, said_target in held.values():
-            until = closed.get(id_)
-            live = when >= np.datetime64(since) if until is None else (when >= np.datetime64(since)) & (when < np.datetime64(until))
-            at_stop = live & (close <= np.nan if stop is None else close <= stop)
-            at_target = live & ~at_stop & (close >= np.nan if target is None else close >= target)
-            for already, hit, reason in ((said_stop, at_stop, "stop_hit"), (said_target, at_target, "target_hit")):
-                if not already and hit.any():
-                    first = int(hit.argmax())
-                    said.append((id_, str(key[0]), reason, close[first], pd.Timestamp(when[first])))
+        bars, changes = news[is_bar], news[~is_bar]
+        codes, symbols = pd.factorize(bars["symbol"])
+        order = np.lexsort((bars["at"], codes))  # the bars of one time stay in the order they came in
+        at, prices = bars["at"].to_numpy()[order], bars["close"].to_numpy(float)[order]
+        edges = np.searchsorted(codes[order], np.arange(len(symbols) + 1))
+        own = {symbol: (at[a:z], prices[a:z]) for symbol, a, z in zip(symbols, edges, edges[1:])}
+        held = {r[:2]: r for r in (tuple(r) for r in self.held.get())}
+        is_open = changes["status"] == "open"
+        for r in changes[is_open].sort_values("at", kind="stable").itertuples(index=False):
+            held.setdefault((r.symbol, r.position_id), (r.symbol, r.position_id, r.stop, r.target, r.at, False, False))
+        closed = changes[~is_open].sort_values("at")
+        closed = dict(zip(zip(closed["symbol"], closed["position_id"]), closed["at"]))
+        said, still, none = [], [], (at[:0], prices[:0])
+        for place, (symbol, id_, stop, target, since, said_stop, said_target) in held.items():
+            until = closed.get(place)
+            when, close = own.get(symbol, none)
+            begin = int(when.searchsorted(since))
+            live = close[begin : len(when) if until is None else max(begin, int(when.searchsorted(until)))]
+            at_stop = live <= (np.nan if stop is None else stop)
+            at_target = ~at_stop & (live >= (np.nan if target is None else target))
+            hit_stop, hit_target = bool(at_stop.any()), bool(at_target.any())
+            for already, hit, days, reason in ((said_stop, hit_stop, at_stop, "stop_hit"), (said_target, hit_target, at_target, "target_hit")):
+                if hit and not already:
+                    first = int(days.argmax())
+                    said.append((id_, symbol, reason, live[first], when[begin + first]))
             if until is None:
-                still.append((id_, stop, target, since, bool(said_stop or at_stop.any()), bool(said_target or at_target.any())))
+                still.append((symbol, id_, stop, target, since, said_stop or hit_stop, said_target or hit_target))
         if still:
             self.held.put(still)
         else:
             self.held.clear()
-        yield pd.DataFrame(said, columns=["position_id", "symbol", "reason", "price", "ts"])
+        yield pd.DataFrame(said, columns=["position_id", "symbol", "reason", "price", "at"])
 
     def close(self) -> None:
         pass
 
 
-def follow_alerts(bars: DataFrame, changes: DataFrame, shares: int = 1) -> DataFrame:
+def follow_alerts(bars: DataFrame, changes: DataFrame, shares: int = 1, groups: int = 4096) -> DataFrame:
     """position_id, symbol, reason, price, ts: the first stop and the first target hit of each position, while it is open.
 
     bars is a stream of (symbol, ts, close), changes one of (position_id, symbol, ts, status, stop, target): `open` opens a position, anything else
     closes it. A bar counts from the time of opening on and before that of closing, and of both levels the stop. State holds open
-    positions only, one list a symbol: closing frees it, and a position opened while the job runs is followed from then on. A batch takes
+    positions only: closing frees it, and a position opened while the job runs is followed from then on. A batch takes
     its rows by time, whatever order they came in; bars that come in a later batch than the closing aren't held against it, and a
-    position is opened once. shares parts a symbol with very many positions, each with a copy of its bars.
+    position is opened once. Without a symbol there is nothing to follow, and an opening or a bar without a time is none.
+
+    Symbols are dealt to so many groups, each with one list in the state: a call costs as much for one symbol as for a hundred. A group's rows of a
+    batch are in memory at once. shares parts symbols with very many positions, each with a copy of its bars. A checkpoint is for one number of both.
     """
-    share = F.pmod(F.xxhash64("position_id"), F.lit(shares)).cast("int")
-    events = changes.select(
-        F.col("symbol").cast("string").alias("symbol"), share.alias("share"), F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("double").alias("close"),
+    group = F.pmod(F.xxhash64("symbol"), F.lit(groups)).cast("int").alias("group")
+    share = F.pmod(F.xxhash64("position_id"), F.lit(shares)).cast("int").alias("share")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    known = changes.filter("position_id is not null and symbol is not null").withColumn("symbol", F.col("symbol").cast("string"))
+    # a closing without a time closes before all bars
+    events = known.filter("ts is not null or not status <=> 'open'").select(
+        group, share, "symbol", F.coalesce(at, F.lit(-(2**63))).alias("at"), F.lit(None).cast("double").alias("close"),
         F.col("position_id").cast("string").alias("position_id"), "status", F.col("stop").cast("double").alias("stop"), F.col("target").cast("double").alias("target"),
-    ).filter("position_id is not null")
-    prices = bars.filter("close is not null").select(
-        F.col("symbol").cast("string").alias("symbol"), F.explode(F.array(*[F.lit(k) for k in range(shares)])).alias("share"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    priced = bars.filter("close is not null and symbol is not null and ts is not null").withColumn("symbol", F.col("symbol").cast("string"))
+    prices = priced.select(
+        group, F.explode(F.array(*[F.lit(k) for k in range(shares)])).alias("share"), "symbol", at.alias("at"),
         F.col("close").cast("double").alias("close"), *[F.lit(None).cast(kind).alias(c) for c, kind in (("position_id", "string"), ("status", "string"), ("stop", "double"), ("target", "double"))],
     )
     both = events.unionByName(prices)
-    return both.groupBy("symbol", "share").transformWithStateInPandas(_Levels(), ALERT_SCHEMA, "Append", "None")
+    said = both.groupBy("group", "share").transformWithStateInPandas(_Levels(), _SAID, "Append", "None")
+    return said.select("position_id", "symbol", "reason", "price", F.timestamp_micros("at").alias("ts"))
 
 
 def start_with_state(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:

@@ -317,6 +317,38 @@ def test_alert_stream_meets_first_bars_beyond_levels(spark):
             assert [(r.ts, r.close) for r in mine.itertuples()] == ([first[1:]] if first else [])
 
 
+def test_alerts_follow_many_symbols_by_one_call():
+    """A call and a list in the state hold all symbols of a group, in batches of any cut, and equal positions looked at one by one."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rng, kept = random.Random(5), []
+    levels = jobs._Levels()
+    levels.init(SimpleNamespace(getListState=lambda *_: SimpleNamespace(get=lambda: iter(kept), put=lambda rows: kept.__setitem__(slice(None), rows), clear=kept.clear)))
+    symbols, columns = [f"s{k}" for k in range(12)], ["symbol", "at", "close", "position_id", "status", "stop", "target"]
+    # ids are those of one symbol, others have the same
+    spans = {(s, f"p{k}"): (a := rng.randint(0, 99), rng.choice([None, a + rng.randint(1, 80)]), rng.choice([None, rng.uniform(40, 70)]), rng.uniform(80, 110)) for s in symbols for k in range(6)}
+    closes = {(s, t): rng.choice([float("nan"), *[rng.uniform(40, 110)] * 9]) for s in symbols[1:] for t in rng.sample(range(200), 60)}
+    got = []
+    for lo, hi in ((0, 70), (70, 71), (71, 300)):
+        news = [(s, t, c, None, None, None, None) for (s, t), c in closes.items() if lo <= t < hi]
+        news += [(s, a, None, p, "open", stop, target) for (s, p), (a, _, stop, target) in spans.items() if lo <= a < hi]
+        news += [(s, z, None, p, "closed", None, None) for (s, p), (_, z, _, _) in spans.items() if z is not None and lo <= z < hi]
+        frame = pd.DataFrame(rng.sample(news, len(news)), columns=columns).astype({"close": float, "stop": float, "target": float})
+        out = pd.concat(levels.handleInputRows((0, 0), iter([frame[::2], frame[1::2]]), None))
+        got += [tuple(r) for r in out[["symbol", "position_id", "reason", "price", "at"]].itertuples(index=False)]
+    want = set()
+    for (s, p), (a, z, stop, target) in spans.items():
+        own = sorted((t, c) for (x, t), c in closes.items() if x == s and a <= t and (z is None or t < z))
+        below = lambda c: stop is not None and c <= stop
+        for reason, hit in (("stop_hit", below), ("target_hit", lambda c: c >= target and not below(c))):
+            want |= {(s, p, reason, c, t) for t, c in [r for r in own if hit(r[1])][:1]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+    assert {r[:2] for r in kept} == {k for k, v in spans.items() if v[1] is None}
+
+
 def test_alerts_follow_positions(spark, tmp_path):
     """A position closed midway frees its state and is silent; another opened midway is seen; what was said isn't said again."""
     prices, events = str(tmp_path / "bars"), str(tmp_path / "positions")
