@@ -13,8 +13,10 @@ hashes, of bounded size, which let some more phrases through but none escape; Sp
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import reduce
+from contextlib import ExitStack
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,11 @@ LEAST, LONGEST, LIMIT = 100, 5, 2000
 BLOCK_WORDS, OPEN_WORDS = 1 << 18, 1 << 20
 #: Bytes of a batch of blocks or texts, one block or two.
 BATCH = "2m"
+#: How blocks are written: Parquet would hold a hundred rows of them before it looks at their size, to write as to read them. So a page is one block and a
+#: row group a few, whatever a task reads.
+PARQUET = {"parquet.page.row.count.limit": 1, "parquet.block.row.count.limit": 4, "parquet.enable.dictionary": False, "parquet.column.statistics.enabled": False}
+#: Words of a block that two bytes can number, the end of a piece besides.
+NARROW = (1 << 16) - 1
 #: A round expands the words up to this many times as frequent as the rarest left.
 BAND = 32
 #: Shares of a language that are ranked apart before the best of all are.
@@ -47,21 +54,22 @@ class _Open:
     """The block of a language that is being filled."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {_CUT: -1}
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[_CUT] = 0
         self.codes, self.words = [], 0
 
     def add(self, texts: list[bytes]) -> None:
-        own, unique = word_codes([w for t in texts for w in (*pieces(t), _CUT)])
-        number = self.number
-        codes = np.fromiter((number.setdefault(w, len(number) - 1) for w in unique), np.int32, len(unique))[own]
-        self.codes.append(codes)
-        self.words += len(codes)
+        found = [w for t in texts for w in (*pieces(t), _CUT)]
+        self.codes.append(np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)))
+        self.words += len(found)
 
     def row(self, lang: bytes) -> tuple:
         codes, words = np.concatenate(self.codes), list(self.number)[1:]
+        self.number.default_factory = None  # a cycle, which would keep the words until it is looked for
         hashes = lang_hashes(lang, np.array(words, dtype=object))
-        counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
-        return lang, int(counts.sum()), b" ".join(words), counts.tobytes(), hashes.tobytes(), codes.tobytes()
+        n = int(np.count_nonzero(codes))
+        return lang, n, b" ".join(words), hashes.tobytes(), codes.astype(np.uint16 if len(words) <= NARROW else np.int32).tobytes()
 
 
 def lang_hashes(lang: bytes, words: np.ndarray) -> np.ndarray:
@@ -70,8 +78,8 @@ def lang_hashes(lang: bytes, words: np.ndarray) -> np.ndarray:
     return mix(word_hashes(np.arange(len(words)), words) ^ own)
 
 
-#: A block is a row: its words joined by one space, and arrays as bytes, which go to workers as they are.
-_BLOCKS = "lang binary, n long, words binary, counts binary, hashes binary, codes binary"
+#: A block is a row: its words joined by one space, and arrays as bytes, which go to workers as they are. Codes are places of words from 1 on, 0 ends a piece.
+_BLOCKS = "lang binary, n long, words binary, hashes binary, codes binary"
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +160,22 @@ def hash_bitmap(hashes: DataFrame, count: int) -> Broadcast:
 
 class _Block:
     def __init__(self, row: pa.RecordBatch):
-        self.lang, words = row.column("lang")[0].as_py(), row.column("words")[0].as_py()
-        self.words = np.array(words.split(b" ") if words else [], dtype=object)
+        self.row = row
         self.hashes = np.frombuffer(row.column("hashes")[0].as_py(), _U64)
-        self.counts = np.frombuffer(row.column("counts")[0].as_py(), np.int64)
-        self.codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
+        self.codes = np.frombuffer(row.column("codes")[0].as_py(), np.uint16 if len(self.hashes) <= NARROW else np.int32).astype(np.int32) - 1
+
+    @cached_property
+    def lang(self) -> bytes:
+        return self.row.column("lang")[0].as_py()
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        words = self.row.column("words")[0].as_py()
+        return np.array(words.split(b" ") if words else [], dtype=object)
+
+    def counts(self) -> np.ndarray:
+        """How often each word is in the block."""
+        return np.bincount(self.codes[self.codes >= 0], minlength=len(self.hashes))
 
     def flags(self, among: Bitmap) -> np.ndarray:
         """Which words may be among some; the last one, at place -1, is the end of a piece, which isn't."""
@@ -179,7 +198,7 @@ class _Block:
         """A place of each distinct phrase of `size` words at these places, and which phrase each place has."""
         group, first = self.codes[at].astype(np.int64), np.zeros(0, np.int64)
         for k in range(1, size):
-            _, first, group = np.unique(group * len(self.words) + self.codes[at + k], return_index=True, return_inverse=True)
+            _, first, group = np.unique(group * len(self.hashes) + self.codes[at + k], return_index=True, return_inverse=True)
         return at[first], group
 
     def strings(self, at: np.ndarray, size: int) -> list[bytes]:
@@ -194,7 +213,7 @@ def _hashed(size: int, words: Broadcast | None, firsts: Broadcast | None, prefix
             for i in range(batch.num_rows):
                 block = _Block(batch.slice(i, 1))
                 if size == 1:
-                    found, n = mix(block.hashes), block.counts
+                    found, n = mix(block.hashes), block.counts()
                 else:
                     at = block.starts(block.flags(firsts.value), block.flags(words.value), size)
                     if prefixes is not None and len(at):
@@ -214,7 +233,7 @@ def _counted(size: int, words: Broadcast | None, firsts: Broadcast | None, frequ
                 block = _Block(batch.slice(i, 1))
                 if size == 1:
                     own = np.flatnonzero(frequent.value(mix(block.hashes)))
-                    strings, n = block.words[own].tolist(), block.counts[own]
+                    strings, n = block.words[own].tolist(), block.counts()[own]
                 else:
                     at = block.starts(block.flags(firsts.value), block.flags(words.value), size)
                     first, group = block.grouped(at[frequent.value(block.hashed(at, size))], size)
@@ -243,7 +262,7 @@ def _looker(sizes: range, words: Broadcast, firsts: Broadcast, asked: Broadcast)
                     arrays = [pa.array([block.lang] * len(place), pa.binary()), pa.array(block.strings(place, size), pa.binary())]
                     arrays.append(pa.array(np.bincount(group), pa.int64()))
                     for beside in (codes[at - 1], codes[at + size]):
-                        low, high = np.full(len(place), len(block.words), np.int32), np.full(len(place), -1, np.int32)
+                        low, high = np.full(len(place), len(block.hashes), np.int32), np.full(len(place), -1, np.int32)
                         np.minimum.at(low, group, beside)
                         np.maximum.at(high, group, beside)
                         only = (low == high) & (low >= 0)
@@ -282,7 +301,7 @@ class _Mine:
         self.least, self.longest, self.limit, self.scratch = least, longest, limit, scratch
         lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang")
         text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
-        self.blocks = scratch.table(docs.select(lang, text).mapInArrow(_encode, _BLOCKS))
+        self.blocks = scratch.table(docs.select(lang, text).mapInArrow(_encode, _BLOCKS), **PARQUET)
         self.langs = scratch.table(_text(self.blocks.groupBy("lang").agg(F.sum("n").alias("n"))))
         self.words, self.any_word = self._frequent(1, None, None)
         self.best: DataFrame | None = None
@@ -293,7 +312,7 @@ class _Mine:
         Most phrases are rare, so they are counted by hash first; those with frequent hashes are then counted by their words.
         """
         words = None if size == 1 else self.any_word
-        hashed = self.blocks.mapInArrow(_hashed(size, words, firsts, prefixes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        hashed = self.blocks.select("hashes", "codes").mapInArrow(_hashed(size, words, firsts, prefixes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         hashed = self.scratch.table(hashed.filter(F.col("n") >= self.least).select("h"))
         frequent = hash_bitmap(hashed, hashed.count())
         found = _text(self.blocks.mapInArrow(_counted(size, words, firsts, frequent), "lang binary, phrase binary, n long"))
@@ -310,11 +329,17 @@ class _Mine:
 
     def expand(self, low: int, high: int) -> None:
         """A round: all candidates that begin with a word of the frontier seen low to high - 1 times."""
+        with ExitStack() as sent:
+            self._expand(low, high, lambda x: (sent.callback(x.destroy), x)[1])
+
+    def _expand(self, low: int, high: int, sent: Callable[[Broadcast], Broadcast]) -> None:
+        """A round; it writes all that it makes, so what it hands to `sent` isn't needed any more when it ends, and executors needn't hold it."""
         table = self.scratch.table
         band = table(self.frontier().filter(F.col("a").between(low, high - 1)).select("lang", "phrase", "a", "n", "last"))
-        firsts, grown, prefixes = bitmap(band), {1: self.words}, None
+        firsts, grown, prefixes = sent(bitmap(band)), {1: self.words}, None
         for size in range(2, self.longest + 1):
             found, prefixes = self._frequent(size, firsts, prefixes)
+            sent(prefixes)
             if found.isEmpty():
                 break
             grown[size] = found
@@ -326,7 +351,7 @@ class _Mine:
             asked = asked.union(likely.filter(F.col("size") > k).select("lang", F.substring_index("phrase", " ", -k).alias("phrase")))
         asked = table(asked.distinct())
         sizes = range(2, min(self.longest, max(grown) + 1))
-        look = _looker(sizes, self.any_word, bitmap(asked, _first(1)), bitmap(asked))
+        look = _looker(sizes, self.any_word, sent(bitmap(asked, _first(1))), sent(bitmap(asked)))
         seen = _text(self.blocks.mapInArrow(look, "lang binary, phrase binary, n long, before binary, after binary"))
         one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
         looked = seen.groupBy("lang", "phrase").agg(F.sum("n").alias("a"), (one("before") | one("after")).alias("held"))
@@ -371,6 +396,7 @@ class _Mine:
         if self.best is None:
             empty = "lang string, phrase string, a long, l long, r long, n long, score long, rank long"
             self.best = self.scratch.table(self.blocks.sparkSession.createDataFrame([], empty))
+        self.any_word.destroy()
         return self.best
 
 

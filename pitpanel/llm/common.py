@@ -69,9 +69,9 @@ def _shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def _written(df: DataFrame) -> tuple[str, DataFrame]:
+def _written(df: DataFrame, **options) -> tuple[str, DataFrame]:
     path = f"{_shared_folder(df.sparkSession)}/pitpanel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -99,8 +99,9 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.drop(*(t for _, t in self.tables))
 
-    def table(self, df: DataFrame) -> DataFrame:
-        self.tables.append(_written(df))
+    def table(self, df: DataFrame, **options) -> DataFrame:
+        """The rows as a table, written with these options of Parquet."""
+        self.tables.append(_written(df, **options))
         return self.tables[-1][1]
 
     def drop(self, *gone: DataFrame) -> None:

@@ -5,11 +5,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from pitpanel.llm import ball_simhash, collocations, crf_quality, mask_search, sharding
+from pitpanel.llm.common import Scratch
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CLASH = ("node", "variant", "a", "b", "label", "rows", "is_common", "known", "p", "n", "terms", "tf", "term", "score", "rank", "task", "h", "phrase", "words", "first")
@@ -210,6 +214,41 @@ def test_long_text_makes_blocks_of_bounded_size(spark, monkeypatch):
     assert mined(spark.createDataFrame(rows, "lang string, text string")) == sorted(plain_phrases(rows, 2000, 100, 5))
 
 
+def test_a_task_holds_few_blocks_at_once(spark, prose):
+    """Blocks of a file are parted into small row groups, so what a task holds to write or read them doesn't grow with the file; each language makes one here."""
+    df = spark.createDataFrame([(f"l{i}", text) for i, (_, text) in enumerate(prose)], "lang string, text string").coalesce(1)
+    with Scratch(spark) as scratch:
+        mine = collocations._Mine(df, 5, 5, 10, scratch)
+        (file,) = (pq.ParquetFile(path.removeprefix("file://")) for path in mine.blocks.inputFiles())
+        assert file.metadata.num_rows == len(prose)
+        assert max(file.metadata.row_group(i).num_rows for i in range(file.num_row_groups)) <= 4
+        assert mine.langs.agg(F.sum("n")).first()[0] == sum(len(w) for w in (re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", t or "") for _, t in prose))
+
+
+def test_blocks_of_many_words_take_wider_codes():
+    """Two bytes number the words of most blocks; beyond them four do, and the blocks read alike."""
+    for distinct in (collocations.NARROW - 2, collocations.NARROW - 1, collocations.NARROW, collocations.NARROW + 1):
+        text = " ".join(f"w{i}" for i in range(distinct)).encode()
+        row = next(collocations._encode(iter([pa.RecordBatch.from_pydict({"lang": [b"en"], "text": [text + b", w0 w1 w1"]})])))
+        block = collocations._Block(row)
+        assert len(row.column("codes")[0].as_py()) == (distinct + 5) * (2 if distinct <= collocations.NARROW else 4)
+        assert block.codes.tolist() == [*range(distinct), -1, 0, 1, 1, -1]
+        assert block.counts().tolist() == [2, 3] + [1] * (distinct - 2)
+        assert block.words[-1] == f"w{distinct - 1}".encode()
+
+
+def test_a_round_leaves_no_broadcast(spark, prose, monkeypatch):
+    """What a round sends out is taken back when it ends, else executors hold up to 16 MB for each of its passes until the driver collects its garbage."""
+    sent, gone = [], []
+    send, destroy = collocations.hash_bitmap, Broadcast.destroy
+    monkeypatch.setattr(collocations, "hash_bitmap", lambda *a: (sent.append(send(*a)), sent[-1])[1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (gone.append(self), destroy(self, *a))[1])
+    df = spark.createDataFrame(prose, "lang string, text string")
+    assert mined(df, limit=7, least=3, longest=3) == sorted(plain_phrases(prose, 7, 3, 3))
+    assert len(sent) > 4
+    assert {id(x) for x in sent} == {id(x) for x in gone}
+
+
 def plain_ranks(docs, items, limit):
     terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(_LOWER))
     counted = [(doc, Counter(terms(t))) for doc, t in docs]
